@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one reducing task should get at most.
-TASK_BYTES = 24 << 20
+TASK_BYTES = 12 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,9 +77,9 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**0 .. base**(n-1) modulo 2**64, and their inverses (the base is odd)."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         have = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _POWERS[base] = have
     return have
 
@@ -101,9 +101,15 @@ def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     return (sums[ends] - sums[starts]) * down[starts]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of every span."""
-    return mix(rolling(_BYTE_VALUES[data], starts, ends, _BASES[0]) + (ends - starts).astype(np.uint64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of the bytes of every span, in steps of about `limit` bytes to keep memory small."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + limit, "right")))
+        low, high = starts[at], ends[end - 1]
+        out[at:end] = rolling(_BYTE_VALUES[data[low:high]], starts[at:end] - low, ends[at:end] - low, _BASES[0])
+        at = end
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def window_hashes(words: np.ndarray, firsts: np.ndarray, width: int, base: int = _BASES[1]) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ WIDTH = 20
 #: Words of English text take about this many bytes; a window then sends about 9.
 _BYTES_A_WORD = 5.5
 _HASH_BYTES = 7
-_BLOCK_BYTES = 6 << 20
+_BLOCK_BYTES = 4 << 20
 
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
 _FOUND = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary())])
