@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +38,9 @@ def parts(amount: float, each: float, least: int = 1) -> int:
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables beside the checkpoints, which all executors see."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tables-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"

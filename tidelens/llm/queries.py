@@ -4,18 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelens.llm._spark import documents
+from tidelens.llm import packing, simhash, token_counts, token_files
+from tidelens.llm._spark import documents, shared_folder
 from tidelens.llm.substring_dedup import remove_repeats
 
+#: The public byte-level vocabulary and the id that ends a document.
+TOKENIZER = "byte_bpe_50k.json"
+END_ID = 2
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), with_text=False)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "token-files")
+    token_files.write_token_files(documents(spark, sf_dir), path, public_tokenizers.path(TOKENIZER), END_ID)
+    return token_files.digests(token_files.read_token_files(spark, path))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every text; a token across lines counts where it begins."""
+    return token_counts.section_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), END_ID)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    own = (op1_substring_dedup, op4_token_files, op7_token_counts, op8_best_fit_packing, op9_simhash)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
