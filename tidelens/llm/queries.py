@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelens.llm import packing, sharding, simhash, token_counts, token_files
+from tidelens.llm import packing, quality, sharding, simhash, token_counts, token_files
 from tidelens.llm._spark import documents, shared_folder
 from tidelens.llm.substring_dedup import remove_repeats
 
@@ -30,6 +30,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every text; a token across lines counts where it begins."""
     return token_counts.section_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
@@ -44,7 +48,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_substring_dedup, op4_token_files, op5_sharding, op7_token_counts, op8_best_fit_packing, op9_simhash)
+    own = (op1_substring_dedup, op4_token_files, op5_sharding, op6_quality_rules, op7_token_counts, op8_best_fit_packing, op9_simhash)
     return {f.__name__: f for f in own}
 
 
