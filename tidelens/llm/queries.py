@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelens.llm import packing, quality, sharding, simhash, token_counts, token_files
+from tidelens.llm import bpe, packing, quality, sharding, simhash, token_counts, token_files
 from tidelens.llm._spark import documents, shared_folder
 from tidelens.llm.substring_dedup import remove_repeats
 
+#: The public ranks that are encoded by.
+RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The public byte-level vocabulary and the id that ends a document.
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -20,6 +22,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), with_text=False)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(RANKS))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
     token_files.write_token_files(documents(spark, sf_dir), path, public_tokenizers.path(TOKENIZER), END_ID)
@@ -48,7 +54,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_substring_dedup, op4_token_files, op5_sharding, op6_quality_rules, op7_token_counts, op8_best_fit_packing, op9_simhash)
+    own = (op1_substring_dedup, op3_byte_bpe, op4_token_files, op5_sharding, op6_quality_rules, op7_token_counts, op8_best_fit_packing, op9_simhash)
     return {f.__name__: f for f in own}
 
 
