@@ -61,6 +61,6 @@ def test_estimate_finds_accuracies():
 def test_odd_rows(spark):
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, CLEAN), (None, None)], "doc_id long, text string")
     assert len(judged(twice).collect()) == 4
-    assert keep_good(twice).count() == 0
+    assert [tuple(r) for r in keep_good(twice).collect()] == [(None, CLEAN)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert judged(empty).count() == 0 and keep_good(empty).count() == 0

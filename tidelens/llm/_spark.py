@@ -6,8 +6,12 @@ import math
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidelens.llm._text import chunks
 
 #: Bytes of text that one reducing task should get at most.
 TASK_BYTES = 12 << 20
@@ -44,3 +48,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for written tables beside the checkpoints, which all executors see."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tables-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def with_found(docs: DataFrame, task, found: str, text: str = "text") -> tuple[DataFrame, list[str]]:
+    """All columns of docs, as c0, c1 and so on, beside what task(chunk) finds for every row; and docs' names for them.
+
+    The numbered names keep any column of docs apart from what is found. Nothing is shuffled.
+    """
+    names, n = docs.columns, len(docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(n)])
+    at = f"c{names.index(text)}"
+
+    def run(batches):
+        for chunk in chunks(batches, at):
+            own, new = {c: chunk.column(c) for c in chunk.batch.schema.names}, task(chunk)
+            yield pa.RecordBatch.from_pydict(own | {c: new[c] for c in order})
+
+    added = T._parse_datatype_string(found).fields
+    order = [f.name for f in added]
+    schema = T.StructType([*plain.schema.fields, *added])
+    return plain.mapInArrow(run, schema), names
+
+
+def only(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of docs from with_found(), under their own names."""
+    return df.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)

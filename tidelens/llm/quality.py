@@ -6,8 +6,8 @@ base rules don't fail it. The votes have few patterns (3 ** rules at most), so S
 EM runs on the counts: its cost doesn't grow with the corpus, and no document is left out of them.
 
 Defined cases: a null or empty text has no words, fails the base rules and isn't kept. Without any document there is nothing to
-estimate and nothing to return. Repeated rows count as often as they stand there. Clashing columns of the
-input are replaced by the operator's own.
+estimate and nothing to return. Repeated rows count as often as they stand there. Extra columns stay where rows
+are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm._spark import stable
+from tidelens.llm._spark import only, stable, with_found
 from tidelens.llm._text import chunks, span_hashes, window_hashes, word_spans
 
 WINDOW = 8
@@ -38,6 +38,9 @@ _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_wide", "n_shouts", "n_distinct", "n_same_next")
 
 
+_SCHEMA = ", ".join(f"{c} long" for c in _COUNTS)
+
+
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.append(0, np.cumsum(flags))[offsets])
 
@@ -94,7 +97,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id and the counts that the rules need."""
-    return docs.select("doc_id", "text").mapInArrow(_measure, "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return docs.select("doc_id", "text").mapInArrow(_measure, f"doc_id long, {_SCHEMA}")
 
 
 def votes() -> dict[str, Column]:
@@ -143,26 +146,36 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = 300, toleran
     return {"clean": clean, "rates": rates, "posterior": post}
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, posterior and kept of every row."""
-    rules = votes()
-    counted = stable(measures(docs).withColumn("pattern", F.concat(*[v.cast("string") for v in rules.values()])))
-    # At most 3 ** rules rows.
+def posteriors(counted: DataFrame) -> DataFrame:
+    """pattern and posterior of every vote pattern in `counted`: at most 3 ** rules rows."""
     seen = sorted((r["pattern"], r["count"]) for r in counted.groupBy("pattern").count().collect())
-    posterior = estimate(np.array([[int(v) for v in p] for p, _ in seen]).reshape(len(seen), len(rules)), np.array([n for _, n in seen]))["posterior"] if seen else []
-    known = docs.sparkSession.createDataFrame([(p, float(x)) for (p, _), x in zip(seen, posterior)], "pattern string, posterior double")
+    found = estimate(np.array([[int(v) for v in p] for p, _ in seen]).reshape(len(seen), -1), np.array([n for _, n in seen]))["posterior"] if seen else []
+    return counted.sparkSession.createDataFrame([(p, float(x)) for (p, _), x in zip(seen, found)], "pattern string, posterior double")
+
+
+def _pattern() -> Column:
+    return F.concat(*[v.cast("string") for v in votes().values()]).alias("pattern")
+
+
+def _verdicts(counted: DataFrame, known: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = counted.join(F.broadcast(known), "pattern").withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= THRESHOLD))
 
 
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, the counts, base_failed, posterior and kept of every row."""
+    counted = stable(measures(docs).select("*", _pattern()))
+    return _verdicts(counted, posteriors(counted))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and posterior."""
     return judged(docs).select("doc_id", *_COUNTS[:5], "base_failed", "kept", "posterior")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept. Rows that share a doc_id share a verdict: they stay if all of them are kept; a row with a null doc_id goes if any such row fails."""
-    gone = judged(docs).filter(~F.col("kept")).select("doc_id").distinct().withColumn("_gone", F.lit(True))
-    names = docs.columns
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone_id"), docs["doc_id"].eqNullSafe(F.col("_gone_id")), "left").filter("_gone is null").select(*[docs[c] for c in names])
+    """The rows of docs that are kept. Texts are measured twice, for the corpus and for the verdicts, rather than shuffled."""
+    known = posteriors(measures(docs).select(_pattern()))
+    found, names = with_found(docs, lambda chunk: {c: pa.array(x, pa.int64()) for c, x in _measures(chunk).items()}, _SCHEMA)
+    return only(_verdicts(found.select("*", _pattern()), known).filter("kept"), names)
