@@ -264,7 +264,8 @@ def k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signals(spark, sf_dir)
     s = s.join(F.broadcast(s.agg(F.max("date").alias("date"))), "date")
     one = Window.partitionBy(F.lit(1))  # the tickers of one date
-    s = s.select("y", F.abs("z").alias("w"), F.row_number().over(one.orderBy(F.desc("z"), "ticker")).alias("a"), F.row_number().over(one.orderBy("z", F.desc("ticker"))).alias("b"), F.explode(F.array(*[F.lit(k) for k in (3, 5, 10, 20)])).alias("k"))
+    s = s.select("y", F.abs("z").alias("w"), F.row_number().over(one.orderBy(F.desc("z"), "ticker")).alias("a"), F.row_number().over(one.orderBy("z", F.desc("ticker"))).alias("b"))
+    s = s.select("*", F.explode(F.array(*[F.lit(k) for k in (3, 5, 10, 20)])).alias("k"))  # after the ranks, or they would count each size
     mean = lambda c: F.avg(F.when(F.col(c) <= F.col("k"), F.col("y")))
     heavy = lambda c: F.sum(F.when(F.col(c) <= F.col("k"), F.col("y") * F.col("w"))) / F.sum(F.when(F.col(c) <= F.col("k"), F.col("w")))
     return rounded(s.groupBy("k").agg((mean("a") - mean("b")).alias("equal"), (heavy("a") - heavy("b")).alias("weighted")))
