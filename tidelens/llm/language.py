@@ -2,8 +2,8 @@
 
 Lower-cased texts are counted as character 1- to `NGRAM`-grams, hashed to `FEATURES` features. Document frequencies are taken over all
 documents that may be learned from. Weights are trained by follow-the-regularised-leader with elastic-net
-penalties (L1 makes them sparse) on a bounded sample: of the documents that may be learned from, the `SAMPLE` with the
-least hashes of their doc_id. A share of the sample is held back to fit the temperature that calibrates the probabilities. Prediction is
+penalties (L1 makes them sparse) on a bounded sample: of the documents that may be learned from, those with hashes below the share that
+gives about `SAMPLE` of them, twice that at most. A share of the sample is held back to fit the temperature that calibrates the probabilities. Prediction is
 one pass over the whole texts, without a shuffle.
 
 Learned from: rows with a text, a language and a doc_id whose CRC-32 (of the id in decimal) modulo 4 isn't 2.
@@ -30,7 +30,7 @@ from tidelens.llm._text import Chunk, chunks, mix
 UNKNOWN = "und"
 NGRAM = 3
 FEATURES = 1 << 14
-#: Documents that weights are trained on at most; the last tenth fits the temperature.
+#: Documents that weights are trained on, about; the last tenth of them fits the temperature.
 SAMPLE = 4000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
@@ -121,12 +121,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _trainer(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, names = [], []
+        found = []
         for chunk in chunks(batches):
-            rows += [vector(chunk.text(i), idf) for i in range(chunk.rows)]
-            names += chunk.column("lang").to_pylist()
-        if not rows:
+            own = zip(chunk.column("hash").to_pylist(), chunk.column("lang").to_pylist(), range(chunk.rows))
+            found += [(h, lang, *vector(chunk.text(i), idf)) for h, lang, i in own]
+        if not found:
             return
+        found.sort(key=lambda r: r[:2])  # in the same order at every run
+        rows, names = [r[2:] for r in found], [r[1] for r in found]
         classes = sorted(set(names))
         labels = np.array([classes.index(x) for x in names])
         own = len(rows) - int(len(rows) * HELD_BACK)
@@ -149,7 +151,9 @@ def fit(docs: DataFrame) -> dict | None:
     found = np.zeros(FEATURES)
     found[list(seen)] = list(seen.values())
     idf = np.log((1 + total) / (1 + found)) + 1
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(SAMPLE).select("text", "lang")
+    share = min(1.0, SAMPLE / total)
+    rows = rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("hash"))
+    sample = rows.filter(F.col("hash") / F.lit(2.0**64) + 0.5 <= share).limit(2 * SAMPLE)
     row = sample.mapInArrow(_trainer(idf), "classes array<string>, model binary").first()
     model = np.load(io.BytesIO(row["model"]))
     return {"classes": row["classes"], "weights": model["weights"], "idf": idf.astype(np.float32), "temperature": float(model["temperature"])}
