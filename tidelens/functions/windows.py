@@ -22,6 +22,12 @@ def ratio(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson's correlation of the pairs that are both known; NULL where one of them doesn't vary."""
+    a, b = F.when(col(y).isNotNull(), col(x)), F.when(col(x).isNotNull(), col(y))
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def frame(agg, x: str | Column, w: WindowSpec, n: int, least: int | None = None) -> Column:
     """agg(x) over the last n rows, if at least `least` (n by default) of them hold a value."""
     rows = w.rowsBetween(-(n - 1), 0)

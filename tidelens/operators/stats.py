@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelens.functions.windows import ratio
+from tidelens.functions.windows import corr, ratio
 from tidelens.operators.panel import spearman
 
 
@@ -17,7 +17,7 @@ def rank_ic(df: DataFrame, x: str, y: str, date: str = "date", least: int = 5, e
     a, b = spearman(x, y, date)
     keep = extra or []
     pairs = df.select(date, *keep, F.col(x).alias("_x"), F.col(y).alias("_y"), a.alias("_a"), b.alias("_b")).filter("_a is not null and _b is not null")
-    out = pairs.groupBy(date, *keep).agg(F.corr("_a", "_b").alias("ic"), F.count("*").alias("n"), F.stddev_samp("_x").alias("_sx"), F.stddev_samp("_y").alias("_sy")).filter(F.col("n") >= least)
+    out = pairs.groupBy(date, *keep).agg(corr("_a", "_b").alias("ic"), F.count("*").alias("n"), F.stddev_samp("_x").alias("_sx"), F.stddev_samp("_y").alias("_sy")).filter(F.col("n") >= least)
     if least_deviation is not None:
         out = out.filter((F.col("_sx") > least_deviation) & (F.col("_sy") > least_deviation))
     return out.drop("_sx", "_sy")

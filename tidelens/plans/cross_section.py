@@ -9,7 +9,6 @@ from tidelens.functions import ranks
 from tidelens.functions import windows as w_
 from tidelens.operators import panel
 from tidelens.plans.panels import PM, monthly, pct_sql, rank_sql, rounded
-from tidelens.plans.time_series import W
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,16 +40,16 @@ def query(sql: str | None = None):
 
 def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pm with mom (3 months), long (12-1), vol (6 months), value (cost over close), turn, size (log of value traded) and y: the next month's return."""
-    d = monthly(spark, sf_dir).withColumn("r", w_.momentum("close", W, 1))
+    d = monthly(spark, sf_dir).withColumn("r", w_.momentum("close", w_.series(), 1))
     d = d.select(
         "ticker", "date", "close", "volume", "sector",
-        F.round(w_.momentum("close", W, 3), 8).alias("mom"),
-        F.round(w_.momentum("close", W, 12, skip=1), 8).alias("long"),
-        F.round(w_.frame(F.stddev_samp, "r", W, 6), 8).alias("vol"),
+        F.round(w_.momentum("close", w_.series(), 3), 8).alias("mom"),
+        F.round(w_.momentum("close", w_.series(), 12, skip=1), 8).alias("long"),
+        F.round(w_.frame(F.stddev_samp, "r", w_.series(), 6), 8).alias("vol"),
         F.round(w_.ratio("cost", "close"), 6).alias("value"),
-        F.round(w_.frame(F.avg, "volume", W, 3), 6).alias("turn"),
+        F.round(w_.frame(F.avg, "volume", w_.series(), 3), 6).alias("turn"),
         F.round(F.ln(F.col("close") * F.col("volume") + 1e-6), 6).alias("size"),
-        F.round(w_.forward("close", W), 8).alias("y"),
+        F.round(w_.forward("close", w_.series()), 8).alias("y"),
     )
     return d
 

@@ -10,7 +10,6 @@ from tidelens.functions import windows as w_
 from tidelens.operators import joins, portfolio, stats
 from tidelens.plans.cross_section import ALPHA, FACTORS, alphas, factors
 from tidelens.plans.panels import FQ, PD, PM, daily, monthly, pct_sql, quarterly, rank_sql, rounded
-from tidelens.plans.time_series import W
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,16 +27,16 @@ def query(sql: str | None = None):
 
 @query(f"""with {PM}, t as (select *, close / lag(close, 3) over w - 1 as f, lead(close) over w / close - 1 as y from pm window w as (partition by ticker order by date)),
 u as (select * from t where f is not null and y is not null), v as (select date, {rank_sql('f', 'date')} as a, {rank_sql('y', 'date')} as b from u)
-select date, round(corr(a, b), 6) as ic, count(*) as n from v group by 1 having count(*) >= 5""")
+select date, round(case when not isnan(corr(a, b)) then corr(a, b) end, 6) as ic, count(*) as n from v group by 1 having count(*) >= 5""")
 def rank_ic_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: three months' momentum against the next month's return."""
-    d = monthly(spark, sf_dir).select("ticker", "date", w_.momentum("close", W, 3).alias("f"), w_.forward("close", W).alias("y"))
+    d = monthly(spark, sf_dir).select("ticker", "date", w_.momentum("close", w_.series(), 3).alias("f"), w_.forward("close", w_.series()).alias("y"))
     return rounded(stats.rank_ic(d, "f", "y"))
 
 
 LONG = f"""{FACTORS}, lg as (select date, sector, f, x, y from (select date, sector, y, unnest(['mom', 'long', 'vol', 'value', 'turn']) as f, unnest([mom, long, vol, value, turn]) as x from fa) where x is not null and y is not null),
 rr as (select *, {rank_sql('x', 'f', 'date')} as a, {rank_sql('y', 'f', 'date')} as b from lg),
-ics as (select f as factor, date, round(corr(a, b), 9) as ic, count(*) as n from rr group by 1, 2 having count(*) >= 10)"""
+ics as (select f as factor, date, round(case when not isnan(corr(a, b)) then corr(a, b) end, 9) as ic, count(*) as n from rr group by 1, 2 having count(*) >= 10)"""
 NAMES = ("mom", "long", "vol", "value", "turn")
 
 
@@ -46,7 +45,7 @@ def _ics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("x")) for c in NAMES])).alias("p")
     d = factors(spark, sf_dir).select("date", "y", pairs).select("date", "p.factor", "p.x", "y").filter("x is not null and y is not null")
     d = d.select("date", "factor", ranks.avg_rank("x", "factor", "date").alias("a"), ranks.avg_rank("y", "factor", "date").alias("b"))
-    return d.groupBy("factor", "date").agg(F.round(F.corr("a", "b"), 9).alias("ic"), F.count("*").alias("n")).filter("n >= 10")
+    return d.groupBy("factor", "date").agg(F.round(w_.corr("a", "b"), 9).alias("ic"), F.count("*").alias("n")).filter("n >= 10")
 
 
 @query(f"""with {LONG} select factor, round(avg(ic), 6) as mean, round(stddev_pop(ic), 6) as deviation, round(avg(ic) / (stddev_pop(ic) + 1e-6), 6) as ir,
@@ -60,7 +59,7 @@ REGIME = "rg as (select date, case when m > 0.03 then 'bull' when m < -0.03 then
 
 def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date and regime by the panel's mean return, beyond 3 % either way."""
-    m = monthly(spark, sf_dir).withColumn("r", w_.momentum("close", W, 1)).filter("r is not null").groupBy("date").agg(F.round(F.avg("r"), 9).alias("m"))
+    m = monthly(spark, sf_dir).withColumn("r", w_.momentum("close", w_.series(), 1)).filter("r is not null").groupBy("date").agg(F.round(F.avg("r"), 9).alias("m"))
     return m.select("date", F.when(F.col("m") > 0.03, "bull").when(F.col("m") < -0.03, "bear").otherwise("flat").alias("regime"))
 
 
@@ -78,15 +77,15 @@ nw as (select {group}, count(*) as n, avg(ic) as mean, sum(e * e {" ".join(f"+ c
 
 @query(f"""with {FACTORS}, hz as (select ticker, date, mom, unnest([1, 3, 6, 12]) as horizon, unnest([{", ".join(f"lead(close, {h}) over w / close - 1" for h in (1, 3, 6, 12))}]) as y from fa window w as (partition by ticker order by date)),
 ok as (select * from hz where mom is not null and y is not null), rr as (select *, {rank_sql('mom', 'horizon', 'date')} as a, {rank_sql('y', 'horizon', 'date')} as b from ok),
-ic as (select horizon, date, round(corr(a, b), 9) as ic from rr group by 1, 2 having count(*) >= 10), {_nw_sql('ic', 'horizon')}
+ic as (select horizon, date, round(case when not isnan(corr(a, b)) then corr(a, b) end, 9) as ic from rr group by 1, 2 having count(*) >= 10), {_nw_sql('ic', 'horizon')}
 select cast(horizon as int) as horizon, n, round(mean, 6) as mean, round(case when n >= 5 then mean / sqrt(v / (n * n)) end, 6) as t from nw""")
 def ic_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean ic and its Newey-West t by horizon."""
     d = factors(spark, sf_dir)
-    ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), w_.forward("close", W, h).alias("y")) for h in (1, 3, 6, 12)])
+    ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), w_.forward("close", w_.series(), h).alias("y")) for h in (1, 3, 6, 12)])
     d = d.select("date", "mom", ahead.alias("h")).select("date", "mom", F.explode("h").alias("h")).select("date", "mom", "h.horizon", "h.y").filter("mom is not null and y is not null")
     d = d.select("date", "horizon", ranks.avg_rank("mom", "horizon", "date").alias("a"), ranks.avg_rank("y", "horizon", "date").alias("b"))
-    ics = d.groupBy("horizon", "date").agg(F.round(F.corr("a", "b"), 9).alias("ic"), F.count("*").alias("m")).filter("m >= 10")
+    ics = d.groupBy("horizon", "date").agg(F.round(w_.corr("a", "b"), 9).alias("ic"), F.count("*").alias("m")).filter("m >= 10")
     return rounded(stats.newey_west(ics, "ic", ["horizon"]))
 
 
@@ -294,11 +293,11 @@ def bootstrap_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {FACTORS}, m as (select *, median(mom) over (partition by date) as m from fa), d as (select *, median(abs(mom - m)) over (partition by date) as d from m),
 r as (select sector, date, {pct_sql('mom', 'date', 'sector')} as p, size from d)
-select sector, round(avg(p), 6) as mean, round(stddev_samp(p), 6) as deviation, round(corr(p, size), 6) as with_size, count(p) as n from r group by 1""")
+select sector, round(avg(p), 6) as mean, round(stddev_samp(p), 6) as deviation, round(case when not isnan(corr(p, size)) then corr(p, size) end, 6) as with_size, count(p) as n from r group by 1""")
 def neutralisation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks within sectors should have alike means and little to do with size."""
     d = factors(spark, sf_dir).select("sector", "size", ranks.pct_rank("mom", "date", "sector").alias("p"))
-    return rounded(d.groupBy("sector").agg(F.avg("p").alias("mean"), F.stddev_samp("p").alias("deviation"), F.corr("p", "size").alias("with_size"), F.count("p").alias("n")))
+    return rounded(d.groupBy("sector").agg(F.avg("p").alias("mean"), F.stddev_samp("p").alias("deviation"), w_.corr("p", "size").alias("with_size"), F.count("p").alias("n")))
 
 
 @query(f"""with {SIGNALS}, a as (select date, list_sort(list(z)) as s, count(*) as n, avg(z) as mean from sg group by 1)

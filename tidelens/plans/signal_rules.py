@@ -153,7 +153,7 @@ def sentiment_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {PD}, s as (select *, lead(close, 5) over w / close - 1 as r, close / lag(close) over w - 1 as m from pd window w as (partition by ticker order by date)), d as (select *, case when m > 0.1 then 'BUY' when m < -0.1 then 'SELL' else 'HOLD' end as direction from s where m is not null and r is not null)
 select ticker, direction, count(*) as n, round(avg(case when (direction = 'BUY' and r > 0) or (direction = 'SELL' and r < 0) or (direction = 'HOLD' and abs(r) < 0.02) then 1.0 else 0.0 end), 6) as hit_rate,
-  round(avg(case direction when 'BUY' then r when 'SELL' then -r else 0 end), 6) as pnl, round(corr(m, r), 5) as corr from d group by 1, 2""")
+  round(avg(case direction when 'BUY' then r when 'SELL' then -r else 0 end), 6) as pnl, round(case when not isnan(corr(m, r)) then corr(m, r) end, 5) as corr from d group by 1, 2""")
 def hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five rows on: whether a signal was right (HOLD: less than 2 % either way) and what it gained."""
     w = w_.series()
@@ -161,7 +161,7 @@ def hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("direction", F.when(F.col("m") > 0.1, "BUY").when(F.col("m") < -0.1, "SELL").otherwise("HOLD"))
     hit = ((F.col("direction") == "BUY") & (F.col("r") > 0)) | ((F.col("direction") == "SELL") & (F.col("r") < 0)) | ((F.col("direction") == "HOLD") & (F.abs("r") < 0.02))
     gain = F.when(F.col("direction") == "BUY", F.col("r")).when(F.col("direction") == "SELL", -F.col("r")).otherwise(0.0)
-    out = d.groupBy("ticker", "direction").agg(F.count("*").alias("n"), F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("hit_rate"), F.avg(gain).alias("pnl"), F.corr("m", "r").alias("corr"))
+    out = d.groupBy("ticker", "direction").agg(F.count("*").alias("n"), F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("hit_rate"), F.avg(gain).alias("pnl"), w_.corr("m", "r").alias("corr"))
     return out.select("ticker", "direction", "n", F.round("hit_rate", 6).alias("hit_rate"), F.round("pnl", 6).alias("pnl"), F.round("corr", 5).alias("corr"))
 
 
@@ -218,14 +218,15 @@ def pivot_slicer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {PD}, old as (select ticker, date, close, 0 as batch from pd where extract(day from date) <= 20), new as (select ticker, date, round(close * 1.5, 4) as close, 1 as batch from pd where extract(day from date) >= 10),
 k as (select *, row_number() over (partition by ticker, date order by batch desc) as k, row_number() over (partition by ticker, date order by batch) as j from (select * from old union all select * from new))
-select ticker, count(*) as n, cast(count_if(k = 1) as bigint) as kept, round(sum(case when k = 1 then close end), 2) as new_wins, round(sum(case when j = 1 then close end), 2) as old_wins from k group by 1""")
+select ticker, count(*) as n, cast(count_if(k = 1) as bigint) as kept, cast(round(sum(case when k = 1 then cast(close as decimal(18, 6)) end), 2) as double) as new_wins, cast(round(sum(case when j = 1 then cast(close as decimal(18, 6)) end), 2) as double) as old_wins from k group by 1""")
 def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches that overlap, with the newer or the older row winning."""
     d = daily(spark, sf_dir).select("ticker", "date", "close")
     old, new = d.filter(F.dayofmonth("date") <= 20), d.filter(F.dayofmonth("date") >= 10).withColumn("close", F.round(F.col("close") * 1.5, 4))
     n = old.unionByName(new).groupBy("ticker").agg(F.count("*").alias("n"))
-    a = panel.upsert(old, new, ["ticker", "date"]).groupBy("ticker").agg(F.count("*").alias("kept"), F.round(F.sum("close"), 2).alias("new_wins"))
-    b = panel.upsert(old, new, ["ticker", "date"], new_wins=False).groupBy("ticker").agg(F.round(F.sum("close"), 2).alias("old_wins"))
+    total = F.round(F.sum(F.col("close").cast("decimal(18,6)")), 2).cast("double")  # exact, or engines round ties apart
+    a = panel.upsert(old, new, ["ticker", "date"]).groupBy("ticker").agg(F.count("*").alias("kept"), total.alias("new_wins"))
+    b = panel.upsert(old, new, ["ticker", "date"], new_wins=False).groupBy("ticker").agg(total.alias("old_wins"))
     return n.join(a, "ticker").join(b, "ticker")
 
 

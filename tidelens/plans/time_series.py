@@ -9,7 +9,6 @@ from tidelens.functions import windows as w_
 from tidelens.operators import panel
 from tidelens.plans.panels import PD, PM, daily, monthly, rounded, table
 
-W = w_.series()
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -25,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def _returns(df: DataFrame) -> DataFrame:
-    return df.withColumn("r", w_.momentum("close", W, 1))
+    return df.withColumn("r", w_.momentum("close", w_.series(), 1))
 
 
 RET = "ret as (select *, close / lag(close) over w - 1 as r from pd window w as (partition by ticker order by date))"
@@ -35,12 +34,12 @@ RET = "ret as (select *, close / lag(close) over w - 1 as r from pd window w as
   {", ".join(f"round(close / lag(close, {n}) over w - 1, 6) as mom_{n}" for n in (1, 3, 6, 12))}
 from pm window w as (partition by ticker order by date)""")
 def momentum_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(monthly(spark, sf_dir).select("ticker", "date", *[w_.momentum("close", W, n).alias(f"mom_{n}") for n in (1, 3, 6, 12)]))
+    return rounded(monthly(spark, sf_dir).select("ticker", "date", *[w_.momentum("close", w_.series(), n).alias(f"mom_{n}") for n in (1, 3, 6, 12)]))
 
 
 @query(f"with {PM} select ticker, date, round(lag(close, 1) over w / lag(close, 12) over w - 1, 6) as mom_12_1 from pm window w as (partition by ticker order by date)")
 def momentum_12_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(monthly(spark, sf_dir).select("ticker", "date", w_.momentum("close", W, 12, skip=1).alias("mom_12_1")))
+    return rounded(monthly(spark, sf_dir).select("ticker", "date", w_.momentum("close", w_.series(), 12, skip=1).alias("mom_12_1")))
 
 
 @query(f"""with {PD}, {RET} select ticker, date,
@@ -50,14 +49,14 @@ def momentum_12_1(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ret window w20 as (partition by ticker order by date rows 19 preceding), w60 as (partition by ticker order by date rows 59 preceding)""")
 def volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _returns(daily(spark, sf_dir))
-    return rounded(r.select("ticker", "date", w_.volatility("r", W, 20).alias("vol_20"), w_.volatility("r", W, 60).alias("vol_60"), w_.volatility("r", W, 60, 60, None).alias("vol_60_raw")), 3)
+    return rounded(r.select("ticker", "date", w_.volatility("r", w_.series(), 20).alias("vol_20"), w_.volatility("r", w_.series(), 60).alias("vol_60"), w_.volatility("r", w_.series(), 60, 60, None).alias("vol_60_raw")), 3)
 
 
 @query(f"""with {PD} select ticker, date,
   {", ".join(f"round(case when count(close) over w{n} >= {n // 2} then close / avg(close) over w{n} - 1 end, 6) as bias_{n}" for n in (20, 60, 120))}
 from pd window {", ".join(f"w{n} as (partition by ticker order by date rows {n - 1} preceding)" for n in (20, 60, 120))}""")
 def ma_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(daily(spark, sf_dir).select("ticker", "date", *[w_.bias("close", W, n).alias(f"bias_{n}") for n in (20, 60, 120)]))
+    return rounded(daily(spark, sf_dir).select("ticker", "date", *[w_.bias("close", w_.series(), n).alias(f"bias_{n}") for n in (20, 60, 120)]))
 
 
 @query(f"""with {PD} select ticker, date,
@@ -70,11 +69,11 @@ def range_and_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = daily(spark, sf_dir).withColumn("spread", w_.ratio(F.col("high") - F.col("low"), "close"))
     return rounded(d.select(
         "ticker", "date",
-        w_.frame(F.avg, "spread", W, 20, 10).alias("amplitude_20"),
-        w_.frame(F.avg, "volume", W, 20).alias("turnover_20"),
-        w_.ratio(w_.frame(F.avg, "volume", W, 5, 1), w_.frame(F.avg, "volume", W, 60, 30)).alias("volume_ratio"),
-        w_.ratio(w_.frame(F.avg, "close", W, 5, 1), "close").alias("ma_5"),
-        w_.ratio(w_.frame(F.avg, "close", W, 20, 1), "close").alias("ma_20"),
+        w_.frame(F.avg, "spread", w_.series(), 20, 10).alias("amplitude_20"),
+        w_.frame(F.avg, "volume", w_.series(), 20).alias("turnover_20"),
+        w_.ratio(w_.frame(F.avg, "volume", w_.series(), 5, 1), w_.frame(F.avg, "volume", w_.series(), 60, 30)).alias("volume_ratio"),
+        w_.ratio(w_.frame(F.avg, "close", w_.series(), 5, 1), "close").alias("ma_5"),
+        w_.ratio(w_.frame(F.avg, "close", w_.series(), 20, 1), "close").alias("ma_20"),
     ))
 
 
@@ -83,15 +82,15 @@ s as (select *, {", ".join(f"case when count(step) over w{n} >= {n // 2} then av
   from (select * from d) window {", ".join(f"w{n} as (partition by ticker order by date rows {n - 1} preceding)" for n in (14, 28))})
 select ticker, date, {", ".join(f"round(case when loss_{n} = 0 then 100.0 else 100 - 100 / (1 + gain_{n} / loss_{n}) end, 6) as rsi_{n}" for n in (14, 28))} from s""".replace("greatest(step, 0)", "case when step is null then null else greatest(step, 0) end").replace("-least(step, 0)", "case when step is null then null else -least(step, 0) end"))
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = daily(spark, sf_dir).withColumn("step", F.col("close") - F.lag("close").over(W))
-    return rounded(d.select("ticker", "date", *[w_.rsi("step", W, n).alias(f"rsi_{n}") for n in (14, 28)]))
+    d = daily(spark, sf_dir).withColumn("step", F.col("close") - F.lag("close").over(w_.series()))
+    return rounded(d.select("ticker", "date", *[w_.rsi("step", w_.series(), n).alias(f"rsi_{n}") for n in (14, 28)]))
 
 
 @query(f"""with {PD}, b as (select *, case when count(close) over w >= 10 then avg(close) over w end as m, case when count(close) over w >= 10 then stddev_samp(close) over w end as s
   from pd window w as (partition by ticker order by date rows 19 preceding))
 select ticker, date, round(4 * s / nullif(m, 0), 6) as boll_width, round((close - (m - 2 * s)) / nullif(4 * s, 0), 6) as boll_b from b""")
 def bollinger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    width, place = w_.bollinger("close", W)
+    width, place = w_.bollinger("close", w_.series())
     return rounded(daily(spark, sf_dir).select("ticker", "date", width.alias("boll_width"), place.alias("boll_b")))
 
 
@@ -118,9 +117,9 @@ from ret window w as (partition by ticker order by date), f5 as (partition by ti
 def forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _returns(daily(spark, sf_dir))
     return rounded(r.select(
-        "ticker", "date", *[w_.forward("close", W, n).alias(f"fwd_{n}") for n in (5, 20, 60)],
-        w_.ahead(F.stddev_samp, "r", W, 1, 5).alias("fwd_vol_5"),
-        w_.ratio(w_.ahead(F.max, "high", W, 0, 5) - w_.ahead(F.min, "low", W, 0, 5), "close").alias("fwd_range_5"),
+        "ticker", "date", *[w_.forward("close", w_.series(), n).alias(f"fwd_{n}") for n in (5, 20, 60)],
+        w_.ahead(F.stddev_samp, "r", w_.series(), 1, 5).alias("fwd_vol_5"),
+        w_.ratio(w_.ahead(F.max, "high", w_.series(), 0, 5) - w_.ahead(F.min, "low", w_.series(), 0, 5), "close").alias("fwd_range_5"),
     ))
 
 
@@ -156,9 +155,9 @@ select date, round(vix, 4) as vix, case when vix > 105 then 'Volatile' when n <
   case when prev > prev_ma then 1 else 0 end as regime_lagged from v""")
 def regime_ma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bull over the 200-row mean with low volatility, Bear under it, Volatile before all else; and yesterday's close over yesterday's 250-row mean."""
-    ix = _index(spark, sf_dir).withColumn("r", w_.momentum("close", W, 1))
-    ma, vix = w_.frame(F.avg, "close", W, 200), F.stddev_samp("r").over(W.rowsBetween(-19, 0)) * F.sqrt(F.lit(252.0)) * 100
-    ix = ix.select("date", "close", vix.alias("vix"), ma.alias("ma"), F.lag("close").over(W).alias("prev"), F.lag(w_.frame(F.avg, "close", W, 250)).over(W).alias("prev_ma"))
+    ix = _index(spark, sf_dir).withColumn("r", w_.momentum("close", w_.series(), 1))
+    ma, vix = w_.frame(F.avg, "close", w_.series(), 200), F.stddev_samp("r").over(w_.series().rowsBetween(-19, 0)) * F.sqrt(F.lit(252.0)) * 100
+    ix = ix.select("date", "close", vix.alias("vix"), ma.alias("ma"), F.lag("close").over(w_.series()).alias("prev"), F.lag(w_.frame(F.avg, "close", w_.series(), 250)).over(w_.series()).alias("prev_ma"))
     regime = F.when(F.col("vix") > 105, "Volatile").when(F.col("close") < F.col("ma"), "Bear").when((F.col("close") > F.col("ma")) & (F.col("vix") < 85), "Bull").otherwise("Neutral")
     return rounded(ix.select("date", "vix", regime.alias("regime"), F.when(F.col("prev") > F.col("prev_ma"), 1).otherwise(0).alias("regime_lagged")), 4)
 
@@ -169,7 +168,7 @@ n as (select *, exp(sum(ln(1 + r)) over (order by date)) as nav from m)
 select date, r, round(nav, 6) as nav, round(nav / max(nav) over (order by date) - 1, 6) as drawdown from n""")
 def nav_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the equally weighted panel; returns stay far from -100 %, so the SQL may take logarithms."""
-    r = monthly(spark, sf_dir).withColumn("r", w_.momentum("close", W, 1)).groupBy("date").agg(F.round(F.avg("r"), 8).alias("r")).filter("r is not null")
+    r = monthly(spark, sf_dir).withColumn("r", w_.momentum("close", w_.series(), 1)).groupBy("date").agg(F.round(F.avg("r"), 8).alias("r")).filter("r is not null")
     all_dates = Window.partitionBy(F.lit(1)).orderBy("date")  # one row a date
     r = r.withColumn("nav", w_.nav("r", all_dates))
     return r.select("date", "r", F.round("nav", 6).alias("nav"), F.round(w_.drawdown("nav", all_dates), 6).alias("drawdown"))
@@ -186,17 +185,17 @@ select ticker, date, round(case when n >= 50 then sma_50 / close end, 6) as sma_
 from m window w14 as (partition by ticker order by date rows 13 preceding)""")
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Averages, volume-weighted average and true range over the close, and money flow, by their textbook forms."""
-    d, last = daily(spark, sf_dir), F.lag("close").over(W)
+    d, last = daily(spark, sf_dir), F.lag("close").over(w_.series())
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    d = d.withColumns({"tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - last), F.abs(F.col("low") - last)), "tp": typical, "pv": F.col("close") * F.col("volume"), "n": F.row_number().over(W)})
-    before = F.lag("tp").over(W)
+    d = d.withColumns({"tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - last), F.abs(F.col("low") - last)), "tp": typical, "pv": F.col("close") * F.col("volume"), "n": F.row_number().over(w_.series())})
+    before = F.lag("tp").over(w_.series())
     flow = F.col("tp") * F.col("volume")
     d = d.withColumns({"up": F.when(F.col("tp") > before, flow).otherwise(0.0), "down": F.when(F.col("tp") < before, flow).otherwise(0.0)})
-    f14 = W.rowsBetween(-13, 0)
+    f14 = w_.series().rowsBetween(-13, 0)
     full = F.col("n") >= 14
     up, down = F.sum("up").over(f14), F.sum("down").over(f14)
     return rounded(d.select(
-        "ticker", "date", w_.ratio(w_.frame(F.avg, "close", W, 50), "close").alias("sma_50"),
+        "ticker", "date", w_.ratio(w_.frame(F.avg, "close", w_.series(), 50), "close").alias("sma_50"),
         F.when(full, w_.ratio(w_.ratio(F.avg("pv").over(f14), F.avg("volume").over(f14)), "close")).alias("vwma_14"),
         F.when(full, w_.ratio(F.avg("tr").over(f14), "close")).alias("atr_14"), F.when(full, w_.ratio(100 * up, up + down)).alias("mfi_14"),
     ))
@@ -207,8 +206,8 @@ g as (select *, regr_slope(close, k) over w as slope, regr_intercept(close, k) o
 select ticker, date, round((base + slope * (k + h)) / close, 6) as forecast, h from g, (values (1), (5)) v(h) where n = 20""")
 def trend_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line through the last 20 rows, 1 and 5 rows on, over the close."""
-    d = daily(spark, sf_dir).withColumn("k", F.row_number().over(W))
-    f = W.rowsBetween(-19, 0)
+    d = daily(spark, sf_dir).withColumn("k", F.row_number().over(w_.series()))
+    f = w_.series().rowsBetween(-19, 0)
     d = d.select("ticker", "date", "close", "k", F.regr_slope("close", "k").over(f).alias("slope"), F.regr_intercept("close", "k").over(f).alias("base"), F.count("*").over(f).alias("n")).filter("n = 20")
     d = d.select("*", F.explode(F.array(F.lit(1), F.lit(5))).alias("h"))
     return rounded(d.select("ticker", "date", w_.ratio(F.col("base") + F.col("slope") * (F.col("k") + F.col("h")), "close").alias("forecast"), "h"))
