@@ -216,13 +216,13 @@ def pivot_slicer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("ticker").pivot("m", [f"m_{m[:7].replace('-', '_')}" for m in _MONTHS]).agg(F.first("close")).na.fill(0.0)
 
 
-@query(f"""with {PD}, old as (select ticker, date, close, 0 as batch from pd where extract(day from date) <= 20), new as (select ticker, date, round(close * 1.5, 4) as close, 1 as batch from pd where extract(day from date) >= 10),
+@query(f"""with {PD}, old as (select ticker, date, close, 0 as batch from pd where extract(day from date) <= 20), new as (select ticker, date, close * 2 as close, 1 as batch from pd where extract(day from date) >= 10),
 k as (select *, row_number() over (partition by ticker, date order by batch desc) as k, row_number() over (partition by ticker, date order by batch) as j from (select * from old union all select * from new))
 select ticker, count(*) as n, cast(count_if(k = 1) as bigint) as kept, cast(round(sum(case when k = 1 then cast(close as decimal(18, 6)) end), 2) as double) as new_wins, cast(round(sum(case when j = 1 then cast(close as decimal(18, 6)) end), 2) as double) as old_wins from k group by 1""")
 def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches that overlap, with the newer or the older row winning."""
     d = daily(spark, sf_dir).select("ticker", "date", "close")
-    old, new = d.filter(F.dayofmonth("date") <= 20), d.filter(F.dayofmonth("date") >= 10).withColumn("close", F.round(F.col("close") * 1.5, 4))
+    old, new = d.filter(F.dayofmonth("date") <= 20), d.filter(F.dayofmonth("date") >= 10).withColumn("close", F.col("close") * 2)
     n = old.unionByName(new).groupBy("ticker").agg(F.count("*").alias("n"))
     total = F.round(F.sum(F.col("close").cast("decimal(18,6)")), 2).cast("double")  # exact, or engines round ties apart
     a = panel.upsert(old, new, ["ticker", "date"]).groupBy("ticker").agg(F.count("*").alias("kept"), total.alias("new_wins"))
