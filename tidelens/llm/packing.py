@@ -109,7 +109,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, items: int = ITEMS, slack:
     while have:
         n = parts(have, items)
         deal = F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(n)).cast("int")
-        packed = stable(todo.repartition(n, deal).mapInArrow(_pack(capacity), _ITEM))
+        packed = stable(todo.repartitionById(n, deal).mapInArrow(_pack(capacity), _ITEM))
         rest = packed.filter(F.col("fill") < capacity - slack)
         left = rest.count()
         if n == 1 or left > (1 - GAIN) * have:
