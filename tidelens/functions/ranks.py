@@ -31,8 +31,8 @@ def impute(x: str | Column, *group: str, default: float = 0.0) -> Column:
 
 
 def qcut_edges(x: str | Column, bins: int, *group: str) -> Column:
-    """Interpolated quantiles without repeats."""
-    shares = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    """Interpolated quantiles without repeats, at multiples of the rounded step 1 / bins as pandas takes them."""
+    shares = F.array(*[F.lit(i * (1 / bins) if i < bins else 1.0) for i in range(bins + 1)])
     return F.array_distinct(F.percentile(col(x), shares).over(Window.partitionBy(*group)))
 
 
