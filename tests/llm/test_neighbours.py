@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidelens.llm import neighbours
@@ -59,3 +60,43 @@ def test_a_query_that_reaches_too_few_rows(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = grouped(search(df))
     assert all(len(r) == 20 for r in got.values()) and len(got) == 101
+
+
+def near_copies(n, width, noise, seed):
+    """Random rows, a third of them one row with a little noise, and which they are."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, width))
+    hot = np.zeros(n, bool)
+    hot[rng.permutation(n)[: n // 3]] = True
+    x[hot] = x[0] + noise * rng.normal(size=(hot.sum(), width))
+    return x.astype(np.float32).astype(float), hot
+
+
+@pytest.mark.parametrize("noise", [0.05, 0.005])
+def test_recall_among_near_copies(spark, noise):
+    x, hot = near_copies(12_000, 64, noise, 5)
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got, want = grouped(search(df)), brute(ids, x, 20, 20)
+    assert got.keys() == want.keys()
+    hits = {q: len({v for _, v, _ in rows} & {v for v, _ in want[q]}) for q, rows in got.items()}
+    recall = {where: sum(hits[q] for q in hits if hot[q] in of) / 20 / sum(hot[q] in of for q in hits) for where, of in (("group", (True,)), ("all", (True, False)))}
+    print(noise, recall)
+    assert min(recall.values()) >= 0.9
+
+
+@pytest.mark.parametrize("noise", [0.5, 0.05, 0.005])
+def test_a_block_is_searched_exactly(noise):
+    x, _ = near_copies(2000, 64, noise, 6)
+    ids = np.arange(len(x))
+    model = neighbours.fit(x, 1)
+    batch = pa.RecordBatch.from_pydict({"vec_id": ids, "embedding": pa.array(x.tolist())})
+    table = pa.Table.from_batches(neighbours._assign(model)([batch])).append_column("block", pa.array(np.zeros(len(x), np.int32)))
+    (row,) = neighbours._blocks(table).to_pylist()
+    asked = ids[::20]
+    pair = pa.RecordBatch.from_pylist([row | {"query_ids": asked.tolist(), "queries": x[asked].tolist()}])
+    (found,) = neighbours._search(model, 20, 200)([pair])
+    got = {}
+    for r in found.to_pylist():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [v for v, _ in rows] for q, rows in brute(ids, x, 20, 20).items()}

@@ -4,7 +4,9 @@ A bounded sample of vectors fits coarse centroids and, on what they leave over,
 row is then indexed: dealt to its nearest centroid's list, coded, and kept in blocks of at most `BLOCK` rows, so that a list
 with a third of all rows is many blocks. A query scores its best lists by asymmetric distance tables (its own
 components against the codebooks), and the best `RERANK` of each block get their exact inner product in double precision on the
-original vectors. How many lists are probed is measured: the fewest that hold `TARGET` of the true neighbours within the sample. A query whose
+original vectors. So does every other row of the block that could still be among the best: its rough score is off by no more than
+the query's length times what the codes leave of the row, which is kept beside them. What a query finds in its lists is therefore
+exact, however many rows share their codes. How many lists are probed is measured: the fewest that hold `TARGET` of the true neighbours within the sample. A query whose
 lists hold fewer rows than it wants is run against all rows in blocks.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components
@@ -33,6 +35,7 @@ BLOCK = 2048
 QUERY_BLOCK = 256
 GROUPS = 16
 CODES = 32
+#: Rows of a block that are scored exactly at first; the others follow where their bound reaches what these find.
 RERANK = 200
 #: Share of the true neighbours that the probed lists must hold, measured within the sample.
 TARGET = 0.97
@@ -81,7 +84,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _assign(model: dict):
-    """vec_id, list and codes of every row."""
+    """vec_id, list and codes of every row, and a bound of what the codes leave of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,16 +92,21 @@ def _assign(model: dict):
             own = nearest(x, model["centres"])
             left = x - model["centres"][own]
             codes = np.stack([nearest(left[:, c], b) for c, b in zip(model["cuts"], model["books"])], 1).astype(np.uint8)
-            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "embedding": batch.column(1), "list": pa.array(own, pa.int32()), "codes": pa.array([r.tobytes() for r in codes], pa.binary())})
+            missed = left.copy()
+            for g, (c, book) in enumerate(zip(model["cuts"], model["books"])):
+                missed[:, c] -= book[codes[:, g]]
+            # The length of what is missed, and far more than rounding can add to it.
+            error = np.linalg.norm(missed, axis=1) * (1 + 1e-9) + 1e-9 * (np.linalg.norm(x, axis=1) + np.linalg.norm(left, axis=1))
+            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "embedding": batch.column(1), "list": pa.array(own, pa.int32()), "codes": pa.array([r.tobytes() for r in codes], pa.binary()), "error": pa.array(error)})
 
     return run
 
 
 def _blocks(table: pa.Table) -> pa.Table:
-    """One block: ids, vectors and codes as bytes, in the order of vec_id."""
+    """One block: ids, vectors, codes and errors as bytes, in the order of vec_id."""
     table = table.sort_by("vec_id")
     x = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return pa.table({"list": table.column("list")[:1].cast(pa.int32()), "block": table.column("block")[:1].cast(pa.int32()), "ids": pa.array([table.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([x.astype("<f8").tobytes()], pa.binary()), "codes": pa.array([b"".join(table.column("codes").to_pylist())], pa.binary())})
+    return pa.table({"list": table.column("list")[:1].cast(pa.int32()), "block": table.column("block")[:1].cast(pa.int32()), "ids": pa.array([table.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([x.astype("<f8").tobytes()], pa.binary()), "codes": pa.array([b"".join(table.column("codes").to_pylist())], pa.binary()), "errors": pa.array([table.column("error").to_numpy().astype("<f8").tobytes()], pa.binary())})
 
 
 def _probe(model: dict, probes: int):
@@ -149,24 +157,33 @@ def _first(query: np.ndarray, vec: np.ndarray, score: np.ndarray, want: int) ->
 def _search(model: dict | None, want: int, rerank: int, held: int = 400_000):
     """The best rows of a task's blocks for each of its queries; without a model all rows are scored exactly."""
 
+    def scored(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,j->i", x[at], q)
+
     def block(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         asked = np.array(row["query_ids"], np.int64)
         q = np.array(row["queries"], float)
         ids = np.frombuffer(row["ids"], "<i8")
         x = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1)
+        every = np.arange(len(ids))
         if model and len(ids) > rerank:
-            codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-            rough = np.zeros((len(q), len(ids)), np.float32)
+            codes, errors = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["errors"], "<f8")
+            rough = np.repeat((q @ model["centres"][row["list"]])[:, None], len(ids), 1)
             for g, (c, book) in enumerate(zip(model["cuts"], model["books"])):
-                rough += (q[:, c] @ book.T).astype(np.float32)[:, codes[:, g]]
-            few = [np.sort(_top(s, rerank + 1)) for s in rough]
-        else:
-            few = [np.arange(len(ids))] * len(q)
-        for k, near in enumerate(few):
-            near = near[ids[near] != asked[k]]
-            exact = np.einsum("ij,j->i", x[near], q[k])
+                rough += (q[:, c] @ book.T)[:, codes[:, g]]
+            length = np.linalg.norm(q, axis=1)
+        for k, own in enumerate(asked):
+            near = every
+            if model and len(ids) > rerank:
+                few = np.sort(_top(rough[k], rerank + 1))
+                sure = np.sort(scored(x, few[ids[few] != own], q[k]))
+                if len(sure) >= want:
+                    # A bound that isn't a number leaves its row in.
+                    near = np.flatnonzero(~(rough[k] + length[k] * errors < sure[-want]))
+            near = near[ids[near] != own]
+            exact = scored(x, near, q[k])
             best = _top(exact, want)
-            yield np.full(len(best), asked[k]), ids[near[best]], exact[best]
+            yield np.full(len(best), own), ids[near[best]], exact[best]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
@@ -218,13 +235,13 @@ def search(embeddings: DataFrame, step: int = QUERY_STEP, want: int = WANT, targ
     model = fit(sample, int(np.clip(round(total**0.5 / 4), 1, 4096)))
     probes = probes_for(model, sample, want, target)
 
-    coded = stable(rows.mapInArrow(_assign(model), "vec_id long, embedding array<double>, list int, codes binary"))
+    coded = stable(rows.mapInArrow(_assign(model), "vec_id long, embedding array<double>, list int, codes binary, error double"))
     # One row for each list: at most 4096.
     sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}
     rows_of, blocks_of = (F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, f(n))]), F.col("list")) for f in (int, lambda n: -(-n // BLOCK)))
     probes = min(probes, len(model["centres"]))
     dealt = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks_of).cast("int"))
-    blocks = stable(dealt.groupBy("list", "block").applyInArrow(_blocks, "list int, block int, ids binary, vectors binary, codes binary"))
+    blocks = stable(dealt.groupBy("list", "block").applyInArrow(_blocks, "list int, block int, ids binary, vectors binary, codes binary, errors binary"))
 
     queries = rows.filter(F.col("vec_id") % step == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("query"))
     probed = stable(queries.mapInArrow(_probe(model, probes), "list int, query_id long, query array<double>").filter(F.col("list").isin(list(sizes))))
@@ -232,7 +249,7 @@ def search(embeddings: DataFrame, step: int = QUERY_STEP, want: int = WANT, targ
     short = stable(probed.groupBy("query_id").agg(F.sum(rows_of).alias("reach"), F.first("query").alias("query")).filter(F.col("reach") <= want).select("query_id", "query"))
     turns = max(1, -(-total // step // QUERY_BLOCK))
     schema = "query_id long, vec_id long, score double"
-    pair = ["query_ids", "queries", "ids", "vectors", "codes"]
+    pair = ["list", "query_ids", "queries", "ids", "vectors", "codes", "errors"]
     asked = _asked(probed.join(short, "query_id", "left_anti"), blocks_of, turns)
     found = blocks.join(asked, ["list", "block"]).select(*pair).mapInArrow(_search(model, want, RERANK), schema)
     if not short.isEmpty():
