@@ -29,8 +29,8 @@ def _folder(spark: SparkSession) -> str:
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.read(spark, f"{sf_dir}/events.parquet*")
+def _events(spark: SparkSession, sf_dir: str, files_at_once: int | None = 8) -> DataFrame:
+    return ev.read(spark, f"{sf_dir}/events.parquet*", files_at_once=files_at_once)
 
 
 def _run(out: DataFrame) -> DataFrame:
@@ -43,14 +43,14 @@ def _run(out: DataFrame) -> DataFrame:
 @query("""with b as (select date_trunc('hour', ts) as start, event_type, arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, (ts, event_id)) as close, round(sum(value), 4) as total, count(*) as n from events group by 1, 2)
 select start, event_type, open, high, low, close, total, n from b where start + interval 1 hour <= (select date_trunc('milliseconds', max(ts)) - interval 10 minute from events)""".replace("arg_min(value, (ts, event_id))", "first(value order by ts, event_id)").replace("arg_max(value, (ts, event_id))", "last(value order by ts, event_id)"))
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars; the last hour isn't closed yet."""
-    return _run(ev.bars(_events(spark, sf_dir))).withColumn("total", F.round("total", 4))
+    """Hourly bars; the last hour isn't closed yet. The table is finished and its files in no order of time: one batch, or rows come late."""
+    return _run(ev.bars(_events(spark, sf_dir, None))).withColumn("total", F.round("total", 4))
 
 
 @query("select event_type, count(*) as n, count(distinct event_id) as ids from events group by 1")
 def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event once, although the stream reads two copies of it."""
-    both = _events(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    """Each event once, although the stream reads two copies of it. One batch, as for the bars."""
+    both = _events(spark, sf_dir, None).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     return _run(ev.once(both).select("event_id", "event_type")).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 

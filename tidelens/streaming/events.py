@@ -10,8 +10,10 @@ from tidelens.operators import panel
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def read(spark: SparkSession, path: str, schema: str = EVENTS, fmt: str = "parquet", files_at_once: int = 8) -> DataFrame:
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_at_once).load(path)
+def read(spark: SparkSession, path: str, schema: str = EVENTS, fmt: str = "parquet", files_at_once: int | None = 8) -> DataFrame:
+    """The rows of the files, so many files a batch; None: all there are in one batch, so that none is late whatever the files' order."""
+    stream = spark.readStream.format(fmt).schema(schema)
+    return (stream.option("maxFilesPerTrigger", files_at_once) if files_at_once else stream).load(path)
 
 
 def bars(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", key: str = "event_type") -> DataFrame:
