@@ -26,7 +26,7 @@ def many_files(tmp_path_factory):
     return root
 
 
-@pytest.mark.parametrize("name", ["stream_bars", "stream_once"])
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_many_files_in_no_order(spark, many_files, name):
     duck = duckdb.connect()
     duck.execute(f"create view events as select * from read_parquet('{many_files}/events.parquet/*')")

@@ -56,10 +56,10 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select user_id, max(event_id) as event_id, arg_max(value, event_id) as value from events group by 1")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest event of each user, kept by upserts batch by batch."""
+    """The newest event of each user, kept by upserts batch by batch; its id tells, not the batch it came in."""
     folder = _folder(spark)
     newest = lambda df: df.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
-    write = ev.upsert_to(f"{folder}/table", ["user_id"])
+    write = ev.upsert_to(f"{folder}/table", ["user_id"], F.desc("event_id"))
     stream = _events(spark, sf_dir).writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     stream.foreachBatch(lambda batch, number: write(newest(batch), number)).start().awaitTermination()
     versions = spark.read.format("parquet").option("basePath", f"{folder}/table").load(f"{folder}/table/v*").select(F.regexp_extract(F.col("_metadata.file_path"), r"/v(\d+)/", 1).cast("int").alias("v"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelens.operators import panel
@@ -32,12 +32,18 @@ def once(events: DataFrame, key: str = "event_id", late: str = "10 minutes") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_to(folder: str, key: list[str]):
-    """A foreachBatch sink: every batch makes a new version of the table below `folder` from the last one. A batch that is run again makes the same version."""
+def upsert_to(folder: str, key: list[str], order: Column | None = None):
+    """A foreachBatch sink: every batch makes a new version of the table below `folder` from the last one. A batch that is run again makes the same version.
+
+    Of a key's old and new rows the first by `order` stays, whatever batch it came in; without an order, the newer batch's.
+    """
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        return panel.upsert(old, new, key) if order is None else panel.keep_newest(old.unionByName(new, allowMissingColumns=True), key, order)
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        merged = panel.upsert(spark.read.parquet(f"{folder}/v{number - 1}"), batch, key) if number else batch
+        merged = merge(spark.read.parquet(f"{folder}/v{number - 1}"), batch) if number else batch
         merged.write.mode("overwrite").parquet(f"{folder}/v{number}")
 
     return run
