@@ -100,3 +100,19 @@ def test_a_block_is_searched_exactly(noise):
     for r in found.to_pylist():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == {q: [v for v, _ in rows] for q, rows in brute(ids, x, 20, 20).items()}
+
+
+def test_a_query_whose_best_list_is_empty(spark, monkeypatch):
+    fit = neighbours.fit
+
+    def with_an_empty_list(*a):
+        model = fit(*a)
+        # Farther out than any row in the direction of half of them, and nearest to none.
+        return model | {"centres": np.concatenate([model["centres"], 1000 * np.sign(model["centres"][:1])])}
+
+    monkeypatch.setattr(neighbours, "fit", with_an_empty_list)
+    monkeypatch.setattr(neighbours, "probes_for", lambda *a: 1)
+    x = np.random.default_rng(7).normal(size=(2000, 4))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = grouped(search(df))
+    assert len(got) == 100 and all(len(r) == 20 for r in got.values())

@@ -109,13 +109,13 @@ def _blocks(table: pa.Table) -> pa.Table:
     return pa.table({"list": table.column("list")[:1].cast(pa.int32()), "block": table.column("block")[:1].cast(pa.int32()), "ids": pa.array([table.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([x.astype("<f8").tobytes()], pa.binary()), "codes": pa.array([b"".join(table.column("codes").to_pylist())], pa.binary()), "errors": pa.array([table.column("error").to_numpy().astype("<f8").tobytes()], pa.binary())})
 
 
-def _probe(model: dict, probes: int):
-    """The lists with the greatest inner products of their centroids, for every query."""
+def _probe(model: dict, probes: int, live: np.ndarray):
+    """Of the lists that have rows, those with the greatest inner products of their centroids, for every query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), model["centres"].shape[1])
-            best = np.argsort(-(x @ model["centres"].T), axis=1, kind="stable")[:, :probes]
+            best = live[np.argsort(-(x @ model["centres"][live].T), axis=1, kind="stable")[:, :probes]]
             n = best.shape[1]
             row = np.repeat(np.arange(len(x)), n)
             yield pa.RecordBatch.from_pydict({"list": pa.array(best.ravel(), pa.int32()), "query_id": batch.column(0).take(pa.array(row)), "query": batch.column(1).take(pa.array(row))})
@@ -239,12 +239,11 @@ def search(embeddings: DataFrame, step: int = QUERY_STEP, want: int = WANT, targ
     # One row for each list: at most 4096.
     sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}
     rows_of, blocks_of = (F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, f(n))]), F.col("list")) for f in (int, lambda n: -(-n // BLOCK)))
-    probes = min(probes, len(model["centres"]))
     dealt = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks_of).cast("int"))
     blocks = stable(dealt.groupBy("list", "block").applyInArrow(_blocks, "list int, block int, ids binary, vectors binary, codes binary, errors binary"))
 
     queries = rows.filter(F.col("vec_id") % step == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("query"))
-    probed = stable(queries.mapInArrow(_probe(model, probes), "list int, query_id long, query array<double>").filter(F.col("list").isin(list(sizes))))
+    probed = stable(queries.mapInArrow(_probe(model, probes, np.array(sorted(sizes))), "list int, query_id long, query array<double>"))
     # Queries whose lists hold too few rows for them: all rows for these.
     short = stable(probed.groupBy("query_id").agg(F.sum(rows_of).alias("reach"), F.first("query").alias("query")).filter(F.col("reach") <= want).select("query_id", "query"))
     turns = max(1, -(-total // step // QUERY_BLOCK))
