@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import tempfile
 import uuid
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,19 +17,94 @@ from tidelens.llm._text import chunks
 
 #: Bytes of text that one reducing task should get at most.
 TASK_BYTES = 12 << 20
+#: Beyond so many tasks of that size tasks grow instead, up to MOST_BYTES: rows stream through them.
+MANY_TASKS, MOST_BYTES = 20_000, 512 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Files below the shared folder that this process has written and not deleted yet: path -> session.
+_WRITTEN: dict[str, SparkSession] = {}
+_LOCAL_ROOT: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see. Without one a local session gets a temporary folder; a cluster is an error."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL_ROOT:
+        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="tidelens-"))
+    return _LOCAL_ROOT[0]
+
+
+def delete(path: str) -> None:
+    """Delete a file or folder that this process has written below the shared folder."""
+    spark = _WRITTEN.pop(path, None)
+    if spark is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+
+
+@atexit.register
+def _delete_rest() -> None:
+    """What results may still be read from goes when the process ends; the JVM may be gone by then."""
+    for path in list(_WRITTEN):
+        with suppress(Exception):
+            delete(path)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared checkpoint folder, so that a lost executor loses nothing."""
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+        context.setCheckpointDir(shared_root(spark))
+    out = df.checkpoint()
+    if path := _files(out):
+        _WRITTEN[path] = spark
+    return out
+
+
+def _files(kept: DataFrame) -> str | None:
+    """Where the rows of a stable() frame lie."""
+    plan = kept._jdf.queryExecution().logical()
+    found = plan.rdd().getCheckpointFile()
+    return found.get() if found.isDefined() else None
+
+
+def forget(*kept: DataFrame) -> None:
+    """Delete the files of stable() frames that nothing reads any more."""
+    for df in kept:
+        if path := _files(df):
+            delete(path)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written as a Parquet table below the shared folder and read again."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key of more than this share of all rows is joined by broadcast; there are at most 1 / HOT_SHARE of these.
+HOT_SHARE = 0.001
+
+
+def join_hot(rows: DataFrame, known: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of `known`, which has one row a key and `n`, how many of the `total` rows have that key.
+
+    The rows of frequent keys, whose number HOT_SHARE bounds, never meet in one task: their keys are broadcast. The others are shuffled.
+    """
+    hot = stable(known.filter(F.col("n") > F.lit(total * HOT_SHARE)))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    out = rest.join(known.filter(F.col("n") <= F.lit(total * HOT_SHARE)), key)
+    return out.unionByName(rows.join(F.broadcast(hot), key)).drop("n")
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
@@ -40,14 +117,18 @@ def parts(amount: float, each: float, least: int = 1) -> int:
     return max(least, math.ceil(amount / each))
 
 
-def tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def tasks(docs: DataFrame) -> int:
+    """How many tasks share out the texts of docs: TASK_BYTES each up to MANY_TASKS, then larger ones up to MOST_BYTES."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = text_bytes(docs)
+    return parts(total, min(max(TASK_BYTES, total / MANY_TASKS), MOST_BYTES), min(least, 16))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for written tables beside the checkpoints, which all executors see."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tables-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new folder for written tables beside the checkpoints, which all executors see. It is deleted when the process ends."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
 
 
 def with_found(docs: DataFrame, task, found: str, text: str = "text") -> tuple[DataFrame, list[str]]:

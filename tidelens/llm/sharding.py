@@ -8,8 +8,11 @@ The search runs on the driver over knots: some of the groups' ends as running to
 fill from below and above. Where the bounds differ, the gaps between knots that matter are looked up again more finely in Spark, until the
 answer is exact. So the driver holds a bounded number of numbers, however many groups there are.
 
+A group of copies of more than a thousandth of all rows is joined to its place by broadcast, and its rows are sorted over many
+tasks, so that no task gets a whole large group.
+
 Defined cases: a null text counts as an empty one. Null doc_ids come first. Repeated rows are copies. A group larger than all
-others together still is one group, and is then the capacity. Extra columns are ignored.
+others together still is one group, and is then the capacity. A very long text is only measured and hashed. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm._spark import stable, tasks
+from tidelens.llm._spark import join_hot, stable, tasks
 
 SHARDS = 16
 KNOTS = 1024
@@ -143,25 +146,26 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of docs; the law is `bytes`."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = stable(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest")))
-    n = tasks(spark)
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("size"), F.min("doc_id").alias("first"))
+    own = F.monotonically_increasing_id().alias("row")  # spreads rows that are alike in all else
+    rows = stable(docs.select("doc_id", own, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest")))
+    n = tasks(docs)
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("size"), F.min("doc_id").alias("first"), F.count("*").alias("n"))
     ordered = groups.repartitionByRange(n, "first", "digest").sortWithinPartitions("first", "digest")
-    running = stable(ordered.mapInArrow(_running(["digest"]), "digest binary, part int, running long"))
+    running = stable(ordered.mapInArrow(_running(["digest", "n"]), "digest binary, n long, part int, running long"))
     # One row for each part.
-    totals = sorted(tuple(r) for r in running.groupBy("part").agg(F.max("running")).collect())
-    before, starts = 0, []
-    for part, size in totals:
+    totals = sorted(tuple(r) for r in running.groupBy("part").agg(F.max("running"), F.sum("n")).collect())
+    before, starts, count = 0, [], sum(k for _, _, k in totals)
+    for part, size, _ in totals:
         starts.append((part, before))
         before += size
     known = spark.createDataFrame(starts, "part int, part_start long")
-    ends = stable(running.join(F.broadcast(known), "part").select("digest", (F.col("part_start") + F.col("running")).alias("end")))
+    ends = stable(running.join(F.broadcast(known), "part").select("digest", "n", (F.col("part_start") + F.col("running")).alias("end")))
     cuts = Cutter(before, shards, _look_up(ends.select("end"))).cuts() if before else []
     shard = F.lit(0)
     for cut in cuts[:-1]:
         shard = shard + F.when(F.col("end") > F.lit(cut), 1).otherwise(0)
-    placed = rows.join(ends, "digest").select("doc_id", "size", "text_crc32", "end", shard.cast("int").alias("shard"))
-    placed = placed.repartitionByRange(n, "end", "doc_id").sortWithinPartitions("end", "doc_id", "text_crc32")
+    placed = join_hot(rows, ends, "digest", count).select("doc_id", "row", "size", "text_crc32", "end", shard.cast("int").alias("shard"))
+    placed = placed.repartitionByRange(n, "end", "doc_id", "row").sortWithinPartitions("end", "doc_id", "row")
     placed = stable(placed.mapInArrow(_places, "doc_id long, size long, text_crc32 long, shard int, part int, place long"))
     # At most one row for each part and cut.
     filled, offsets = {}, []

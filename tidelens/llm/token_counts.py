@@ -1,13 +1,15 @@
 """Token counts of the sections of texts, by offset-mapped attribution.
 
-A text is encoded once, whole; the tokens' character spans are then joined to the sections' spans. The rule for a token
+A text is encoded once, whole: the ids are those of its whole encoding, got from remembered pieces that no token crosses. Their
+spans follow from the bytes that each id stands for, end to end, which is what the library's offset mapping says in characters; the spans are then joined to the sections' spans. The rule for a token
 that crosses a boundary: it counts for the section that holds its first character ("first") or its last one ("last").
 So the sections' counts add up to the text's. A token of a few bytes of one character lies where the character lies.
 
 Sections are the lines of a text (a line ends with its newline), or begin at given character offsets.
 
 Defined cases: a null or empty text is one empty section without tokens. Given offsets are sorted, and those that are null, negative, repeated or
-beyond the text are dropped; characters before the first belong to a section that begins at 0. Repeated rows stay; extra columns are ignored.
+beyond the text are dropped; characters before the first belong to a section that begins at 0. Repeated rows stay; extra columns are ignored. A very long
+text is held in memory whole, by itself.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ block of about CHUNK_BYTES of text, in ascending doc_id order:
 Any run of ids can be unpacked by itself, because id k stands at bit k * bits.
 
 Defined cases: a null or empty text has only the end id. Rows with a null doc_id come first. Rows that repeat a doc_id stay
-rows of their own, in the order of their texts. Extra columns are ignored.
+rows of their own, in the order of hashes of their texts, and may lie in several tasks. A text longer than a block is a block of its own; it is held in
+memory whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,8 +81,9 @@ def _blocks(tokenizer: str, bits: int, end_id: int):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode every text, append end_id, and write the ids in ascending doc_id order."""
     bits = bits_for(max(vocabulary_size(tokenizer), end_id + 1))
-    ordered = docs.select("doc_id", "text").repartitionByRange(tasks(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_blocks(tokenizer, bits, end_id), _BLOCK_SQL).write.parquet(path)
+    place = ["doc_id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")]  # alike rows spread by the last
+    ordered = docs.select("text", *place).repartitionByRange(tasks(docs), "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row")
+    ordered.select("doc_id", "text").mapInArrow(_blocks(tokenizer, bits, end_id), _BLOCK_SQL).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
