@@ -91,3 +91,22 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert near_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_each_row_is_judged_by_itself(spark):
+    """A doc_id that two texts share links nothing, and its rows come and go one by one."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, 0, 0), (2, a, 1, 1), (2, b, 2, 2), (3, b, 3, 3), (2, b, 2, 2), (None, b, 4, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash int, c0 int")
+    assert sorted((r.doc_id or 0, r.component_id) for r in near_components(docs).collect()) == [(0, 2), (1, 1), (2, 1), (2, 2), (2, 2), (3, 2)]
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, a, 0, 0), (2, b, 2, 2), (None, b, 4, 4)]
+
+
+def test_a_third_of_all_rows_alike(spark):
+    rows = [(5, "one same text of some words", 1)] * 2000 + [(10 + i, " ".join(f"w{i}x{k}" for k in range(30)), 2) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int").repartition(6)
+    got = near_components(docs).groupBy("component_id").count().collect()
+    assert sorted((r.component_id, r["count"]) for r in got) == [(5, 2000)] + [(10 + i, 1) for i in range(300)]
+    assert keep_one(docs).count() == 301 and keep_one(docs.limit(0)).count() == 0

@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
-from tidelens.llm.substring_dedup import remove_repeats
+import numpy as np
+
+from tidelens.llm.substring_dedup import Seen, cut_repeats, remove_repeats
 
 
 def brute(rows, width):
@@ -55,3 +57,40 @@ def test_text_and_odd_rows(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string"), with_text=False).count() == 0
+
+
+def test_columns_with_clashing_names(spark):
+    text = " ".join(map(str, range(30)))
+    rows = [(1, text, [1], 5, 6, "x", 7, 99), (2, f"new\n{text}  end", [2], 8, 9, "y", 3, 99), (None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans array<int>, n_words int, n_removed int, kept_text string, c1 int, n_chars int")
+    cut = cut_repeats(docs)
+    assert cut.schema == docs.schema
+    assert sorted(map(tuple, cut.collect()), key=str) == sorted([rows[0], (2, "new end", [2], 8, 9, "y", 3, 7), rows[2]], key=str)
+    found = {r.doc_id: r for r in remove_repeats(docs).collect()}
+    assert found[2].spans == [2] and found[2].c1 == 3 and found[2].text == rows[1][1] and (found[2].n_words, found[2].n_removed, found[2].kept_text) == (32, 30, "new end")
+
+
+def test_windows_that_a_task_remembers():
+    """In whatever order a task meets a window, all but the earliest position it has sent are later ones."""
+    rng = np.random.default_rng(1)
+    seen, first = Seen(64), {}
+    for _ in range(60):
+        n = 50
+        hashes = np.concatenate([np.arange(20, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), rng.integers(1, 1 << 60, n - 20).astype(np.uint64)])
+        docs, starts = rng.integers(0, 1000, n), rng.integers(0, 50, n)
+        later = seen.later(hashes, docs, starts)
+        for h, d, s, x in zip(hashes.tolist(), docs.tolist(), starts.tolist(), later.tolist()):
+            assert not x or first[h] < (d, s)
+            first[h] = min(first.get(h, (d, s)), (d, s))
+    assert later[:20].sum() >= 10
+
+
+def test_a_hot_window_in_many_blocks(spark, monkeypatch):
+    from tidelens.llm import substring_dedup as sd
+
+    monkeypatch.setattr(sd, "_BLOCK_BYTES", 600)
+    random.seed(8)
+    passage = [f"p{i}" for i in range(12)]
+    rows = [(d, " ".join([*[random.choice("abcdef") + str(random.randint(0, 99)) for _ in range(random.randint(0, 20))], *passage, "end"])) for d in random.sample(range(10_000), 600)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8, with_text=False).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute(rows, 8)

@@ -2,7 +2,7 @@
 
 A fingerprint bit is 1 if it is set in over half of the XXH64 hashes (seed 42) of a text's shingles,
 repeats included. Fingerprints that differ in at most `budget` bits are linked, and documents get the smallest
-doc_id that links reach.
+doc_id of the fingerprints that links reach. Rows are judged one by one: two rows of one doc_id with different texts aren't linked by it.
 
 Two linked fingerprints agree in at least one of budget + 1 blocks of bits. So distinct fingerprints are
 dealt once for each block by that block's value, and what is dealt to a task is one trie, with the block's bits
@@ -11,9 +11,11 @@ its budget (none in the block, then the rest). The budget is raised step by step
 in one component already are pruned too, so a large group of near copies doesn't cost the square of its size. Tasks give links
 to the smallest member only. A value that very many fingerprints share is dealt again by blocks of the other bits.
 
+A fingerprint that more than a thousandth of all rows share is joined back to its rows by broadcast, not in one task.
+
 Defined cases: a text without words (or null) has fingerprint zero and is linked like any other; fewer words
 than a shingle are one shingle. A row with a null doc_id gets its component but isn't its smallest member. Repeated rows
-and extra columns stay.
+and extra columns stay. A very long text is held in memory whole, by itself; its hashes are added up in steps.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm._spark import parts, stable
+from tidelens.llm._spark import forget, join_hot, stable
 from tidelens.llm._text import chunks, joined, word_spans
 
 SHINGLE = 3
@@ -210,30 +212,64 @@ def components(found: DataFrame) -> DataFrame:
     edges = stable(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = None
     while True:
+        before = edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = stable(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        least = stable(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = stable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        lower = stable(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        edges = stable(small.union(lower.select("u", F.col("m").alias("v"))).distinct())
+        forget(before, least, large, lower)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == seen:
             return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
         seen = now
 
 
+def _components(prints: DataFrame, budget: int, hot: int) -> DataFrame:
+    """The rows of prints (doc_id, fingerprint_bits and more) with root, which names their component, and component_id, its smallest doc_id."""
+    seen = stable(prints.groupBy("fingerprint_bits").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    roots = components(links(seen.select(F.col("fingerprint_bits").alias("vertex"), F.col("fingerprint_bits").alias("code")), budget, hot))
+    roots = roots.withColumnRenamed("vertex", "fingerprint_bits")
+    placed = stable(seen.join(roots, "fingerprint_bits", "left").withColumn("root", F.coalesce("root", "fingerprint_bits")))
+    least = stable(placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))
+    sizes = placed.agg(F.sum("n"), F.count("*")).first()
+    known = stable(join_hot(placed.withColumnRenamed("n", "rows"), least, "root", sizes[1]).select("fingerprint_bits", "root", "component_id", F.col("rows").alias("n")))
+    return join_hot(prints, known, "fingerprint_bits", sizes[0] or 0)
+
+
 def near_components(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs."""
-    prints = stable(fingerprints(docs, shingle))
-    codes = stable(prints.groupBy(F.col("fingerprint_bits").alias("code")).agg(F.min("doc_id").alias("vertex")).filter("vertex is not null"))
-    roots = components(links(codes, budget, hot))
-    known = stable(codes.join(roots, "vertex", "left").select("code", F.coalesce("root", "vertex").alias("component_id")))
-    out = prints.join(known, prints["fingerprint_bits"] == known["code"], "left")
+    out = _components(stable(fingerprints(docs, shingle)), budget, hot)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint_bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; rows with a null doc_id stay."""
-    found = near_components(docs, **options)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").union(docs.filter("doc_id is null"))
+#: Rows of a table of two longs that may be broadcast: 32 MB. A larger one is joined by a shuffle.
+MOST_SENT = 2_000_000
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
+    """One row of each component of docs: that with the smallest doc_id, and of rows that share it the one with the smallest text hash.
+
+    Rows with a null doc_id stay. Of rows alike in doc_id and text one stays. All columns stay as they are, whatever their names.
+    """
+    names, id_, text = docs.columns, docs.columns.index("doc_id"), docs.columns.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("hash", F.xxhash64(f"c{text}"))
+    bare = plain.select(F.col(f"c{id_}").alias("doc_id"), F.col(f"c{text}").alias("text"), "hash")
+    prints = stable(bare.mapInArrow(_fingerprints(shingle), "doc_id long, hash long, fingerprint_bits long"))
+    rows = _components(prints, budget, hot).filter("doc_id is not null")
+    keys = stable(rows.groupBy("doc_id", "hash").agg(F.count("*").alias("n"), F.min("root").alias("root")))
+    first = keys.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("k")).select("k.doc_id", "k.hash", F.lit(True).alias("kept"))
+    keys = stable(keys.join(first, ["doc_id", "hash"], "left").select("doc_id", "hash", "n", "kept"))
+    on = (plain[f"c{id_}"] == F.col("doc_id")) & (plain["hash"] == F.col("key_hash"))
+
+    def some(of: DataFrame) -> DataFrame:
+        of = of.select("doc_id", F.col("hash").alias("key_hash"))
+        return F.broadcast(of) if of.count() <= MOST_SENT else of
+
+    out = plain.join(some(keys.filter("kept is null or n > 1")), on, "left_anti")
+    again = keys.filter("kept and n > 1")
+    if not again.isEmpty():
+        # Rows alike in doc_id and text: combined within tasks before they are shuffled.
+        out = out.unionByName(plain.join(some(again), on, "left_semi").dropDuplicates([f"c{id_}", "hash"]))
+    return out.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)

@@ -6,12 +6,13 @@ for equal with a chance of 2**-(56 + log2(buckets)) a pair. Windows that also st
 (smaller doc_id, or the same document and a smaller start) cover words; overlapping and touching
 windows merge into maximal intervals, and the words in them go.
 
-A window that many texts share is counted once per block of texts before it is shuffled, so
-no bucket grows with the number of its copies.
+A window that many texts share is sent once for each block of texts, and after a few blocks once for each task: a task remembers windows that
+it meets again and again, and judges later copies by itself. So a bucket gets a few entries of such a window from each task, not one from each copy.
 
 Defined cases: a null text has no words. Rows with a null doc_id are kept as they are and are no source
 for others. Rows that share a doc_id are versions of one document: equal positions in them are not
-earlier than one another, and a position that goes in one goes in all. Extra columns are ignored.
+earlier than one another, and a position that goes in one goes in all. A very long text is a block by itself, held in memory whole
+(about 60 bytes a word). Extra columns are ignored, or stay as they are where the result has the columns of docs.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelens.llm._spark import TASK_BYTES, parts, stable, text_bytes
 from tidelens.llm._text import Chunk, _BASES, chunks, mix, planes, ragged, span_hashes, unplanes, window_hashes, word_spans
@@ -35,6 +37,8 @@ WIDTH = 20
 _BYTES_A_WORD = 5.5
 _HASH_BYTES = 7
 _BLOCK_BYTES = 4 << 20
+#: Windows that a task remembers of those it has sent: 6.5 MB.
+SLOTS = 1 << 18
 
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
 _FOUND = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary())])
@@ -67,18 +71,45 @@ def _later(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarr
     return (docs != docs[first]) | (starts != starts[first])
 
 
+class Seen:
+    """Windows that a task has sent, in a table of a fixed size: one a slot, where a window that was met again since stays."""
+
+    def __init__(self, slots: int = SLOTS):
+        self.shift = np.uint64(64 - slots.bit_length() + 1)
+        self.hashes, self.docs, self.starts, self.met = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, np.int64), np.zeros(slots, np.int8)
+
+    def later(self, hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which windows were sent before from an earlier position; the others are remembered, as far as there is room."""
+        slot = (mix(hashes) >> self.shift).astype(np.int64)
+        same = (self.hashes[slot] == hashes) & (self.met[slot] > 0)
+        later = same & ((self.docs[slot] < docs) | ((self.docs[slot] == docs) & (self.starts[slot] < starts)))
+        held = ~same & (self.met[slot] > 1)
+        self.met[slot[held]] = 1
+        self.met[slot[same]] = 2
+        new = np.flatnonzero(~later & ~held)
+        new = new[np.unique(slot[new], return_index=True)[1]]  # one a slot
+        at = slot[new]
+        fresh = ~same[new]
+        self.hashes[at], self.docs[at], self.starts[at] = hashes[new], docs[new], starts[new]
+        self.met[at[fresh]] = 1
+        return later
+
+
 def _send(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
+        task, seen = TaskContext.get().partitionId(), Seen()
         for number, chunk in enumerate(chunks(batches, limit=_BLOCK_BYTES)):
             if (found := _windows(chunk, width)) is None:
                 continue
             hashes, second, docs, starts = found
             block = (task << 24) + number
             later = _later(hashes, docs, starts)
-            rows = {"bucket": [block % buckets], "hashes": [None], "docs": [planes(docs[later])], "starts": [planes(starts[later], 5)]} if later.any() else {"bucket": [], "hashes": [], "docs": [], "starts": []}
             keep = np.flatnonzero(~later)
             keep = keep[~pd.Series(hashes[keep]).duplicated().to_numpy()]
+            again = seen.later(hashes[keep], docs[keep], starts[keep])
+            later[keep[again]] = True
+            keep = keep[~again]
+            rows = {"bucket": [block % buckets], "hashes": [None], "docs": [planes(docs[later])], "starts": [planes(starts[later], 5)]} if later.any() else {"bucket": [], "hashes": [], "docs": [], "starts": []}
             bucket = (second[keep] >> np.uint64(16)) % np.uint64(buckets)
             order = np.argsort(bucket.astype(np.int32), kind="stable")
             bucket, keep = bucket[order], keep[order]
@@ -148,9 +179,11 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return found.groupBy("block").applyInArrow(_merge(width), _SPANS).distinct()
 
 
-def _cut(with_text: bool):
+def _cut(at: str, with_text: bool, whole_too: bool):
+    """What is kept of the texts in column `at`, whose repeated intervals are in column `spans`; all other columns pass, and the text if whole_too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, at):
             starts, ends, firsts = word_spans(chunk)
             edge = np.zeros(len(starts) + 1, np.int32)
             spans = chunk.column("spans")
@@ -182,26 +215,46 @@ def _cut(with_text: bool):
             out = {"n_words": pa.array(words, pa.int64()), "n_removed": pa.array(words - left, pa.int64())}
             if with_text:
                 same, valid = words == left, chunk.valid
-                whole = chunk.column("text").cast(pa.string()).to_pylist()
-                out["kept_text"] = pa.array([whole[i] if same[i] or not valid[i] else texts[i].decode() for i in range(chunk.rows)], pa.string())
+                whole = chunk.column(at).cast(pa.string()).to_pylist()
+                out["kept"] = pa.array([whole[i] if same[i] or not valid[i] else texts[i].decode() for i in range(chunk.rows)], pa.string())
             else:
-                out["kept_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
-            rest = [c for c in chunk.batch.schema.names if c not in ("spans", *([] if with_text else ["text"]))]
-            yield pa.RecordBatch.from_pydict({c: chunk.column(c) for c in rest} | out)
+                out["kept"] = pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
+            yield pa.RecordBatch.from_pydict({c: chunk.column(c) for c in chunk.batch.schema.names if c != "spans" and (whole_too or c != at)} | out)
 
     return run
 
 
+def _cut_out(docs: DataFrame, width: int, with_text: bool, whole_too: bool = False) -> DataFrame:
+    """The columns of docs as c0, c1 and so on (the text if whole_too), and n_words, n_removed and kept (a text, or its digest)."""
+    names = docs.columns
+    id_, at = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    spans = repeated_spans(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
+    spans = stable(spans.withColumnRenamed("doc_id", id_))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    schema = T.StructType([*[f for f in plain.schema.fields if whole_too or f.name != at], *T._parse_datatype_string("n_words long, n_removed long, kept string").fields])
+    # Joined with the ids first: mapInArrow's columns stand in the order of its schema.
+    found = plain.join(spans, id_, "left").select(*plain.columns, "spans")
+    return found.mapInArrow(_cut(at, with_text, whole_too), schema)
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
     """Cut out the repeated windows of every text.
 
     with_text: all columns of docs, n_words, n_removed and kept_text (the text itself if nothing goes, else
-    the kept words joined by one space). Otherwise doc_id, n_words, n_removed and kept_sha256.
+    the kept words joined by one space); these three take the place of columns of docs that have their names. Otherwise doc_id, n_words, n_removed and kept_sha256.
     """
-    spans = stable(repeated_spans(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("first", "stop")).alias("spans")))
-    left = docs if with_text else docs.select("doc_id", "text")
-    clash = [c for c in left.columns if c in ("spans", "n_words", "n_removed", "kept_text")]
-    left = left.drop(*clash)
-    found = left.join(spans, "doc_id", "left")
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in left.select("doc_id", *[c for c in left.columns if c != "doc_id"]).schema if with_text or f.name != "text"]
-    return found.mapInArrow(_cut(with_text), ", ".join([*schema, "n_words long, n_removed long", "kept_text string" if with_text else "kept_sha256 string"]))
+    if not with_text:
+        return _cut_out(docs.select("doc_id", "text"), width, False).select(F.col("c0").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+    docs = docs.drop("n_words", "n_removed", "kept_text")
+    found = _cut_out(docs, width, True, True)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], "n_words", "n_removed", F.col("kept").alias("kept_text"))
+
+
+def cut_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with the repeated windows cut out of its texts; n_chars, where docs has it, follows a text that has changed. All other columns stay as they are."""
+    found, names = _cut_out(docs, width, True), docs.columns
+    new = {"text": F.col("kept")}
+    if "n_chars" in names:
+        at = names.index("n_chars")
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col(f"c{at}")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[new.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])
