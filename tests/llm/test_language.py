@@ -65,4 +65,36 @@ def test_temperature_calibrates():
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in predict(docs).collect()] == [("und", 0.0)] * 2
-    assert predict(docs.limit(0)).count() == 0 and keep_known(docs).count() == 0
+    assert predict(docs.limit(0)).count() == 0 and keep_known(docs.limit(0)).count() == 0
+
+
+def test_without_a_model_only_texts_without_letters_go(spark):
+    docs = spark.createDataFrame([(1, "some words", None, 0.1), (2, None, None, 0.1), (3, "12 !", None, 0.1)], "doc_id long, text string, lang string, score double")
+    kept = keep_known(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_many_copies_of_one_row(spark):
+    row = (4, "the of and to in that is was", "en")  # not held out
+    assert zlib.crc32(b"4") % 4 != 2
+    others = [(10 + d, t, x) for d, t, x in corpus(400) if x == "de"] + [(1000 + d, t, x) for d, t, x in corpus(300) if x == "en"]
+    for more in ([], others):
+        rows = [row] * 10_000 + more
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+        got = {(r.doc_id, r.lang_pred) for r in predict(docs).collect()}
+        assert got == {(d, x) for d, _, x in rows}
+
+
+def test_a_rare_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 200)
+    monkeypatch.setattr(language, "LEAST", 10)
+    rows = [r for r in corpus(6000) if r[2] != "es"] + [(10_000 + i, t, x) for i, (_, t, x) in enumerate(corpus(60)) if x == "es"]
+    got = {r.doc_id: r.lang_pred for r in predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[d] == x for d, _, x in rows) > 0.99 * len(rows) and all(got[d] == "es" for d, _, x in rows if x == "es")
+
+
+def test_long_texts_are_counted_whole(monkeypatch):
+    text = (" ".join(WORDS["es"]) + " İß ").encode() * 9
+    whole = language.counts(text)
+    monkeypatch.setattr(language, "STEP", 7)
+    assert (language.counts(text) == whole).all()

@@ -2,13 +2,15 @@
 
 Lower-cased texts are counted as character 1- to `NGRAM`-grams, hashed to `FEATURES` features. Document frequencies are taken over all
 documents that may be learned from. Weights are trained by follow-the-regularised-leader with elastic-net
-penalties (L1 makes them sparse) on a bounded sample: of the documents that may be learned from, those with hashes below the share that
-gives about `SAMPLE` of them, twice that at most. A share of the sample is held back to fit the temperature that calibrates the probabilities. Prediction is
-one pass over the whole texts, without a shuffle.
+penalties (L1 makes them sparse) on a bounded sample: of each language's distinct texts those with the least hashes, `SAMPLE` over the number of
+languages but `LEAST` at least, of the `LANGUAGES` languages with most texts. So it holds at most max(SAMPLE, LEAST * LANGUAGES) = 12,800 texts however
+large the corpus is, a rare language isn't missed for being rare, and many copies of a text count once. A share of the sample is held back to fit the
+temperature that calibrates the probabilities. Prediction is one pass over the whole texts, without a shuffle.
 
 Learned from: rows with a text, a language and a doc_id whose CRC-32 (of the id in decimal) modulo 4 isn't 2.
 
-Defined cases: a text that is null or has no letter is `und` with score 0, and so is every text if there is nothing to learn from.
+Defined cases: a text that is null or has no letter is `und` with score 0, and so is every text if there is nothing to learn from
+(keep_known() then keeps all texts with a letter). A very long text is counted whole, in steps. Where more than `LANGUAGES` values of lang occur, the rarer ones aren't learned.
 Equal probabilities go by the order of language names. Rows with a null doc_id get predictions but aren't learned from. Repeated
 rows stay. Extra columns are never inputs.
 """
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.llm._spark import only, with_found
@@ -30,8 +32,14 @@ from tidelens.llm._text import Chunk, chunks, mix
 UNKNOWN = "und"
 NGRAM = 3
 FEATURES = 1 << 14
-#: Documents that weights are trained on, about; the last tenth of them fits the temperature.
+#: Texts that weights are trained on, shared out among languages; a tenth of them fits the temperature.
 SAMPLE = 4000
+#: Texts of a language that are trained on where it has them, however many languages there are.
+LEAST = 50
+#: Languages that are learned at most.
+LANGUAGES = 256
+#: Characters that are counted at once.
+STEP = 1 << 20
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 HELD_BACK = 0.1
@@ -44,14 +52,18 @@ _SHIFT = np.uint64(64 - FEATURES.bit_length() + 1)
 
 def counts(text: bytes) -> np.ndarray:
     """How often each feature occurs in a text."""
-    points = np.frombuffer(text.decode("utf-8").lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lower = text.decode("utf-8").lower()
     out = np.zeros(FEATURES, np.int64)
-    gram = np.zeros(len(points), np.uint64)
-    for n in range(1, NGRAM + 1):
-        gram = gram[: len(points) - n + 1] * np.uint64(0x110001) + points[n - 1 :] + np.uint64(1)
-        if not len(gram):
-            break
-        out += np.bincount((mix(gram) >> _SHIFT).astype(np.int64), minlength=FEATURES)
+    for at in range(0, len(lower), STEP):
+        # The n-grams that begin in this step: some characters of the next one belong to them.
+        points = np.frombuffer(lower[at : at + STEP + NGRAM - 1].encode("utf-32-le"), np.uint32).astype(np.uint64)
+        own = min(STEP, len(lower) - at)
+        gram = np.zeros(len(points), np.uint64)
+        for n in range(1, NGRAM + 1):
+            gram = gram[: len(points) - n + 1] * np.uint64(0x110001) + points[n - 1 :] + np.uint64(1)
+            if not len(gram):
+                break
+            out += np.bincount((mix(gram[:own]) >> _SHIFT).astype(np.int64), minlength=FEATURES)
     return out
 
 
@@ -141,6 +153,20 @@ def _trainer(idf: np.ndarray):
     return run
 
 
+def _sample(rows: DataFrame) -> DataFrame:
+    """text, lang and hash of the sample, in one task: distinct texts with the least hashes of each language."""
+    hash_ = F.xxhash64("text", "lang")
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(hash_, 0.05).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    each = max(LEAST, SAMPLE // len(sizes))
+    # A share that gives rather more than is wanted, for the counts are estimates.
+    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * each / r["n"])) for r in sizes], "lang string, share double")
+    some = rows.select("text", "lang", hash_.alias("hash")).join(F.broadcast(shares), "lang").filter(F.col("hash") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    # Copies of a text are combined within tasks before they are shuffled.
+    distinct = some.dropDuplicates(["lang", "hash"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    return distinct.withColumn("place", place).filter(F.col("place") <= each).select("text", "lang", "hash").coalesce(1)
+
+
 def fit(docs: DataFrame) -> dict | None:
     """Classes, weights, idf and temperature, or None if no row may be learned from. Its size doesn't grow with the corpus."""
     rows = docs.select("doc_id", "text", "lang").filter(_may_learn())
@@ -151,10 +177,9 @@ def fit(docs: DataFrame) -> dict | None:
     found = np.zeros(FEATURES)
     found[list(seen)] = list(seen.values())
     idf = np.log((1 + total) / (1 + found)) + 1
-    share = min(1.0, SAMPLE / total)
-    rows = rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("hash"))
-    sample = rows.filter(F.col("hash") / F.lit(2.0**64) + 0.5 <= share).limit(2 * SAMPLE)
-    row = sample.mapInArrow(_trainer(idf), "classes array<string>, model binary").first()
+    row = _sample(rows).mapInArrow(_trainer(idf), "classes array<string>, model binary").first()
+    if row is None:
+        return None
     model = np.load(io.BytesIO(row["model"]))
     return {"classes": row["classes"], "weights": model["weights"], "idf": idf.astype(np.float32), "temperature": float(model["temperature"])}
 
@@ -184,6 +209,10 @@ def predict(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs whose language is known with a probability of at least `least`."""
-    found, names = with_found(docs, _predict(fit(docs)), "lang_pred string, score double")
+    """The rows of docs whose language is known with a probability of at least `least`; without anything to learn from, those whose text has a letter."""
+    model = fit(docs)
+    if model is None:
+        found, names = with_found(docs, lambda chunk: {"fine": pa.array([bool(chunk.valid[i]) and _LETTER.search(chunk.text(i).decode("utf-8")) is not None for i in range(chunk.rows)])}, "fine boolean")
+        return only(found.filter("fine"), names)
+    found, names = with_found(docs, _predict(model), "lang_pred string, score double")
     return only(found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), names)
