@@ -91,3 +91,11 @@ def test_odd_rows(spark):
     check(rows, assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect(), 3)
     assert len(assign_shards(spark.createDataFrame([(None, "x"), (None, None)], "doc_id long, text string"), 3).collect()) == 2
     assert assign_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_large_group_of_repeated_rows(spark):
+    rows = [(7, "one same text")] * 2000 + [(100 + i, f"text {i}") for i in range(500)]
+    got = assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4).collect()
+    assert len(got) == 2500 and len({r.shard for r in got if r.doc_id == 7}) == 1
+    for shard in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))

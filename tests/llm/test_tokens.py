@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import regex
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelens.llm import packing, token_counts, token_files
@@ -109,6 +110,74 @@ def test_packing(spark, rows, tokenizer, items):
     assert len(sequences) <= (total / capacity) * (1.02 if items > 20 else 1.1) + 1
 
 
+def exact_fewest(fills, capacity):
+    """The fewest sequences, by trying all ways (branch and bound)."""
+    best = len(fills)
+
+    def place(at, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if at == len(order):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= order[at]}:
+            i = rooms.index(room)
+            place(at + 1, [*rooms[:i], room - order[at], *rooms[i + 1 :]])
+        place(at + 1, [*rooms, capacity - order[at]])
+
+    order = sorted(fills, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_best_fit_against_all_ways():
+    rng = random.Random(5)
+    gaps = []
+    for _ in range(60):
+        fills = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        bins = packing.best_fit(fills, 20)
+        assert sorted(i for b in bins for i in b) == list(range(len(fills))) and all(sum(fills[i] for i in b) <= 20 for b in bins)
+        gaps.append(len(bins) - exact_fewest(fills, 20))
+    assert max(gaps) <= 1 and sum(gaps) <= 3
+
+
+def slow_best_fit(fills, capacity):
+    """Longest first, each into the sequence with the least room that holds it: straight from the words."""
+    rooms = []
+    for x in sorted(fills, reverse=True):
+        fitting = [i for i, r in enumerate(rooms) if r >= x]
+        if fitting:
+            i = min(fitting, key=lambda i: rooms[i])
+            rooms[i] -= x
+        else:
+            rooms.append(capacity - x)
+    return len(rooms)
+
+
+def test_packing_against_plain_best_fit(spark, tokenizer):
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice(["river", "stone", "a", "walking"]) for _ in range(rng.randint(0, 50)))) for i in range(400)]
+    found = packing.pieces(spark.createDataFrame(docs, "doc_id long, text string"), PATH, 2, 64)
+    fewest = slow_best_fit([r.length for r in found.collect()], 64)
+    assert packing.pack(found, 64).select("sequence_id").distinct().count() == fewest
+    for items, most in ((200, 1.05), (40, 1.1)):
+        assert packing.pack(found, 64, items, slack=1).select("sequence_id").distinct().count() <= most * fewest
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    docs = spark.createDataFrame([(1, "some words of one row")] * 5000, "doc_id long, text string").repartition(3)
+    got = packing.pack(packing.pieces(docs, PATH, 2), items=300)
+    assert got.count() == 5000
+    size = got.first().length
+    used = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("k"), F.count("*").alias("m")).collect()
+    assert all(r.n == r.end <= 1024 and r.k == r.m for r in used)
+    assert len(used) <= -(-5000 // (1024 // size)) + 17  # each of 17 tasks may end with one that equal items can't fill
+    # Each row has a salt of its own, so no task gets them all.
+    salts = packing.pieces(docs, PATH, 2).select(F.xxhash64(F.monotonically_increasing_id()).alias("salt")).select(F.pmod("salt", F.lit(17)).alias("deal"))
+    assert salts.groupBy("deal").count().agg(F.max("count")).first()[0] < 500
+
+
 def test_packing_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH, 2).count() == 0
 
@@ -138,3 +207,25 @@ def test_field_counts(spark, tokenizer):
     for d, text in ((1, "title\na body\n\nof é日 text\n"), (2, "\n\nx"), (3, "only\n\n")):
         assert sum(n for (i, _), n in got.items() if i == d) == len(tokenizer.encode(text, add_special_tokens=False).ids)
     assert got[1, "title"] == 2
+
+
+def test_counts_of_odd_tables(spark):
+    schema = "doc_id long, text string, section int, sections string"
+    assert token_counts.section_tokens(spark.createDataFrame([], schema), PATH).count() == 0
+    docs = spark.createDataFrame([(1, "a b\nc", 9, "x")] * 3 + [(None, "a", 9, "x"), (2, None, 9, "x")], schema)
+    got = sorted((r.doc_id or 0, r.section, r.n_tokens) for r in token_counts.section_tokens(docs, PATH).collect())
+    assert got == [(0, 0, 1)] + [(1, 0, 3)] * 3 + [(1, 1, 1)] * 3 + [(2, 0, 0)]
+
+
+def test_token_files_of_one_repeated_row(spark, tmp_path):
+    docs = spark.createDataFrame([(5, "the same row")] * 3000 + [(1, "first"), (9, "last")], "doc_id long, text string").repartition(5)
+    path = str(tmp_path / "same")
+    token_files.write_token_files(docs, path, PATH, 2)
+    blocks = token_files.read_token_files(spark, path)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.digests(blocks).collect())
+    at = 0
+    for start, _, n in got:
+        assert start == at
+        at += n
+    assert [d for _, d, _ in got] == [1] + [5] * 3000 + [9]
+    assert blocks.select("part").distinct().count() > 1
