@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from tidelens.llm import neighbours
@@ -95,7 +96,7 @@ def test_a_block_is_searched_exactly(noise):
     (row,) = neighbours._blocks(table).to_pylist()
     asked = ids[::20]
     pair = pa.RecordBatch.from_pylist([row | {"query_ids": asked.tolist(), "queries": x[asked].tolist()}])
-    (found,) = neighbours._search(model, 20, 200)([pair])
+    (found,) = neighbours._search(model, 20)([pair])
     got = {}
     for r in found.to_pylist():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
@@ -116,3 +117,34 @@ def test_a_query_whose_best_list_is_empty(spark, monkeypatch):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
     got = grouped(search(df))
     assert len(got) == 100 and all(len(r) == 20 for r in got.values())
+
+
+def indexed(x, lists):
+    """The model and the block rows of an index of x."""
+    model = neighbours.fit(x, lists)
+    batch = pa.RecordBatch.from_pydict({"vec_id": np.arange(len(x)), "embedding": pa.array(x.tolist())})
+    table = pa.Table.from_batches(neighbours._assign(model)([batch]))
+    for k in sorted(set(table.column("list").to_pylist())):
+        own = table.filter(pa.compute.equal(table.column("list"), k))
+        yield model, neighbours._blocks(own.append_column("block", pa.array(np.zeros(len(own), np.int32)))).to_pylist()[0]
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_codes_decide_what_is_scored(n):
+    """At small sizes too only some rows of a list are scored exactly, and none of the others is among the best."""
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    scored = rows = 0
+    for model, row in indexed(x, int(round(n**0.5 / 4))):
+        ids = np.frombuffer(row["ids"], "<i8")
+        own = x[ids]
+        q = x[::20]
+        rough, off = neighbours._rough(model, row, q, len(ids))
+        assert (abs(rough - q @ own.T) <= off).all()
+        for k in range(len(q)):
+            near = neighbours._worth(rough[k], off[k], own, q[k], ids != 20 * k, 5)
+            exact = own @ q[k]
+            exact[ids == 20 * k] = -np.inf
+            assert set(np.argsort(-exact)[:5]) <= set(near)
+            scored, rows = scored + len(near), rows + len(ids)
+    print(n, scored / rows)
+    assert scored < 0.5 * rows

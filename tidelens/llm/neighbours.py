@@ -1,13 +1,17 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-A bounded sample of vectors fits coarse centroids and, on what they leave over, a codebook for each group of components. Every
-row is then indexed: dealt to its nearest centroid's list, coded, and kept in blocks of at most `BLOCK` rows, so that a list
-with a third of all rows is many blocks. A query scores its best lists by asymmetric distance tables (its own
-components against the codebooks), and the best `RERANK` of each block get their exact inner product in double precision on the
-original vectors. So does every other row of the block that could still be among the best: its rough score is off by no more than
-the query's length times what the codes leave of the row, which is kept beside them. What a query finds in its lists is therefore
-exact, however many rows share their codes. How many lists are probed is measured: the fewest that hold `TARGET` of the true neighbours within the sample. A query whose
-lists hold fewer rows than it wants is run against all rows in blocks.
+A bounded sample of vectors fits coarse centroids and, on what they leave over, two layers of codebooks for each group of components: the
+second codes what the first leaves. Every row is then indexed: dealt to its nearest centroid's list, coded, and kept in blocks of at most
+`BLOCK` rows, so that a list with a third of all rows is many blocks. A query scores its best lists by asymmetric distance tables (its own
+components against the codebooks). The codes alone decide which rows of a block are scored exactly, at every size: first the best `SHARE` of the block
+by rough score, then those others that could still be among the best `want`, for a rough score is off by no more than the lengths, group by
+group, of the query times those of what the codes leave of the row, which are kept beside them. Exact scores are inner products in double precision
+on the original vectors. What a query finds in its lists is therefore exact, however many rows share their codes. How many lists are
+probed is measured: the fewest that hold `TARGET` of the true neighbours within the sample. A query whose lists hold fewer rows than it wants is run
+against all rows in blocks.
+
+Lists are about the square root of the rows over 4, but no more than the sample can fit, one for `PER_LIST` of its rows: beyond some 250 million
+rows lists grow, and a larger index needs a larger `sample`. Blocks keep a task's memory the same in any case.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components
 take no part, nor do rows with a null vec_id. Equal scores go by smaller vec_id. A repeated vec_id is found as often as it stands
@@ -20,23 +24,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.llm._spark import stable
 
 WANT = 20
 QUERY_STEP = 20
-#: Rows that the index is fitted on.
-SAMPLE = 20_000
+#: Rows that the index is fitted on, and rows of it that a centroid must have on average.
+SAMPLE, PER_LIST = 20_000, 5
 #: Rows of one block of a list.
 BLOCK = 2048
 #: Queries that are compared with a block at once.
 QUERY_BLOCK = 256
 GROUPS = 16
-CODES = 32
-#: Rows of a block that are scored exactly at first; the others follow where their bound reaches what these find.
-RERANK = 200
+CODES = 256
+#: Share of a block's rows that are scored exactly at first (`want` at least); others follow where their bound reaches what these find.
+SHARE = 0.02
 #: Share of the true neighbours that the probed lists must hold, measured within the sample.
 TARGET = 0.97
 _ROUNDS = 8
@@ -72,11 +76,26 @@ def kmeans(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, lists: int, groups: int = GROUPS, codes: int = CODES) -> dict:
-    """Coarse centroids and, for each group of components, its codebook of residuals."""
+    """Coarse centroids and, for each group of components, two codebooks: of residuals, and of what the first leaves of them."""
     centres = kmeans(sample, lists, 1)
     left = sample - centres[nearest(sample, centres)]
-    cuts = np.array_split(np.arange(sample.shape[1]), min(groups, sample.shape[1]))
-    return {"centres": centres, "cuts": cuts, "books": [kmeans(left[:, c], codes, 2 + i) for i, c in enumerate(cuts)]}
+    cuts, layers = np.array_split(np.arange(sample.shape[1]), min(groups, sample.shape[1])), []
+    for layer in range(2):
+        books = [kmeans(left[:, c], codes, 2 + i + layer * groups) for i, c in enumerate(cuts)]
+        left = left - _decoded(_coded(left, cuts, books), cuts, books)
+        layers.append(books)
+    return {"centres": centres, "cuts": cuts, "layers": layers}
+
+
+def _coded(left: np.ndarray, cuts: list[np.ndarray], books: list[np.ndarray]) -> np.ndarray:
+    return np.stack([nearest(left[:, c], b) for c, b in zip(cuts, books)], 1).astype(np.uint8)
+
+
+def _decoded(codes: np.ndarray, cuts: list[np.ndarray], books: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(codes), sum(map(len, cuts))))
+    for g, (c, book) in enumerate(zip(cuts, books)):
+        out[:, c] = book[codes[:, g]]
+    return out
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -84,20 +103,24 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _assign(model: dict):
-    """vec_id, list and codes of every row, and a bound of what the codes leave of it."""
+    """vec_id, list and codes of every row, and the lengths of what the codes leave of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = model["cuts"]
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = _matrix(batch.column(1), model["centres"].shape[1])
             own = nearest(x, model["centres"])
-            left = x - model["centres"][own]
-            codes = np.stack([nearest(left[:, c], b) for c, b in zip(model["cuts"], model["books"])], 1).astype(np.uint8)
-            missed = left.copy()
-            for g, (c, book) in enumerate(zip(model["cuts"], model["books"])):
-                missed[:, c] -= book[codes[:, g]]
-            # The length of what is missed, and far more than rounding can add to it.
-            error = np.linalg.norm(missed, axis=1) * (1 + 1e-9) + 1e-9 * (np.linalg.norm(x, axis=1) + np.linalg.norm(left, axis=1))
-            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "embedding": batch.column(1), "list": pa.array(own, pa.int32()), "codes": pa.array([r.tobytes() for r in codes], pa.binary()), "error": pa.array(error)})
+            left, codes = x - model["centres"][own], []
+            size = np.linalg.norm(x, axis=1) + np.linalg.norm(left, axis=1)
+            for books in model["layers"]:
+                codes.append(_coded(left, cuts, books))
+                left = left - _decoded(codes[-1], cuts, books)
+            # The lengths of what is missed, and far more than rounding can add to them.
+            errors = np.stack([np.linalg.norm(left[:, c], axis=1) for c in cuts], 1) * (1 + 1e-6) + 1e-9 * size[:, None]
+            errors = np.nextafter(errors.astype("<f4"), np.float32(np.inf))
+            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "embedding": batch.column(1), "list": pa.array(own, pa.int32()), "codes": pa.array([r.tobytes() for r in np.concatenate(codes, 1)], pa.binary()), "errors": pa.array([r.tobytes() for r in errors], pa.binary())})
 
     return run
 
@@ -106,7 +129,8 @@ def _blocks(table: pa.Table) -> pa.Table:
     """One block: ids, vectors, codes and errors as bytes, in the order of vec_id."""
     table = table.sort_by("vec_id")
     x = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return pa.table({"list": table.column("list")[:1].cast(pa.int32()), "block": table.column("block")[:1].cast(pa.int32()), "ids": pa.array([table.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([x.astype("<f8").tobytes()], pa.binary()), "codes": pa.array([b"".join(table.column("codes").to_pylist())], pa.binary()), "errors": pa.array([table.column("error").to_numpy().astype("<f8").tobytes()], pa.binary())})
+    whole = lambda c: pa.array([b"".join(table.column(c).to_pylist())], pa.binary())
+    return pa.table({"list": table.column("list")[:1].cast(pa.int32()), "block": table.column("block")[:1].cast(pa.int32()), "ids": pa.array([table.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([x.astype("<f8").tobytes()], pa.binary()), "codes": whole("codes"), "errors": whole("errors")})
 
 
 def _probe(model: dict, probes: int, live: np.ndarray):
@@ -154,34 +178,46 @@ def _first(query: np.ndarray, vec: np.ndarray, score: np.ndarray, want: int) ->
     return order[np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own)))) < want]
 
 
-def _search(model: dict | None, want: int, rerank: int, held: int = 400_000):
-    """The best rows of a task's blocks for each of its queries; without a model all rows are scored exactly."""
+def _scored(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", x[at], q)
+
+
+def _rough(model: dict, row: dict, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of a block's rows by the distance tables of each query, and how far off these may be."""
+    codes = np.frombuffer(row["codes"], np.uint8).reshape(n, -1)
+    errors = np.frombuffer(row["errors"], "<f4").reshape(n, -1)
+    rough = np.repeat((q @ model["centres"][row["list"]])[:, None], n, 1)
+    lengths = np.empty((len(q), len(model["cuts"])))
+    for g, c in enumerate(model["cuts"]):
+        lengths[:, g] = np.linalg.norm(q[:, c], axis=1)
+        for layer, books in enumerate(model["layers"]):
+            rough += (q[:, c] @ books[g].T)[:, codes[:, layer * len(books) + g]]
+    return rough, lengths @ errors.T.astype(float)
 
-    def scored(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,j->i", x[at], q)
+
+def _worth(rough: np.ndarray, off: np.ndarray, x: np.ndarray, q: np.ndarray, other: np.ndarray, want: int) -> np.ndarray:
+    """Which rows of a block to score exactly for one query: none of the others can be among the best `want`. other: rows with another id than the query's."""
+    few = _top(rough, max(want + 1, int(np.ceil(SHARE * len(rough)))))
+    sure = np.sort(_scored(x, few[other[few]], q))
+    if len(sure) < want:
+        return np.flatnonzero(other)
+    # A bound that isn't a number leaves its row in.
+    return np.flatnonzero(~(rough + off < sure[-want]) & other)
+
+
+def _search(model: dict | None, want: int, held: int = 400_000):
+    """The best rows of a task's blocks for each of its queries; without a model all rows are scored exactly."""
 
     def block(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         asked = np.array(row["query_ids"], np.int64)
         q = np.array(row["queries"], float)
         ids = np.frombuffer(row["ids"], "<i8")
         x = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1)
-        every = np.arange(len(ids))
-        if model and len(ids) > rerank:
-            codes, errors = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["errors"], "<f8")
-            rough = np.repeat((q @ model["centres"][row["list"]])[:, None], len(ids), 1)
-            for g, (c, book) in enumerate(zip(model["cuts"], model["books"])):
-                rough += (q[:, c] @ book.T)[:, codes[:, g]]
-            length = np.linalg.norm(q, axis=1)
+        rough, off = _rough(model, row, q, len(ids)) if model else (None, None)
         for k, own in enumerate(asked):
-            near = every
-            if model and len(ids) > rerank:
-                few = np.sort(_top(rough[k], rerank + 1))
-                sure = np.sort(scored(x, few[ids[few] != own], q[k]))
-                if len(sure) >= want:
-                    # A bound that isn't a number leaves its row in.
-                    near = np.flatnonzero(~(rough[k] + length[k] * errors < sure[-want]))
-            near = near[ids[near] != own]
-            exact = scored(x, near, q[k])
+            other = ids != own
+            near = _worth(rough[k], off[k], x, q[k], other, want) if model else np.flatnonzero(other)
+            exact = _scored(x, near, q[k])
             best = _top(exact, want)
             yield np.full(len(best), own), ids[near[best]], exact[best]
 
@@ -206,13 +242,9 @@ def _search(model: dict | None, want: int, rerank: int, held: int = 400_000):
 
 
 def _best(found: DataFrame, want: int) -> DataFrame:
-    """Of each query's rows the best `want`: ranked by score, then vec_id."""
-
-    def top(table: pa.Table) -> pa.Table:
-        own = table.take(pa.array(_first(*(table.column(c).to_numpy() for c in ("query_id", "vec_id", "score")), want)))
-        return own.append_column("rank", pa.array(np.arange(1, len(own) + 1), pa.int32())).select(["query_id", "rank", "vec_id", "score"])
-
-    return found.groupBy("query_id").applyInArrow(top, "query_id long, rank int, vec_id long, score double")
+    """Of each query's rows the best `want`: ranked by score, then vec_id. Tasks have left at most `want` rows of a query each."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.select("query_id", place.alias("rank"), "vec_id", "score").filter(F.col("rank") <= want)
 
 
 def _asked(queries: DataFrame, blocks_of, turns: int) -> DataFrame:
@@ -222,7 +254,7 @@ def _asked(queries: DataFrame, blocks_of, turns: int) -> DataFrame:
     return own.select("list", "query_ids", "queries", F.explode(F.sequence(F.lit(0), blocks_of - 1)).alias("block"))
 
 
-def search(embeddings: DataFrame, step: int = QUERY_STEP, want: int = WANT, target: float = TARGET) -> DataFrame:
+def search(embeddings: DataFrame, step: int = QUERY_STEP, want: int = WANT, target: float = TARGET, sample_rows: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score: for every row whose vec_id is divisible by `step`, the `want` nearest found of the other rows."""
     spark = embeddings.sparkSession
     rows = stable(valid(embeddings))
@@ -230,13 +262,13 @@ def search(embeddings: DataFrame, step: int = QUERY_STEP, want: int = WANT, targ
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # A bounded sample, the same at every run: the rows with the least hashes.
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toPandas()
     sample = np.array(sample["embedding"].tolist(), float)
-    model = fit(sample, int(np.clip(round(total**0.5 / 4), 1, 4096)))
+    model = fit(sample, int(np.clip(round(total**0.5 / 4), 1, max(1, len(sample) // PER_LIST))))
     probes = probes_for(model, sample, want, target)
 
-    coded = stable(rows.mapInArrow(_assign(model), "vec_id long, embedding array<double>, list int, codes binary, error double"))
-    # One row for each list: at most 4096.
+    coded = stable(rows.mapInArrow(_assign(model), "vec_id long, embedding array<double>, list int, codes binary, errors binary"))
+    # One row for each list: no more than the sample's rows.
     sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}
     rows_of, blocks_of = (F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, f(n))]), F.col("list")) for f in (int, lambda n: -(-n // BLOCK)))
     dealt = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks_of).cast("int"))
@@ -250,8 +282,8 @@ def search(embeddings: DataFrame, step: int = QUERY_STEP, want: int = WANT, targ
     schema = "query_id long, vec_id long, score double"
     pair = ["list", "query_ids", "queries", "ids", "vectors", "codes", "errors"]
     asked = _asked(probed.join(short, "query_id", "left_anti"), blocks_of, turns)
-    found = blocks.join(asked, ["list", "block"]).select(*pair).mapInArrow(_search(model, want, RERANK), schema)
+    found = blocks.join(asked, ["list", "block"]).select(*pair).mapInArrow(_search(model, want), schema)
     if not short.isEmpty():
         every = short.select(F.explode(F.array(*[F.lit(k) for k in sizes])).alias("list"), "query_id", "query")
-        found = found.union(blocks.join(_asked(every, blocks_of, turns), ["list", "block"]).select(*pair).mapInArrow(_search(None, want, RERANK), schema))
+        found = found.union(blocks.join(_asked(every, blocks_of, turns), ["list", "block"]).select(*pair).mapInArrow(_search(None, want), schema))
     return _best(found, want)
