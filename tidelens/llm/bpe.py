@@ -1,11 +1,17 @@
 """Byte-level BPE encoding and decoding by DuckDB queries inside Spark tasks.
 
 Texts are split into the pattern's matches, and each distinct piece that a worker hasn't met goes to DuckDB as token-position rows. A
-recursive query joins neighbouring positions to the merge table and contracts each piece's leftmost pair of
-minimum rank until no piece has a pair left. An ordered aggregation of the tokens' bytes decodes the ids again.
+recursive query joins neighbouring positions to the merge table and contracts each word's leftmost pair of
+minimum rank until no word has a pair left. An ordered aggregation of the tokens' bytes decodes ids again.
 A piece's ids don't depend on what stands around it, so a text's ids are those of its pieces in order.
 
-Defined cases: a null text is an empty one and has no ids. Repeated rows stay; extra columns are ignored.
+Long pieces: where no token of the vocabulary that occurs in a piece reaches over a place in it, no merge ever does, so the piece is cut there
+and its parts are words of their own. A step then contracts all of a part's pairs of the minimum rank, from the left: that is what one pair a step comes to, as
+long as no merge makes a pair of lower rank than its own. The query watches for such a pair, and a part that has one is encoded again, one
+pair a step.
+
+Defined cases: a null text is an empty one and has no ids. Repeated rows stay; extra columns are ignored. A very long text is held in memory whole;
+a very long word costs time in proportion to its length and the number of steps of its longest part.
 """
 
 from __future__ import annotations
@@ -13,19 +19,25 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelens.llm._text import chunks
 from tidelens.llm._tokens import Encoder
 
-#: Pieces in one DuckDB query.
-AT_ONCE = 20_000
+#: Words, and tokens of words, in one DuckDB query.
+AT_ONCE, TOKENS_AT_ONCE = 20_000, 2_000_000
+#: Bytes beyond which a piece is long.
+LONG = 64
 
-_ENCODE = """
+#: One pair of each word a step: the leftmost of minimum rank.
+_ONE = """
 with recursive state(word, tokens) using key (word) as (
     select word, list(token order by position) from start_tokens group by word
     union all (
@@ -41,12 +53,42 @@ with recursive state(word, tokens) using key (word) as (
         select s.word, s.tokens[: (best & 4294967295) - 1] || [(best >> 32)::int] || s.tokens[(best & 4294967295) + 2 :]
         from state s join best using (word)
     )
-),
-placed as (select word, unnest(tokens) as token, unnest(range(1, len(tokens) + 1)) as position from state)
-select p.word, string_agg(p.token::varchar, ',' order by p.position) as ids, count(*) as n, string_agg(v.hex, '' order by p.position) as decoded
-from placed p join vocabulary v on v.id = p.token
-group by p.word
-order by p.word
+)
+select word, tokens, false as wrong from state order by word
+"""
+
+#: All pairs of minimum rank of each word a step: of pairs that overlap, every other one from the left. wrong: a merge has made a pair of lower rank.
+_ALL = """
+with recursive state(word, tokens, rank, wrong) using key (word) as (
+    select word, list(token order by position), -1, false from start_tokens group by word
+    union all (
+        with places as (
+            select word, unnest(tokens) as token, unnest(range(1, len(tokens) + 1)) as position, unnest(tokens[2:] || [null::int]) as next from state
+        ),
+        ranked as (select p.word, p.position, m.merged from places p join merges m on m.l = p.token and m.r = p.next),
+        best as (select word, min(merged) as merged from ranked group by word),
+        least as (select word, position, merged, position - row_number() over (partition by word order by position) as run from ranked join best using (word, merged)),
+        taken as (select word, position, merged from (select *, row_number() over (partition by word, run order by position) as k from least) where k % 2 = 1),
+        between as (
+            select t.word from taken t join taken u on u.word = t.word and u.position = t.position + 2 join places p on p.word = u.word and p.position = u.position
+            join merges m on m.l = t.merged and m.r = p.token where m.merged < t.merged
+        ),
+        moved as (
+            select p.word, p.position, coalesce(t.merged, p.token) as token, lag(t.merged) over (partition by p.word order by p.position) is not null as gone
+            from places p semi join best using (word) left join taken t on t.word = p.word and t.position = p.position
+        ),
+        tokens as (select word, list(token order by position) as tokens from moved where not gone group by word)
+        select word, t.tokens, b.merged, s.wrong or b.merged < s.rank or word in (select word from between)
+        from tokens t join best b using (word) join state s using (word)
+    )
+)
+select word, tokens, wrong from state order by word
+"""
+
+_DECODE = """
+select i.word, string_agg(v.hex, '' order by i.position) as bytes
+from (select word, unnest(ids) as id, unnest(range(len(ids))) as position from given_ids) i left join vocabulary v on v.id = i.id
+group by i.word
 """
 
 
@@ -69,33 +111,114 @@ def merge_rows(ranks: dict[bytes, int]) -> tuple[list[int], list[int], list[int]
     return left, right, merged
 
 
+class Vocabulary:
+    """A rank file as DuckDB tables, and its encoding and decoding queries."""
+
+    def __init__(self, path: str):
+        import duckdb
+
+        self.ranks = ranks = read_ranks(path)
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        left, right, merged = merge_rows(ranks)
+        pairs = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32())})
+        names = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
+        for name, rows in (("merges", pairs), ("vocabulary", names)):
+            with self.given("given", rows):
+                self.con.execute(f"create table {name} as select * from given")
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self._automaton = None
+
+    @contextmanager
+    def given(self, name: str, rows: pa.Table):
+        self.con.register(name, rows)
+        yield
+        self.con.unregister(name)
+
+    def parts(self, piece: bytes) -> list[bytes]:
+        """The piece cut wherever no token that occurs in it reaches across."""
+        import ahocorasick
+
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for token in self.ranks:
+                if len(token) > 1:
+                    self._automaton.add_word(token.decode("latin-1"), len(token))
+            self._automaton.make_automaton()
+        cover = np.zeros(len(piece) + 1, np.int32)
+        for end, size in self._automaton.iter(piece.decode("latin-1")):
+            cover[end - size + 2] += 1  # the first place inside the token
+            cover[end + 1] -= 1
+        cuts = np.flatnonzero(np.cumsum(cover[1:-1]) == 0) + 1
+        return [piece[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(piece)])]
+
+    def contract(self, words: list[bytes], query: str = _ONE) -> list[np.ndarray]:
+        """The ids of each word."""
+        tokens = [np.array([self.ranks[w]], np.int32) if w in self.ranks else self.single[np.frombuffer(w, np.uint8)] for w in words]
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        out: list[np.ndarray] = []
+        ends, at = np.cumsum(sizes), 0
+        while at < len(words):
+            stop = max(at + 1, min(at + AT_ONCE, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS_AT_ONCE, "right"))))
+            own = sizes[at:stop]
+            position = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            start = pa.table({"word": pa.array(np.repeat(np.arange(len(own)), own), pa.int32()), "position": pa.array(position, pa.int32()), "token": pa.array(np.concatenate(tokens[at:stop]), pa.int32())})
+            with self.given("start_tokens", start):
+                found = self.con.sql(query).to_arrow_table()
+            lists, wrong = found.column("tokens").combine_chunks(), np.flatnonzero(found.column("wrong").to_numpy())
+            cuts = lists.offsets.to_numpy()
+            ids = np.split(lists.flatten().to_numpy(), (cuts[1:-1] - cuts[0]))
+            for i, again in zip(wrong.tolist(), self.contract([words[at + i] for i in wrong]) if len(wrong) else ()):
+                ids[i] = again
+            out += ids
+            at = stop
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of each piece."""
+        out: list = [None] * len(pieces)
+        short = [i for i, p in enumerate(pieces) if len(p) <= LONG or p in self.ranks]
+        for i, ids in zip(short, self.contract([pieces[i] for i in short])):
+            out[i] = ids
+        long = [i for i, x in enumerate(out) if x is None]
+        if long:
+            cut = [self.parts(pieces[i]) for i in long]
+            distinct = sorted({w for x in cut for w in x})
+            known = dict(zip(distinct, self.contract(distinct, _ALL)))
+            for i, words in zip(long, cut):
+                out[i] = np.concatenate([known[w] for w in words])
+        return out
+
+    def decode(self, ids: list[np.ndarray] | pa.Array) -> list[bytes]:
+        """The bytes of each list of ids; a null list has none. An id that isn't in the vocabulary is an error."""
+        ids = ids if isinstance(ids, pa.Array) else pa.array(ids, pa.list_(pa.int32()))
+        sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out, ends, at = [], np.cumsum(sizes), 0
+        while at < len(ids):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS_AT_ONCE, "right")))
+            rows = pa.table({"word": pa.array(np.arange(stop - at), pa.int32()), "ids": ids[at:stop]})
+            with self.given("given_ids", rows):
+                found = dict(self.con.execute(_DECODE).fetchall())
+                wrong = self.con.execute("select id from (select unnest(ids) as id from given_ids) anti join vocabulary using (id) limit 1").fetchone()
+            if wrong:
+                raise ValueError(f"id {wrong[0]} isn't in the vocabulary")
+            out += [bytes.fromhex(found.get(i) or "") for i in range(stop - at)]
+            at = stop
+        return out
+
+
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 @lru_cache(maxsize=4)
 def duckdb_encoder(path: str) -> Encoder:
-    """Known pieces are (ids as decimal text, number of ids, decoded bytes)."""
-    import duckdb
-
-    ranks = read_ranks(path)
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-    left, right, merged = merge_rows(ranks)
-    int_rows = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32())})
-    names = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
-    for name, rows in (("merges", int_rows), ("vocabulary", names)):
-        con.register("given", rows)
-        con.execute(f"create table {name} as select * from given")
-        con.unregister("given")
-    single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+    """Known pieces are (ids as decimal text, number of ids, decoded bytes); the bytes are decoded from the ids alone."""
+    own = vocabulary(path)
 
     def encode(pieces: list[bytes]) -> list[tuple[bytes, int, bytes]]:
-        out: list[tuple[bytes, int, bytes]] = []
-        for at in range(0, len(pieces), AT_ONCE):
-            own = pieces[at : at + AT_ONCE]
-            tokens = [np.array([ranks[p]], np.int32) if p in ranks else single[np.frombuffer(p, np.uint8)] for p in own]
-            sizes = np.array([len(t) for t in tokens])
-            position = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            con.register("start_tokens", pa.table({"word": pa.array(np.repeat(np.arange(len(own)), sizes), pa.int32()), "position": pa.array(position, pa.int32()), "token": pa.array(np.concatenate(tokens), pa.int32())}))
-            out += [(ids.encode(), n, bytes.fromhex(decoded)) for _, ids, n, decoded in con.execute(_ENCODE).fetchall()]
-            con.unregister("start_tokens")
-        return out
+        ids = own.encode(pieces)
+        return [(b",".join([b"%d" % i for i in x.tolist()]), len(x), back) for x, back in zip(ids, own.decode(ids))]
 
     return Encoder(encode)
 
@@ -130,3 +253,20 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids in decimal, joined by commas) and decoded_sha256 of every text."""
     return docs.select("doc_id", "text").mapInArrow(_round_trip(path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _decode(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index("_ids"))
+            back = [None if not x.is_valid else y for x, y in zip(own, vocabulary(path).decode(own))]
+            yield pa.RecordBatch.from_pydict({c: batch.column(i) for i, c in enumerate(batch.schema.names) if c != "_ids"} | {"decoded": pa.array(back, pa.binary())})
+
+    return run
+
+
+def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
+    """key and the decoded bytes of every row's array of ids, by ordered aggregation. A null array gives NULL; a null id counts for nothing."""
+    given = df.select(F.col(key), F.filter(F.col(ids), lambda x: x.isNotNull()).cast("array<int>").alias("_ids"))
+    schema = T.StructType([given.schema[key], T.StructField("decoded", T.BinaryType())])
+    return given.mapInArrow(_decode(path), schema)
