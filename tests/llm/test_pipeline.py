@@ -68,3 +68,58 @@ def test_run(spark, tmp_path):
     rows, _ = corpus()
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 100
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans array<int>, n_words int, n_removed string, kept_text string, lang_pred int, score string, hash int, kept boolean, pattern int, posterior string, c0 string, fingerprint_bits long, base_failed string"
+EXTRA = ([1, 2], 3, "a", "b", 4, "c", 5, False, 6, "d", "e", 7, "f")
+
+
+def test_stages_on_odd_tables(spark):
+    """Columns of clashing names keep their values; null ids, null texts and repeated rows pass through every stage; empty tables give empty ones."""
+    rows, _ = corpus()
+    rows = [(*r, *EXTRA) for r in [*rows, (None, rows[0][1], rows[0][2], "s", 5), (500, None, None, None, None), *[rows[1]] * 30]]
+    whole = spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, whole.limit(0), "").count() == 0
+        out = stage(spark, whole, "")
+        if name == "best_fit_packing":
+            assert out.groupBy("doc_id").count().count() == len({r[0] for r in rows})
+            continue
+        assert out.schema == whole.schema
+        found = out.collect()
+        assert found and all(tuple(r)[5:] == EXTRA for r in found)
+        given = {(r[0], r[1]) for r in rows}
+        if name != "substring_dedup":
+            assert {(r.doc_id, r.text) for r in found} <= given
+        if name == "simhash_near_dedup":
+            assert sum(r.doc_id == rows[-1][0] for r in found) <= 1 and any(r.doc_id is None for r in found)
+        if name == "substring_dedup":
+            assert len(found) == len(rows)
+
+
+def test_run_computes_each_stage_once(spark, tmp_path, monkeypatch):
+    rows, _ = corpus()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    log = str(tmp_path / "log")
+
+    def counted(name, stage):
+        def note(batches):
+            for b in batches:
+                with open(log, "a") as f:
+                    f.write(f"{name} {b.num_rows}\n")
+                yield b
+
+        def run(spark, docs, sf_dir):
+            out = stage(spark, docs, sf_dir)
+            return out.mapInArrow(note, out.schema)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(*s) for s in corpus_pipeline.STAGES])
+    n = len(corpus_pipeline.run(spark, str(tmp_path)).collect())
+    seen = defaultdict(int)
+    for line in open(log):
+        name, k = line.split()
+        seen[name] += int(k)
+    assert seen["language_id"] == len(rows) - 2 and seen["best_fit_packing"] == n
+    assert seen["quality_rules"] == 170 and seen["simhash_near_dedup"] == seen["substring_dedup"] <= 160

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -7,7 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidelens.llm.quality import estimate, judged, keep_good, report
+from tidelens.llm import quality
+from tidelens.llm.quality import accuracies, estimate, judged, keep_good, report
 
 CLEAN = "The quick brown fox number one jumps over a lazy dog near river bank tonight while seven old men look on from their small wooden boat"
 
@@ -64,3 +67,73 @@ def test_odd_rows(spark):
     assert [tuple(r) for r in keep_good(twice).collect()] == [(None, CLEAN)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert judged(empty).count() == 0 and keep_good(empty).count() == 0
+
+
+def plain_em(rows, steps=300):
+    """EM straight from the words, one text at a time: start, belief and silence as documented."""
+    start, rules = quality._START, len(rows[0])
+    odds = {}
+    for r in set(rows):
+        x = math.log(start["clean"] / (1 - start["clean"]))
+        for v in r:
+            x += {0: math.log(start["slip"] / start["fire"]), 1: math.log((1 - start["slip"]) / (1 - start["fire"])), 2: 0}[v]
+        odds[r] = 1 / (1 + math.exp(-x))
+    for _ in range(steps):
+        clean = sum(odds[r] for r in rows)
+        others = len(rows) - clean
+        rate = {}
+        for k in range(rules):
+            seen = {y: [0.5 + sum((odds[r] if y else 1 - odds[r]) for r in rows if r[k] == v) for v in range(3)] for y in (0, 1)}
+            seen[0][0] += quality._BELIEF * others * start["fire"]
+            seen[0][1] += quality._BELIEF * others * (1 - start["fire"])
+            rate |= {(k, y, v): seen[y][v] / sum(seen[y]) for y in seen for v in range(3)}
+        share = (clean + 1) / (len(rows) + 2)
+        for r in odds:
+            x = math.log(share / (1 - share)) + sum(math.log(rate[k, 1, v] / rate[k, 0, v]) for k, v in enumerate(r) if v < 2)
+            odds[r] = 1 / (1 + math.exp(-x))
+    return odds
+
+
+def test_em_against_plain_em_on_all_patterns():
+    random.seed(3)
+    rows = [r for r in itertools.product(range(3), repeat=3) for _ in range(random.randint(1, 6))] + [(1, 1, 1)] * 60 + [(1, 2, 1)] * 30
+    want = plain_em(rows)
+    patterns, counts = np.unique(np.array(rows), axis=0, return_counts=True)
+    found = estimate(patterns, counts, silent=True)["posterior"]
+    assert found == pytest.approx([want[tuple(p)] for p in patterns.tolist()], abs=1e-6)
+
+
+def votes_of(n, slip, fire, abstain, seed):
+    rng = np.random.default_rng(seed)
+    truth = rng.random(n) < 0.9
+    votes = np.where(rng.random((n, len(slip))) < np.where(truth[:, None], slip, fire), 0, 1)
+    return truth, np.where(rng.random(votes.shape) < abstain, 2, votes)
+
+
+def test_a_noisy_rule_is_overruled():
+    """A rule that fires on one clean text in ten loses its weight: texts that it alone votes against are kept."""
+    truth, votes = votes_of(30_000, [0.002, 0.001, 0.003, 0.1], [0.6, 0.5, 0.4, 0.1], 0.1, 1)
+    patterns, of, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    found = estimate(patterns, counts, silent=True)
+    kept = found["posterior"][of.ravel()] >= 0.5
+    alone = (votes[:, 3] == 0) & (votes[:, :3] == 1).all(1)
+    assert alone.sum() > 1000 and kept[alone].all()
+    assert not kept[(votes[:, 0] == 0) & (votes[:, 1] == 0)].any()
+    assert (kept == truth).mean() > 0.95
+    weight = np.log(found["rates"][0, 1] / found["rates"][0, 0])
+    assert abs(weight[3]) < 1 < 3 < min(-weight[:3])
+
+
+def test_abstentions_say_nothing():
+    truth, votes = votes_of(5000, [0.01, 0.02], [0.6, 0.5], 0.3, 2)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    found = estimate(patterns, counts, silent=True)
+    at = {tuple(p): x for p, x in zip(patterns.tolist(), found["posterior"])}
+    assert at[2, 2] == pytest.approx(found["clean"], abs=1e-6)
+
+
+def test_accuracies(spark):
+    docs = spark.createDataFrame([(*r, 1) for r in corpus()], "doc_id long, text string, votes int")
+    got = {r.rule: r for r in accuracies(docs).collect()}
+    assert got.keys() == quality.votes().keys() and got["symbols"].accuracy > 0.9 and got["symbols"].fires_on_others > got["symbols"].fires_on_clean
+    assert accuracies(docs.limit(0)).count() == 0

@@ -1,12 +1,16 @@
 """Quality rules: weak supervision over rules that vote or abstain.
 
-Each rule votes that a text is clean, that it isn't, or abstains. Expectation-maximisation over all documents estimates
-how often each rule votes which way on clean texts and on others, and the share of clean texts; a document's votes then give the posterior probability that it is clean. It is kept if that is at least `THRESHOLD` and the
-base rules don't fail it. The votes have few patterns (3 ** rules at most), so Spark counts patterns over the corpus and
-EM runs on the counts: its cost doesn't grow with the corpus, and no document is left out of them.
+Each rule votes that a text is clean, that it isn't, or abstains: where its measure lies between what it takes for clean and for faulty, and where the text
+is too short for it to tell. Expectation-maximisation over all documents estimates how often each rule votes which way on clean texts and on
+others, and the share of clean texts; a document's votes then give the posterior probability that it is clean. An abstention carries no evidence: it
+enters no posterior. A rule that fires as often on texts that the other rules find clean as on others loses its weight, whatever it was
+written for. A text is kept if the posterior is at least `THRESHOLD` and the base rules don't fail it; EM runs over the texts that the base rules leave
+open, or the kinds of faults that they catch would make up the class of texts that aren't clean. The votes have few patterns (3 ** rules at
+most, some hundreds in practice), so Spark counts patterns over the corpus and EM runs on the counts: its cost doesn't grow with the corpus, and no
+document is left out of them.
 
 Defined cases: a null or empty text has no words, fails the base rules and isn't kept. Without any document there is nothing to
-estimate and nothing to return. Repeated rows count as often as they stand there. Extra columns stay where rows
+estimate and nothing to return. Repeated rows count as often as they stand there. A very long text is measured whole, held in memory by itself. Extra columns stay where rows
 are kept, whatever their names.
 """
 
@@ -101,71 +105,111 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def votes() -> dict[str, Column]:
-    """The rules: 0 says the text isn't clean, 1 that it is, 2 abstains. Each looks for one kind of fault, so it abstains where it sees none."""
+    """The rules: 0 says the text isn't clean, 1 that it is, 2 abstains. Each judges one measure, the least texts that it judges given in words, letters or lines."""
     c = F.col
     share = lambda a, b: c(a) / F.greatest(c(b), F.lit(1))
-    letters = (c("n_letters") + c("n_wide")) / F.greatest(c("word_chars"), F.lit(1))
     length = share("word_chars", "n_words")
     ten = c("n_words") >= 10
-    ordinary = ten & length.between(3, 10) & (letters > 0.9) & (share("n_symbols", "n_words") < 0.05) & (share("n_upper", "n_letters") < 0.2) & (share("n_same_next", "n_words") < 0.03)
-    against = {
-        "symbols": ten & (share("n_symbols", "n_words") > 0.2),
-        "letters": (c("n_words") >= 20) & (letters < 0.7),
-        "repeats": share("n_repeat_words", "n_words") > 0.2,
-        "stutter": ten & (share("n_same_next", "n_words") > 0.15),
-        "lines": (c("n_lines") >= 5) & (share("n_dup_lines", "n_lines") > 0.4),
-        "capitals": (c("n_letters") >= 40) & (share("n_upper", "n_letters") > 0.5),
-        "shouts": ten & (share("n_shouts", "n_words") > 0.3),
-        "word_length": ten & ((length < 2) | (length > 16)),
-        "variety": (c("n_words") >= 50) & (share("n_distinct", "n_words") < 0.12) & (c("n_distinct") < 100),
+
+    def rule(enough: Column, faulty: Column, clean: Column) -> Column:
+        return F.when(enough & faulty, 0).when(enough & clean, 1).otherwise(2)
+
+    def below(measure: Column, clean: float, faulty: float, enough: Column) -> Column:
+        """Clean up to one value, faulty from another on."""
+        return rule(enough, measure >= faulty, measure <= clean)
+
+    letters = (c("n_letters") + c("n_wide")) / F.greatest(c("word_chars"), F.lit(1))
+    return {
+        "symbols": below(share("n_symbols", "n_words"), 0.02, 0.15, ten),
+        "letters": below(1 - letters, 0.08, 0.25, ten),
+        "shouts": below(share("n_shouts", "n_words"), 0.03, 0.2, ten),
+        "capitals": below(share("n_upper", "n_letters"), 0.2, 0.45, c("n_letters") >= 40),
+        "word_length": rule(ten, (length < 2) | (length > 14), length.between(3, 9)),
+        "stutter": below(share("n_same_next", "n_words"), 0.02, 0.12, ten),
+        "repeats": below(share("n_repeat_words", "n_words"), 0.02, 0.2, c("n_words") >= 40),
+        "lines": below(share("n_dup_lines", "n_lines"), 0.05, 0.3, c("n_lines") >= 5),
+        "variety": rule(c("n_words") >= 50, (share("n_distinct", "n_words") < 0.12) & (c("n_distinct") < 100), share("n_distinct", "n_words") > 0.3),
     }
-    return {k: F.when(v, 0).otherwise(2) for k, v in against.items()} | {"ordinary": F.when(ordinary, 1).otherwise(2)}
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = 300, tolerance: float = 1e-9) -> dict:
+#: Where EM starts: how often a rule is taken to vote against a text that is clean, and against one that isn't; and the share of clean texts.
+_START = {"slip": 0.005, "fire": 0.1, "clean": 0.9}
+#: What the start still weighs against the texts that aren't clean, in their number: kinds of faults are many and each rule sees one of them, so that a
+#: rule of a rare kind isn't taken for noise for being rare. A rule that fires on some percent of clean texts loses its weight all the same.
+_BELIEF = 0.3
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = 300, tolerance: float = 1e-9, silent: bool = False) -> dict:
     """EM over vote patterns (rows of 0, 1, 2): the clean share, each rule's rates, and each pattern's posterior.
 
-    rates[v, y, k]: how often rule k votes v on texts that are clean (y=1) or not (y=0); to abstain is a vote like others,
-    for a rule that looks for faults says something by seeing none. Rules are written to be precise, so EM starts by
-    believing votes against. Half a text of prior weight a vote keeps rates off 0.
+    rates[v, y, k]: how often rule k votes v on texts that are clean (y=1) or not (y=0). With `silent` an abstention says nothing: the posterior takes
+    the rates of cast votes alone, and EM starts from `_START`. Without it to abstain is a vote like others, and EM starts by believing
+    votes against. Half a text of prior weight a vote keeps rates off 0.
     """
     is_vote = np.stack([patterns == v for v in range(3)]).astype(float)
+    heard = is_vote[:2] if silent else is_vote
     weight = counts.astype(float)
-    post = np.where((patterns == 0).any(1), 0.05, 0.95)
+    if silent:
+        start = np.log([[_START["slip"] / _START["fire"]], [(1 - _START["slip"]) / (1 - _START["fire"])]])
+        post = 1 / (1 + np.exp(-(np.log(_START["clean"] / (1 - _START["clean"])) + (heard.sum(2) * start).sum(0))))
+    else:
+        post = np.where((patterns == 0).any(1), 0.05, 0.95)
     rates = clean = None
     for _ in range(steps):
         y = np.stack([1 - post, post]) * weight
         now = np.stack([y @ v for v in is_vote]) + 0.5
+        if silent:
+            now[:2, 0] += _BELIEF * y[0].sum() * np.array([[_START["fire"]], [1 - _START["fire"]]])
         now /= now.sum(0)
         done = rates is not None and abs(now - rates).max() < tolerance
         rates, clean = now, (y[1].sum() + 1) / (weight.sum() + 2)
-        log = np.einsum("vpk,vyk->yp", is_vote, np.log(rates))
+        log = np.einsum("vpk,vyk->yp", heard, np.log(rates[: len(heard)]))
         post = 1 / (1 + np.exp(-np.clip(np.log(clean / (1 - clean)) + log[1] - log[0], -50, 50)))
         if done:
             break
     return {"clean": clean, "rates": rates, "posterior": post}
 
 
+def accuracies(docs: DataFrame) -> DataFrame:
+    """rule, votes, fires_on_clean, fires_on_others and accuracy (of its votes, by the posteriors): one row a rule."""
+    patterns, counts = _counted(measures(docs).select(*_judged()))
+    if not len(counts):
+        return docs.sparkSession.createDataFrame([], "rule string, votes long, fires_on_clean double, fires_on_others double, accuracy double")
+    found = estimate(patterns, counts, silent=True)
+    rows = []
+    for k, name in enumerate(votes()):
+        cast = counts * (patterns[:, k] < 2)
+        right = np.where(patterns[:, k] == 1, found["posterior"], 1 - found["posterior"])
+        rows.append((name, int(cast.sum()), float(found["rates"][0, 1, k]), float(found["rates"][0, 0, k]), float((cast * right).sum() / max(1, cast.sum()))))
+    return docs.sparkSession.createDataFrame(rows, "rule string, votes long, fires_on_clean double, fires_on_others double, accuracy double")
+
+
+def _counted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The patterns that df has, at most 3 ** rules of them, and in how many texts that the base rules pass."""
+    seen = sorted((r["pattern"], r["n"]) for r in df.groupBy("pattern").agg(F.count_if(~F.col("base_failed")).alias("n")).collect())
+    return np.array([[int(v) for v in p] for p, _ in seen]).reshape(len(seen), len(votes())), np.array([n for _, n in seen])
+
+
 def posteriors(counted: DataFrame) -> DataFrame:
-    """pattern and posterior of every vote pattern in `counted`: at most 3 ** rules rows."""
-    seen = sorted((r["pattern"], r["count"]) for r in counted.groupBy("pattern").count().collect())
-    found = estimate(np.array([[int(v) for v in p] for p, _ in seen]).reshape(len(seen), -1), np.array([n for _, n in seen]))["posterior"] if seen else []
-    return counted.sparkSession.createDataFrame([(p, float(x)) for (p, _), x in zip(seen, found)], "pattern string, posterior double")
+    """pattern and posterior of every vote pattern in `counted`."""
+    patterns, counts = _counted(counted)
+    found = estimate(patterns, counts, silent=True)["posterior"] if len(counts) else []
+    return counted.sparkSession.createDataFrame([("".join(map(str, p)), float(x)) for p, x in zip(patterns.tolist(), found)], "pattern string, posterior double")
 
 
-def _pattern() -> Column:
-    return F.concat(*[v.cast("string") for v in votes().values()]).alias("pattern")
+def _judged() -> list[Column]:
+    """pattern and base_failed, from the counts."""
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+    return [F.concat(*[v.cast("string") for v in votes().values()]).alias("pattern"), failed.alias("base_failed")]
 
 
 def _verdicts(counted: DataFrame, known: DataFrame) -> DataFrame:
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    out = counted.join(F.broadcast(known), "pattern").withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= THRESHOLD))
+    return counted.join(F.broadcast(known), "pattern").withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= THRESHOLD))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, posterior and kept of every row."""
-    counted = stable(measures(docs).select("*", _pattern()))
+    counted = stable(measures(docs).select("*", *_judged()))
     return _verdicts(counted, posteriors(counted))
 
 
@@ -176,6 +220,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept. Texts are measured twice, for the corpus and for the verdicts, rather than shuffled."""
-    known = posteriors(measures(docs).select(_pattern()))
+    known = posteriors(measures(docs).select(*_judged()))
     found, names = with_found(docs, lambda chunk: {c: pa.array(x, pa.int64()) for c, x in _measures(chunk).items()}, _SCHEMA)
-    return only(_verdicts(found.select("*", _pattern()), known).filter("kept"), names)
+    return only(_verdicts(found.select("*", *_judged()), known).filter("kept"), names)
