@@ -25,6 +25,14 @@ def demean(x: str | Column, *group: str) -> Column:
     return col(x) - F.avg(col(x)).over(Window.partitionBy(*group))
 
 
+def demean_exact(x: str | Column, *group: str, digits: int = 8, out: int = 6) -> Column:
+    """demean() of values of up to `digits` decimals, rounded half up to `out`: in whole numbers, so that no order of adding changes a digit."""
+    w, unit, step = Window.partitionBy(*group), 10.0**digits, 10 ** (digits - out)
+    whole = F.round(col(x) * unit).cast("long")
+    n, total = F.count(whole).over(w), F.sum(whole).over(w)
+    return F.floor((2 * (whole * n - total) + step * n) / (2 * step * n)) / 10.0**out
+
+
 def impute(x: str | Column, *group: str, default: float = 0.0) -> Column:
     """The group's median for a NULL, then a constant."""
     return F.coalesce(col(x), F.median(col(x)).over(Window.partitionBy(*group)), F.lit(default))

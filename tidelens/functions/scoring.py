@@ -143,6 +143,13 @@ def sign_bits(values: str | Column) -> Column:
     return F.aggregate(F.transform(col(values), lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b)
 
 
+def sign_words(values: str | Column, width: int = 32) -> Column:
+    """Signs of an array of any length as numbers of `width` bits each, in order."""
+    x = col(values)
+    starts = F.sequence(F.lit(0), F.ceil(F.size(x) / F.lit(width)).cast("int") - 1)
+    return F.transform(starts, lambda k: sign_bits(F.slice(x, k * width + 1, F.lit(width))))
+
+
 def bits_of(number: str | Column, width: int) -> Column:
     """The bits of a number as an array of 0 and 1, lowest first."""
     return F.array(*[F.shiftright(col(number), i).bitwiseAND(F.lit(1)).cast("int") for i in range(width)])

@@ -31,6 +31,16 @@ def held_returns(held: DataFrame, prices: DataFrame, dates: DataFrame, entity: s
     return out.withColumn("ret", F.coalesce(ratio("_then", price) - 1, F.lit(-1.0))).drop("_then")
 
 
+def held_to_next(held: DataFrame, dates: DataFrame, date: str = "date", price: str = "close") -> DataFrame:
+    """held_returns() for rows that know their entity's next row (next_row, next_close) on a panel whose dates are all rebalancing dates: no join of prices.
+
+    A next row that comes later than the next date means that the entity had no price there.
+    """
+    out = held.join(F.broadcast(dates), date).filter("next_date is not null")
+    then = F.when(F.col("next_row") == F.col("next_date"), F.col("next_close"))
+    return out.withColumn("ret", F.coalesce(ratio(then, price) - 1, F.lit(-1.0))).drop("next_row", "next_close")
+
+
 def rebalance_dates(df: DataFrame, step: int = 1, date: str = "date") -> DataFrame:
     """Every step-th date with the next one, and its number. One row a date."""
     one = Window.orderBy(date)

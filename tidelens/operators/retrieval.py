@@ -9,27 +9,46 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def tokens(text: str) -> F.Column:
-    """Lower-cased runs of word characters."""
-    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w+"), F.lit(0))
+    """Lower-cased runs of letters, marks, digits and low lines; ASCII is tried first."""
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[a-z0-9_\p{L}\p{M}\p{Nd}]+"), F.lit(0))
+
+
+#: Terms of all queries together up to which they are broadcast to the texts; more are joined by a shuffle.
+MOST_TERMS = 200_000
+#: Bytes of input for each core up to which its few row groups wouldn't keep the cores busy.
+FEW_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's rows over all cores, for work that costs far more than a shuffle of it. A large one has row groups enough and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < FEW_BYTES * cores else df
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", top: int = 10) -> DataFrame:
     """query_id, key, score, share (of the query's best) and place of each query's best texts. queries: query_id, query.
 
-    Only terms that queries hold are counted in the texts. Terms in more than half of the texts get EPSILON times the mean idf, as the
-    usual variant has it; that mean is over all terms of the corpus.
+    One aggregate over the texts' distinct terms, combined within tasks, gives the document frequencies. Of the words themselves only
+    those that queries hold are counted, with their text's length beside them: the words of the corpus are never shuffled. Terms in more than half of
+    the texts get EPSILON times the mean idf, as the usual variant has it; that mean is over all terms of the corpus.
     """
-    words = docs.select(F.col(key), tokens(text).alias("_w"))
-    total = words.agg(F.count("*").alias("_docs"), F.avg(F.size("_w").cast("double")).alias("_mean"))  # one row
-    terms = words.select(key, F.explode("_w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total))
-    raw = F.ln(F.col("_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    df = df.withColumn("_idf", raw)
-    mean = df.agg(F.avg("_idf").alias("_mean_idf"))  # one row
-    df = df.join(F.broadcast(mean)).select("term", F.when(F.col("_idf") < 0, EPSILON * F.col("_mean_idf")).otherwise(F.col("_idf")).alias("idf"))
+    words = spread(docs.select(key, text)).select(F.col(key), tokens(text).alias("_w"))
+    words = words.select(key, "_w", F.size("_w").cast("double").alias("_len"))
     asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    lengths = words.select(key, F.size("_w").alias("_len"))
-    hits = terms.join(asked, "term").join(df, "term").join(lengths, key).join(F.broadcast(total))
+    terms = asked.select("term").distinct()
+    few = asked.count() <= MOST_TERMS
+    # The row without a term counts the texts and their lengths.
+    seen = words.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("_w"))).alias("term"), "_len")
+    df = seen.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("_len"))).alias("_all"))
+    total = df.filter("term is null").select(F.col("df").alias("_docs"), (F.col("_all") / F.col("df")).alias("_mean"))  # one row
+    df = df.filter("term is not null").join(F.broadcast(total)).withColumn("_idf", F.ln(F.col("_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    mean = df.agg(F.avg("_idf").alias("_mean_idf"))  # one row
+    idf = F.when(F.col("_idf") < 0, EPSILON * F.col("_mean_idf")).otherwise(F.col("_idf"))
+    wanted = asked.join(df, "term").join(F.broadcast(mean)).select("query_id", "term", "times", idf.alias("idf"), "_mean")
+    own = words.select(key, "_len", F.explode("_w").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    own = own.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("_len").alias("_len"))
+    hits = own.join(F.broadcast(wanted) if few else wanted, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.col("_mean")))
     scores = hits.groupBy("query_id", key).agg(F.round(F.sum(part), 8).alias("score"))
     w = Window.partitionBy("query_id")

@@ -67,11 +67,13 @@ def pct_rank_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.select("ticker", "date", ranks.avg_rank("mom", "date").alias("mom_place"), ranks.pct_rank("mom", "date").alias("mom_rank"), ranks.pct_rank("volume", "date").alias("volume_rank")))
 
 
-@query(f"with {FACTORS} select ticker, date, round(coalesce({pct_sql('mom', 'date', 'sector')}, 0.5), 6) as mom_rank, round(y - avg(y) over (partition by date), 6) as excess from fa")
+@query(f"""with {FACTORS} select ticker, date, round(coalesce({pct_sql('mom', 'date', 'sector')}, 0.5), 6) as mom_rank,
+  floor((2 * (yy * count(yy) over d - sum(yy) over d) + 100 * count(yy) over d) / (200 * count(yy) over d)) / 1e6 as excess
+from (select *, cast(round(y * 1e8) as bigint) as yy from fa) window d as (partition by date)""")
 def pct_rank_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank within date and sector, NULL as 0.5, and the return over the date's mean."""
+    """Rank within date and sector, NULL as 0.5, and the return over the date's mean, exactly: a mean of 8-digit numbers may end in a tie at the seventh digit."""
     d = factors(spark, sf_dir)
-    return rounded(d.select("ticker", "date", F.coalesce(ranks.pct_rank("mom", "date", "sector"), F.lit(0.5)).alias("mom_rank"), ranks.demean("y", "date").alias("excess")))
+    return rounded(d.select("ticker", "date", F.coalesce(ranks.pct_rank("mom", "date", "sector"), F.lit(0.5)).alias("mom_rank"), ranks.demean_exact("y", "date").alias("excess")))
 
 
 @query(f"""with {FACTORS}, m as (select *, median(mom) over (partition by date) as m from fa), d as (select *, median(abs(mom - m)) over (partition by date) as d from m)

@@ -9,7 +9,7 @@ from tidelens.functions import ranks
 from tidelens.functions import windows as w_
 from tidelens.operators import joins, portfolio, stats
 from tidelens.plans.cross_section import ALPHA, FACTORS, alphas, factors
-from tidelens.plans.panels import FQ, PD, PM, daily, monthly, pct_sql, quarterly, rank_sql, rounded
+from tidelens.plans.panels import FQ, PD, PM, daily, monthly, pct_sql, quarterly, rank_sql, rounded, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -136,25 +136,31 @@ def yoy_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quarterly(spark, sf_dir).select("ticker", "quarter", "known", w_.change("revenue", w, 4).alias("revenue_yoy"), w_.change("quantity", w, 4).alias("quantity_yoy")))
 
 
-# A sparser panel, so that held tickers do go missing.
-SPARSE = f"{ALPHA}, sp as (select ticker, date, close, sector, round(alpha, 6) as score from al where (ticker + extract(month from date)) % 5 <> 0)"
+SCORED = f"{ALPHA}, sp as (select ticker, date, close, sector, round(alpha, 6) as score from al)"
 
 
-def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alphas(spark, sf_dir).filter((F.col("ticker") + F.month("date")) % 5 != 0).select("ticker", "date", "close", "sector", F.round("alpha", 6).alias("score"))
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alphas(spark, sf_dir).select("ticker", "date", "close", "sector", F.round("alpha", 6).alias("score"))
 
 
-CRASH = f"""{SPARSE}, dt as (select date, lead(date) over (order by date) as next_date from (select distinct date from sp)),
+def monthly_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of the monthly panel, without the panel: one row a date."""
+    return table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "MM").alias("date")).distinct()
+
+
+CRASH = f"""{SCORED}, dt as (select date, lead(date) over (order by date) as next_date from (select distinct date from sp)),
 hd as (select *, row_number() over (partition by date order by score desc nulls last, ticker) as k, count(*) over (partition by date) as n from sp),
 rt as (select h.ticker, h.date, d.next_date, coalesce(p.close / h.close - 1, -1.0) as ret from hd h join dt d using (date) left join sp p on p.ticker = h.ticker and p.date = d.next_date
   where h.k <= greatest(1, floor(h.n * 0.2)) and d.next_date is not null)"""
 
 
 def crash_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sparse(spark, sf_dir)
+    """The panel is computed once: dates are few and come from the prices alone, and each row knows its ticker's next row."""
     w = Window.partitionBy("date")
-    held = d.select("ticker", "date", "close", F.row_number().over(w.orderBy(F.desc_nulls_last("score"), "ticker")).alias("k"), F.count("*").over(w).alias("n")).filter(F.col("k") <= ranks.top_count(F.col("n"), 0.2))
-    return portfolio.held_returns(held.select("ticker", "date", "close"), d, portfolio.rebalance_dates(d))
+    d = scored(spark, sf_dir).withColumns({"next_row": F.lead("date").over(w_.series()), "next_close": F.lead("close").over(w_.series())})
+    k, n = F.row_number().over(w.orderBy(F.desc_nulls_last("score"), "ticker")), F.count("*").over(w)
+    held = d.select("ticker", "date", "close", "next_row", "next_close", k.alias("k"), n.alias("n")).filter(F.col("k") <= ranks.top_count(F.col("n"), 0.2))
+    return portfolio.held_to_next(held, portfolio.rebalance_dates(monthly_dates(spark, sf_dir)))
 
 
 @query(f"with {CRASH} select ticker, date, next_date, round(ret, 6) as ret from rt")
@@ -172,16 +178,16 @@ def crash_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("date", F.round("ret", 6).alias("ret"), F.round("nav", 8).alias("nav"), F.round(w_.drawdown("nav", w), 6).alias("drawdown"))
 
 
-@query(f"""with {SPARSE}, dt as (select date, row_number() over (order by date) - 1 as turn from (select distinct date from sp)),
+@query(f"""with {SCORED}, dt as (select date, row_number() over (order by date) - 1 as turn from (select distinct date from sp)),
 hd as (select *, row_number() over (partition by date order by score desc nulls last, ticker) as k, count(*) over (partition by date) as n from sp),
 mb as (select turn, ticker from hd join dt using (date) where k <= greatest(1, floor(n * 0.3))),
 sz as (select turn, count(*) as n from mb group by 1), sm as (select a.turn, count(*) as same from mb a join mb b on a.ticker = b.ticker and b.turn = a.turn - 1 group by 1)
 select s.turn, round(coalesce(same, 0) / s.n, 6) as kept, round(1 - coalesce(same, 0) / s.n, 6) as turnover from sz s join sz b on b.turn = s.turn - 1 left join sm on sm.turn = s.turn where s.n > 5 and b.n > 5""")
 def turnover_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sparse(spark, sf_dir)
+    d = scored(spark, sf_dir)
     w = Window.partitionBy("date")
     held = d.select("ticker", "date", F.row_number().over(w.orderBy(F.desc_nulls_last("score"), "ticker")).alias("k"), F.count("*").over(w).alias("n")).filter(F.col("k") <= ranks.top_count(F.col("n"), 0.3))
-    turns = portfolio.rebalance_dates(d).select("date", F.col("turn").cast("long").alias("turn"))
+    turns = portfolio.rebalance_dates(monthly_dates(spark, sf_dir)).select("date", F.col("turn").cast("long").alias("turn"))
     return rounded(portfolio.overlap(held.join(F.broadcast(turns), "date").select("ticker", "turn"), 5))
 
 

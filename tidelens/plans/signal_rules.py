@@ -122,12 +122,12 @@ def grid_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ANALYSTS = ("bull_researcher", "bear_researcher", "market", "social", "news", "fundamentals")
 REPORTS = f"""rep as (select user_id as ticker, analyst, round(avg(s), 6) as sentiment, round(avg(r), 6) as risk from (
-  select user_id, [{', '.join(repr(a) for a in _ANALYSTS)}][cast(event_id % 6 as int) + 1] as analyst, round((value - 100) / 100, 6) as s, round(value / 400, 6) as r from events where event_id % 3 <> 0 or user_id % 2 = 0) group by 1, 2)"""
+  select user_id, [{', '.join(repr(a) for a in _ANALYSTS)}][cast(event_id % 6 as int) + 1] as analyst, round((value - 100) / 100, 6) as s, round(value / 400, 6) as r from events) group by 1, 2)"""
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report of each analyst on each user, made of events."""
-    e = table(spark, sf_dir, "events").filter("event_id % 3 <> 0 or user_id % 2 = 0")
+    e = table(spark, sf_dir, "events")
     who = F.element_at(F.array(*[F.lit(a) for a in _ANALYSTS]), (F.col("event_id") % 6).cast("int") + 1)
     e = e.select(F.col("user_id").alias("ticker"), who.alias("analyst"), F.round((F.col("value") - 100) / 100, 6).alias("s"), F.round(F.col("value") / 400, 6).alias("r"))
     return e.groupBy("ticker", "analyst").agg(F.round(F.avg("s"), 6).alias("sentiment"), F.round(F.avg("r"), 6).alias("risk"))
@@ -274,11 +274,13 @@ def z_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.select("vec_id", total.alias("clipped"), F.array_max(F.transform(z, lambda v: F.abs(v))).alias("top")), 5)
 
 
-@query("select vec_id, cast(sum(case when embedding[i] > 0 then 1::bigint << (i - 1) else 0 end) as bigint) as code, embedding[1] > 0 as lowest from embeddings, generate_series(1, 20) g(i) group by vec_id, embedding")
+@query("""with b as (select vec_id, embedding[1] > 0 as lowest, unnest(embedding) as x, unnest(range(len(embedding))) as i from embeddings)
+select vec_id, cast(i // 32 as int) as word, cast(sum(case when x > 0 then 1::bigint << (i % 32) else 0 end) as bigint) as code, any_value(lowest) as lowest from b group by vec_id, i // 32""")
 def sign_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signs of the first 20 components as a number, and its lowest bit again."""
-    d = table(spark, sf_dir, "embeddings").select("vec_id", scoring.sign_bits(F.slice("embedding", 1, 20)).alias("code"))
-    return d.select("vec_id", "code", (F.element_at(scoring.bits_of("code", 20), 1) == 1).alias("lowest"))
+    """Signs of all components as numbers of 32 bits each, and the first one's lowest bit again."""
+    d = table(spark, sf_dir, "embeddings").select("vec_id", scoring.sign_words("embedding", 32).alias("words"))
+    lowest = F.element_at(scoring.bits_of(F.element_at("words", 1), 32), 1) == 1
+    return d.select("vec_id", lowest.alias("lowest"), F.posexplode("words").alias("word", "code")).select("vec_id", "word", "code", "lowest")
 
 
 @query("""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}_]+')) as term from documents), total as (select count(*) as docs, (select count(*) from w)::double / count(*) as mean from documents),

@@ -128,13 +128,12 @@ def month_end_last_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.last_of_month(daily(spark, sf_dir)).select("ticker", "date", "close")
 
 
-@query(f"""with {PD}, m as (select ticker, last_day(date) as month_end, arg_max(close, date) as close from pd where extract(day from date) <= 6 group by 1, 2),
+@query(f"""with {PD}, m as (select ticker, last_day(date) as month_end, arg_max(close, date) as close from pd group by 1, 2),
 span as (select ticker, min(month_end) as a, max(month_end) as b from m group by 1),
 spine as (select ticker, last_day(cast(unnest(generate_series(date_trunc('month', a)::timestamp, date_trunc('month', b)::timestamp, interval 1 month)) as date)) as month_end from span)
 select ticker, month_end, close from spine left join m using (ticker, month_end)""")
 def resample_month_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On the first six days of each month only, so that some months are empty."""
-    return panel.resample_month(daily(spark, sf_dir).filter(F.dayofmonth("date") <= 6), "close")
+    return panel.resample_month(daily(spark, sf_dir), "close")
 
 
 INDEX = """ix as (select date, round(sum(close * volume) / sum(volume), 6) as close from pd group by 1),

@@ -85,7 +85,7 @@ def company_facts(df: DataFrame, forms: tuple[str, ...] = FORMS) -> DataFrame:
     point = T.ArrayType(T.StructType([T.StructField("end", T.StringType()), T.StructField("val", T.DoubleType()), T.StructField("form", T.StringType())]))
     unit = T.StructType([T.StructField("units", T.MapType(T.StringType(), point))])
     facts = df.select("ticker", F.explode(F.from_json("facts", T.MapType(T.StringType(), unit))).alias("name", "fact"))
-    first_unit = F.element_at(F.map_values("fact.units"), 1)
+    first_unit = F.try_element_at(F.map_values("fact.units"), F.lit(1))
     points = facts.select("ticker", "name", F.posexplode(first_unit).alias("at", "p")).filter(F.col("p.form").isin(list(forms)))
     points = points.groupBy("ticker", "name", F.to_date("p.end").alias("report_date")).agg(F.max_by("p.val", "at").alias("val"), F.max_by("p.form", "at").alias("form"))
     value = {c: F.coalesce(*[F.max(F.when(F.col("name") == n, F.col("val"))) for n in names]) for c, names in CONCEPTS.items()}
