@@ -99,3 +99,18 @@ def drawdown(level: str | Column, w: WindowSpec) -> Column:
     """The level's distance from its running maximum, 0 or less."""
     top = F.max(col(level)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return ratio(col(level) - top, top)
+
+
+def trailing_volatility(r: str | Column, w: WindowSpec, n: int = 60) -> Column:
+    """Sample deviation of the last n returns up to a row, 0 if there are fewer than two."""
+    return F.coalesce(frame(F.stddev_samp, r, w, n, 2), F.lit(0.0))
+
+
+def catalogue(w: WindowSpec, close: str = "close", high: str = "high", low: str = "low", volume: str = "volume") -> dict[str, Column]:
+    """Indicators by name that are frames over rows; those that recur over time are columns of panel.ewm()."""
+    middle, spread = frame(F.avg, close, w, 20), frame(F.stddev_samp, close, w, 20)
+    traded = frame(F.sum, col(close) * col(volume), w, 14)
+    return {
+        "close_50_sma": frame(F.avg, close, w, 50), "close_200_sma": frame(F.avg, close, w, 200), "boll": middle, "boll_ub": middle + 2 * spread, "boll_lb": middle - 2 * spread,
+        "vwma": ratio(traded, frame(F.sum, volume, w, 14)), "close": col(close), "high": col(high), "low": col(low), "volume": col(volume),
+    }

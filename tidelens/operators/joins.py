@@ -31,3 +31,15 @@ def nth_row_after(events: DataFrame, prices: DataFrame, hold: int, entity: str =
     opening = opening.select(entity, F.lit("0001-01-01").cast("date").alias(date), F.col(date).alias("entry_date"), F.col(price).alias("entry"), F.col("_d").alias("exit_date"), F.col("_p").alias("exit"))
     known = line.unionByName(opening).withColumnRenamed(date, "_at")
     return asof(events, known, [entity], date, "_at", ["entry_date", "entry", "exit_date", "exit"])
+
+
+def asof_scalar(asked: DataFrame, rows: DataFrame, at: str, date: str, values: list[str]) -> DataFrame:
+    """asof() of dates against one series: the last row of `rows` at or before each."""
+    one = F.lit(1).alias("_one")
+    return asof(asked.select("*", one), rows.select(*dict.fromkeys([date, *values]), one), ["_one"], at, date, values).drop("_one")
+
+
+def with_dimension(df: DataFrame, dim: DataFrame, key: list[str], default: dict[str, str] | None = None) -> DataFrame:
+    """df with the columns of a dimension that has one row a key; rows without one stay, with NULL or the given default."""
+    out = df.join(dim, key, "left")
+    return out.na.fill(default) if default else out

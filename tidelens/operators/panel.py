@@ -124,3 +124,69 @@ def spearman(x: str, y: str, group: str) -> tuple[Column, Column]:
     """Ranks of the pairs that are both known."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     return avg_rank(F.when(both, F.col(x)), group), avg_rank(F.when(both, F.col(y)), group)
+
+
+def indicator_rows(df: DataFrame, entity: str, date: str, known: dict[str, Column], chosen: tuple[str, ...], days: int) -> DataFrame:
+    """entity, date, indicator, value and status of the chosen indicators on every calendar day of each entity's last `days` days; a day without a row is N/A."""
+    wrong = [c for c in chosen if c not in known]
+    if wrong:
+        raise ValueError(f"no indicator is called {', '.join(wrong)}; there are {', '.join(sorted(known))}")
+    wide = df.select(entity, date, F.array(*[known[c].cast("double") for c in chosen]).alias("_v"))
+    span = df.groupBy(entity).agg(F.max(date).alias("_last"))
+    spine = span.select(entity, F.explode(F.sequence(F.date_sub("_last", days), F.col("_last"))).alias(date))
+    out = spine.join(wide, [entity, date], "left")
+    pairs = F.arrays_zip(F.array(*[F.lit(c) for c in chosen]).alias("indicator"), F.coalesce("_v", F.array_repeat(F.lit(None).cast("double"), len(chosen))).alias("value"))
+    status = F.when(F.col("_v").isNull(), "N/A").otherwise("ok").alias("status")
+    return out.select(entity, date, status, F.explode(pairs).alias("_p")).select(entity, date, "_p.indicator", "_p.value", "status")
+
+
+def leaderboard(df: DataFrame, name: str, weights: dict[str, float]) -> DataFrame:
+    """name and score: the weighted min-max shares of the columns' absolute values. df: one row a factor."""
+    w = Window.partitionBy(F.lit(1))
+    score = F.lit(0.0)
+    for c, weight in weights.items():
+        a = F.abs(F.col(c))
+        score = score + weight * (a - F.min(a).over(w)) / (F.max(a).over(w) - F.min(a).over(w) + 1e-9)
+    return df.select(name, score.alias("score"))
+
+
+def left_padded(df: DataFrame, length: int, entity: str = "ticker", date: str = "date") -> DataFrame:
+    """Each entity's last `length` rows; a shorter series begins with copies of its first row on the business days before it."""
+    values = [c for c in df.columns if c not in (entity, date)]
+    w = Window.partitionBy(entity)
+    rows = df.withColumn("_k", F.row_number().over(w.orderBy(F.desc(date)))).filter(F.col("_k") <= length)
+    first = rows.withColumn("_n", F.count("*").over(w)).filter((F.col("_k") == F.col("_n")) & (F.col("_n") < length))
+    # Of so many calendar days before the first row the last business days are enough.
+    days = F.filter(F.sequence(F.date_sub(date, 2 * length + 7), F.date_sub(date, 1)), lambda x: F.weekday(x) < 5)
+    short = F.col("_n") - length  # below 0
+    pads = first.select(entity, F.explode(F.slice(days, short.cast("int"), F.lit(length) - F.col("_n"))).alias(date), *values)
+    return rows.drop("_k").select(entity, date, *values).unionByName(pads)
+
+
+def every_kth(df: DataFrame, most: int = 500, entity: str = "ticker", date: str = "date") -> DataFrame:
+    """About `most` rows of each entity for a chart: every k-th with k = max(1, n // most), from the first."""
+    w = Window.partitionBy(entity)
+    k = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / most))
+    return df.withColumns({"_i": F.row_number().over(w.orderBy(date)) - 1, "_s": k}).filter(F.col("_i") % F.col("_s") == 0).drop("_i", "_s")
+
+
+def without_repeats(df: DataFrame) -> DataFrame:
+    """The first of columns that share a name."""
+    names = df.columns
+    numbered = df.toDF(*[str(i) for i in range(len(names))])
+    keep = {}
+    for i, c in enumerate(names):
+        keep.setdefault(c, i)
+    return numbered.select(*[F.col(str(i)).alias(c) for c, i in keep.items()])
+
+
+def insert_positional(table: DataFrame, rows: list[tuple]) -> DataFrame:
+    """table and rows whose values stand in the order of its columns."""
+    return table.union(table.sparkSession.createDataFrame(rows, table.schema))
+
+
+def slicer(df: DataFrame, field: str, dates: list[str], entity: str = "ticker", date: str = "date") -> DataFrame:
+    """One field as a matrix of entities and the given dates, newest first; what is missing is 0."""
+    shown = sorted(dates, reverse=True)
+    d = df.withColumn("_d", F.date_format(date, "yyyy-MM-dd")).filter(F.col("_d").isin(shown))
+    return d.groupBy(entity).pivot("_d", shown).agg(F.first(field)).na.fill(0.0)

@@ -86,3 +86,18 @@ def long_short(df: DataFrame, side: Column, ret: str, group: list[str]) -> DataF
         F.count_if(F.col("_s") == 1).alias("n_long"), F.count_if(F.col("_s") == -1).alias("n_short"),
     )
     return out.withColumn("spread", F.col("long") - F.col("short"))
+
+
+def strength_gains(df: DataFrame, direction: str, strength: str, ret: str, active: float = 0.1, date: str = "date", digits: int = 9) -> DataFrame:
+    """date, n, ret, nav and win_rate: each row gains its strength times the return, or the opposite for a SELL; dates take the mean.
+
+    win_rate is the number of gains over the rows with a strength above `active`, of all dates: so defined, the two sets differ.
+    """
+    rows = df.filter(F.col(strength).isNotNull() & F.col(ret).isNotNull())
+    gain = F.when(F.col(direction) == "BUY", F.col(strength) * F.col(ret)).when(F.col(direction) == "SELL", -F.col(strength) * F.col(ret)).otherwise(0.0)
+    days = rows.withColumn("_g", F.round(gain, digits)).groupBy(date).agg(
+        F.count("*").alias("n"), F.round(F.avg("_g"), digits).alias("ret"), F.count_if(F.col("_g") > 0).alias("_up"), F.count_if(F.col(strength) > active).alias("_active"),
+    )
+    every = Window.partitionBy(F.lit(1))  # one row a date
+    win = ratio(F.sum("_up").over(every), F.sum("_active").over(every))
+    return days.select(date, "n", "ret", nav("ret", every.orderBy(date)).alias("nav"), win.alias("win_rate"))
