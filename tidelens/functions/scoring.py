@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tidelens.functions.windows import col
 
+# The sweet spots, worst values, weights, thresholds and multipliers of the scores and positions in this file, which
+# decisions must agree on: 12/45, 1.5/5, 0.5/3, 1.8/0.5, 0.2/0, 0.15/0, 2/200, 0.3/-0.2 and 0.8/2 for the figures; 0.25, 0.35, 0.20, 0.10, 0.10 for the
+# O-score; z of 0.5, 1, 1.5 and 2; doubt of 0.03, 0.05 and 0.06; debt over 3 with less than 0.8 at hand.
+
 #: Score for a figure that isn't known.
 MIDDLING = 50.0
 
@@ -153,3 +157,13 @@ def sign_words(values: str | Column, width: int = 32) -> Column:
 def bits_of(number: str | Column, width: int) -> Column:
     """The bits of a number as an array of 0 and 1, lowest first."""
     return F.array(*[F.shiftright(col(number), i).bitwiseAND(F.lit(1)).cast("int") for i in range(width)])
+
+
+def mean_return(text: str | Column) -> Column:
+    """The number after `mean_return=` in a text."""
+    return F.regexp_extract(col(text), r"mean_return=\s*([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)", 1).try_cast("double")
+
+
+def json_array(text: str | Column, schema: str) -> Column:
+    """The array from the first [ to the last ] of a text; NULL if that isn't one."""
+    return F.from_json(F.regexp_extract(col(text), r"(?s)(\[.*\])", 1), schema)

@@ -190,3 +190,30 @@ def slicer(df: DataFrame, field: str, dates: list[str], entity: str = "ticker",
     shown = sorted(dates, reverse=True)
     d = df.withColumn("_d", F.date_format(date, "yyyy-MM-dd")).filter(F.col("_d").isin(shown))
     return d.groupBy(entity).pivot("_d", shown).agg(F.first(field)).na.fill(0.0)
+
+
+def _finite(x: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda v: _finite(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, v: _finite(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*[_finite(x[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return x
+
+
+def finite(df: DataFrame) -> DataFrame:
+    """normalise() at any depth of arrays, maps and structs."""
+    return df.select(*[_finite(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with their number from 0 in an order, without one task for all: each part of a range sort counts its own rows."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    spread = spread.withColumn("_part", F.shiftright("_id", 33))
+    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_from"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    starts = sizes.select("_part", "_from", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return spread.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_id") - F.col("_from")).drop("_id", "_part", "_from", "_before")

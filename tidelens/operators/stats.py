@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions.windows import corr, ratio
-from tidelens.operators.panel import spearman
+from tidelens.operators.panel import numbered, spearman
 
 
 def rank_ic(df: DataFrame, x: str, y: str, date: str = "date", least: int = 5, extra: list[str] | None = None, least_deviation: float | None = None) -> DataFrame:
@@ -58,18 +58,17 @@ def ndcg(df: DataFrame, score: str, gain: str, group: str, k: int = 10) -> DataF
 
 
 def bootstrap_spread(df: DataFrame, side: str, ret: str, entity: str, times: int = 500, seed: int = 13) -> DataFrame:
-    """mean, deviation, low and high (2.5 and 97.5 % by index) of the long-short spread over resamples with replacement.
+    """mean, deviation, low and high (2.5 and 97.5 % by index) of the long-short spread over resamples of n draws with replacement.
 
-    Each row enters each resample a Poisson(1) number of times, drawn from a hash, so no resample gathers the rows and a rerun draws alike.
+    The k-th draw of resample b is row xxhash64(k, b, seed) modulo n, in the order of `entity`, so a rerun draws alike. Draws are counted by resample and row
+    before they meet the rows: a resample is never gathered.
     """
-    u = (F.xxhash64(F.col(entity), F.col("_b"), F.lit(seed)) / F.lit(2.0**64)) + 0.5
-    times_drawn, total, term = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(0, 8):
-        total += term
-        times_drawn = times_drawn + F.when(u > total, 1).otherwise(0)
-        term /= k + 1
-    rows = df.select(entity, side, ret, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_b")).withColumn("_w", times_drawn)
+    rows = numbered(df.select(entity, side, ret), [entity, side, ret], "_row")
+    n = rows.count()
+    draws = rows.select("_row", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_b"))
+    draws = draws.select("_b", F.pmod(F.xxhash64("_row", F.col("_b").cast("long"), F.lit(seed).cast("long")), F.lit(max(n, 1)).cast("long")).alias("_row"))
+    drawn = draws.groupBy("_b", "_row").agg(F.count("*").alias("_w")).join(rows, "_row")
     weigh = lambda s: F.sum(F.when(F.col(side) == s, F.col("_w") * F.col(ret))) / F.sum(F.when(F.col(side) == s, F.col("_w")))
-    spreads = rows.groupBy("_b").agg((weigh(1) - weigh(-1)).alias("s"))
+    spreads = drawn.groupBy("_b").agg((weigh(1) - weigh(-1)).alias("s"))
     at = lambda p: F.element_at(F.sort_array(F.collect_list("s")), F.floor(F.count("s") * F.lit(p)).cast("int") + 1)  # noqa: E731  as many rows as resamples
     return spreads.agg(F.avg("s").alias("mean"), F.stddev_samp("s").alias("deviation"), at(0.025).alias("low"), at(0.975).alias("high"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,3 +111,30 @@ def files(spark: SparkSession, path: str, pattern: str = "*.parquet", limit: int
     """path, size and modification time of the files below a folder, by name."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     return df.select("path", "length", "modificationTime").orderBy("path").limit(limit)
+
+
+def registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON object of named entries as one row an entry: name, and the fields of `schema`."""
+    text = spark.read.text(path, wholetext=True)
+    entries = F.from_json("value", T.MapType(T.StringType(), T._parse_datatype_string(schema)), {"allowNonNumericNumbers": "true"})
+    return text.select(F.explode(entries).alias("name", "_e")).select("name", "_e.*")
+
+
+def offline_prices(spark: SparkSession, folder: str, ticker: str, first: str, last: str) -> DataFrame:
+    """A ticker's local price file between two dates; the whole file if it has nothing between them."""
+    whole = csv_prices(spark, f"{folder}/{ticker}_price.csv").withColumn("ticker", F.lit(ticker))
+    own = between(whole, first, last)
+    return whole if own.isEmpty() else own
+
+
+def load_prices(spark: SparkSession, tickers: list[str], sources: dict[str, Callable[[list[str]], DataFrame]], first: str, last: str, offline: str | None = None) -> DataFrame:
+    """Prices of the tickers, each from its source: what route() says, or the local files below `offline`. Columns that a source lacks are NULL."""
+    if offline:
+        parts = [offline_prices(spark, offline, t, first, last) for t in tickers]
+    else:
+        names = spark.createDataFrame([(t,) for t in tickers], "ticker string").select("ticker", route(F.col("ticker")).alias("source")).collect()
+        parts = [between(sources[s]([r["ticker"] for r in names if r["source"] == s]), first, last) for s in sorted({r["source"] for r in names})]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out

@@ -40,3 +40,15 @@ def next_start(df: DataFrame, entity: str = "ticker", date: str = "date") -> Dat
 def missing_months(df: DataFrame, done: DataFrame, month: str = "month") -> DataFrame:
     """The rows of months that `done` doesn't have yet, so that a job goes on where it stopped."""
     return df.join(done.select(month).distinct(), month, "left_anti")
+
+
+def json_report(df: DataFrame, path: str) -> None:
+    """One object a line; NaN and infinities at any depth as NULL, and NULL fields written."""
+    panel.finite(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def sharded_json_lines(df: DataFrame, path: str, shards: int, merged: str | None = None) -> None:
+    """A file for each of `shards` workers below `path`, and if asked for, all lines in one file below `merged`."""
+    panel.finite(df).repartition(shards).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    if merged:
+        df.sparkSession.read.text(path).coalesce(1).write.mode("overwrite").text(merged)
