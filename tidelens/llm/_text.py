@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one step works on. A longer text is a step of its own, so no text is ever cut.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 
 #: The bytes that separate words, space and 0x09 to 0x0D.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -101,7 +101,7 @@ def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     return (sums[ends] - sums[starts]) * down[starts]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 19) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 250_000) -> np.ndarray:
     """A 64-bit hash of the bytes of every span, in steps of about `limit` bytes to keep memory small."""
     out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):

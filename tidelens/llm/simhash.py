@@ -58,8 +58,8 @@ def _fingerprints(shingle: int):
             hashes = b"".join([digest(raw[a:b], SEED) for a, b in zip(starts[first].tolist(), ends[last].tolist())])
             hashes = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
             votes = np.zeros((chunk.rows, BITS), np.int64)
-            for at in range(0, len(hashes), 1 << 18):
-                part, own = hashes[at : at + (1 << 18)], row[at : at + (1 << 18)]
+            for at in range(0, len(hashes), 1 << 15):
+                part, own = hashes[at : at + (1 << 15)], row[at : at + (1 << 15)]
                 cuts = np.flatnonzero(np.diff(own, prepend=-1))
                 votes[own[cuts]] += np.add.reduceat(np.unpackbits(part, axis=1), cuts, axis=0, dtype=np.int64)
             bits = np.packbits(2 * votes > sizes[:, None], axis=1)

@@ -36,7 +36,7 @@ WIDTH = 20
 #: Words of English text take about this many bytes; a window then sends about 9.
 _BYTES_A_WORD = 5.5
 _HASH_BYTES = 7
-_BLOCK_BYTES = 4 << 20
+_BLOCK_BYTES = 2 << 20
 #: Windows that a task remembers of those it has sent: 6.5 MB.
 SLOTS = 1 << 18
 
