@@ -38,15 +38,19 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     terms = asked.select("term").distinct()
     few = asked.count() <= MOST_TERMS
-    # The row without a term counts the texts and their lengths.
-    seen = words.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("_w"))).alias("term"), "_len")
-    df = seen.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("_len"))).alias("_all"))
-    total = df.filter("term is null").select(F.col("df").alias("_docs"), (F.col("_all") / F.col("df")).alias("_mean"))  # one row
-    df = df.filter("term is not null").join(F.broadcast(total)).withColumn("_idf", F.ln(F.col("_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = df.agg(F.avg("_idf").alias("_mean_idf"))  # one row
-    idf = F.when(F.col("_idf") < 0, EPSILON * F.col("_mean_idf")).otherwise(F.col("_idf"))
-    wanted = asked.join(df, "term").join(F.broadcast(mean)).select("query_id", "term", "times", idf.alias("idf"), "_mean")
-    own = words.select(key, "_len", F.explode("_w").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    # explode_outer, for Spark would put a filter on the array's size before explode, and tokenise for it once more.
+    # The empty term stands in every text: its row counts the texts and their lengths. All uses of df ask for the same columns of the same rows, so
+    # Spark plans one exchange for them and reads it again.
+    seen = words.select(F.explode_outer(F.concat(F.array(F.lit("")), F.array_distinct("_w"))).alias("term"), "_len").filter("term is not null")
+    df = seen.groupBy("term").agg(F.array(F.count("*").cast("double"), F.sum(F.when(F.col("term") == "", F.col("_len")).otherwise(0.0))).alias("_seen"))
+    n = F.element_at("_seen", 1)
+    docs_of, length_of = F.max(F.when(F.col("term") == "", n)), F.max(F.when(F.col("term") == "", F.element_at("_seen", 2)))
+    total = df.agg(docs_of.alias("_docs"), (length_of / docs_of).alias("_mean"))  # one row
+    idf = F.ln(F.col("_docs") - n + 0.5) - F.ln(n + 0.5)
+    mean = df.join(F.broadcast(total)).agg(F.avg(F.when(F.col("term") != "", idf)).alias("_mean_idf"), F.max("_docs").alias("_docs"), F.max("_mean").alias("_mean"))  # one row
+    idf = F.when(idf < 0, EPSILON * F.col("_mean_idf")).otherwise(idf)
+    wanted = df.join(F.broadcast(asked) if few else asked, "term").join(F.broadcast(mean)).select("query_id", "term", "times", idf.alias("idf"), "_mean")
+    own = words.select(key, "_len", F.explode_outer("_w").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
     own = own.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("_len").alias("_len"))
     hits = own.join(F.broadcast(wanted) if few else wanted, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.col("_mean")))
