@@ -9,10 +9,11 @@ from tidelens.functions.windows import col, ratio
 
 
 def avg_rank(x: str | Column, *group: str) -> Column:
-    """Rank from 1 with ties at their mean; NULL stays NULL."""
+    """Rank from 1 with ties at their mean; NULL stays NULL. Ties are the row's own peers in the rank's order, so one shuffle and one sort serve both."""
     x = col(x)
-    ties = F.count(x).over(Window.partitionBy(*group, x))
-    place = F.rank().over(Window.partitionBy(*group).orderBy(x.asc_nulls_last()))
+    w = Window.partitionBy(*group).orderBy(x.asc_nulls_last())
+    ties = F.count(x).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    place = F.rank().over(w)
     return F.when(x.isNotNull(), place + (ties - 1) / 2.0)
 
 
