@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelens.llm import bpe, language, neighbours, packing, quality, sharding, simhash, token_counts, token_files
+from tidelens.llm import bpe, language, neighbours, packing, quality, sharding, simhash, suffix_dedup, token_counts, token_files
 from tidelens.llm._spark import documents, shared_folder
 from tidelens.llm.substring_dedup import remove_repeats
 
@@ -61,8 +61,12 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_substring_dedup, op2_language_id, op3_byte_bpe, op4_token_files, op5_sharding, op6_quality_rules, op7_token_counts, op8_best_fit_packing, op9_simhash, op10_nearest_neighbours)
+    own = (op1_substring_dedup, op2_language_id, op3_byte_bpe, op4_token_files, op5_sharding, op6_quality_rules, op7_token_counts, op8_best_fit_packing, op9_simhash, op10_nearest_neighbours, op13_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
