@@ -52,11 +52,20 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             at = end
 
 
-def word_spans(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that separate terms: all of ASCII but digits and letters.
+NO_TERM = np.arange(256) < 0x80
+NO_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
+
+#: What A-Z become, and all other bytes stay.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def word_spans(chunk: Chunk, separator: np.ndarray = IS_SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words, and for each row the index of its first word (one more at the end)."""
     n = len(chunk.data)
     inside = np.zeros(n + 2, np.int8)
-    inside[1:-1] = ~IS_SEPARATOR[chunk.data]
+    inside[1:-1] = ~separator[chunk.data]
     edge = np.diff(inside)
     begins, ends = edge[:-1] == 1, edge[1:] == -1
     inner = chunk.offsets[(chunk.offsets > 0) & (chunk.offsets < n)]
