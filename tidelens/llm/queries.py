@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelens.llm import bpe, language, neighbours, packing, quality, resampling, sharding, simhash, suffix_dedup, token_counts, token_files
+from tidelens.llm import bpe, language, lexical, neighbours, packing, quality, resampling, sharding, simhash, suffix_dedup, token_counts, token_files
 from tidelens.llm._spark import documents, shared_folder
 from tidelens.llm.substring_dedup import remove_repeats
 
@@ -65,12 +65,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.digests(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_substring_dedup, op2_language_id, op3_byte_bpe, op4_token_files, op5_sharding, op6_quality_rules, op7_token_counts, op8_best_fit_packing, op9_simhash, op10_nearest_neighbours, op11_importance_resampling, op13_suffix_dedup)
+    own = (op1_substring_dedup, op2_language_id, op3_byte_bpe, op4_token_files, op5_sharding, op6_quality_rules, op7_token_counts, op8_best_fit_packing, op9_simhash, op10_nearest_neighbours, op11_importance_resampling, op12_lexical_search, op13_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
@@ -110,5 +114,29 @@ select doc_id, n_features, weight, score, case when place <= 5 * eligible // 100
 """
 
 
+LEXICAL_SQL = r"""
+with texts as (
+    select 'd' as side, doc_id as id, text from documents union all select 'b', item_id, text from benchmark
+), words as (
+    select side, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as term from texts
+), held as (
+    select id as doc_id, term, count(*) as tf from words where side = 'd' group by all
+), asked as (
+    select id as item_id, term, count(*) as times from words where side = 'b' group by all
+), sizes as (
+    select doc_id, sum(tf)::bigint as n from held group by doc_id
+), totals as (
+    select count(*) as n_docs, sum(n)::bigint as n_all from sizes
+), weights as (
+    select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)))::bigint as w from held, totals group by term
+), scores as (
+    select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_all))))::bigint as score
+    from asked join held using (term) join sizes using (doc_id) join weights using (term), totals group by item_id, doc_id
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as "rank", doc_id, score
+from scores where score > 0 qualify "rank" <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_importance_resampling": RESAMPLING_SQL}
+    return {"op11_importance_resampling": RESAMPLING_SQL, "op12_lexical_search": LEXICAL_SQL}
