@@ -1,21 +1,24 @@
 from __future__ import annotations
 
+import base64
 import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import regex
+import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelens.llm import packing, token_counts, token_files
 from tidelens.llm._text import chunks
-from tidelens.llm._tokens import piece_starts
+from tidelens.llm._tokens import library_encoder, piece_starts
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -50,6 +53,24 @@ def test_pieces_are_the_patterns_matches():
     assert got == [pattern.findall(t or "") for t in texts]
 
 
+def test_every_code_point_in_every_context(tokenizer):
+    """Between letters, digits, spaces, apostrophes and its like: the pieces of our split give the ids that both libraries give."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(P.path("byte_bpe_multi_50k.tiktoken")).read_bytes().splitlines())}
+    tik = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(f"a{c}a 1{c}1 {c}{c}  {c} '{c}'s{c}" for c in points[at : at + 2000]) for at in range(0, len(points), 2000)]
+    encoder, at = library_encoder(PATH), 0
+    for c in chunks(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})])):
+        ids, offsets = encoder.ids(c)
+        own = texts[at : at + c.rows]
+        at += c.rows
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [x.ids for x in tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+        starts, firsts = piece_starts(c)
+        ends, raw = np.append(starts[1:], len(c.data)), c.data.tobytes()
+        for text, x, y in zip(own, firsts, firsts[1:]):
+            assert [i for a, b in zip(starts[x:y].tolist(), ends[x:y].tolist()) for i in tik._encode_single_piece(raw[a:b])] == tik.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 25])
 def test_bits(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 300_001)

@@ -7,7 +7,6 @@ stands. So a text's ids are its pieces' ids in order, and the library only has t
 from __future__ import annotations
 
 import os
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -18,17 +17,21 @@ from tidelens.llm._text import Chunk, ragged, span_hashes
 #: Pieces that a worker remembers in each of two generations.
 REMEMBERED = 250_000
 
-#: Unicode white space.
-WHITE_SPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
 
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
-    kinds = {"L": _LETTER, "N": _NUMBER}
-    table = np.array([kinds.get(unicodedata.category(chr(i))[0], _OTHER) for i in range(0x110000)], np.uint8)
-    table[list(WHITE_SPACE)] = _SPACE
+    """The class of every code point, asked of the library that the pattern runs in: Python's own tables are of another Unicode version."""
+    import tiktoken
+
+    text = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    table = np.full(0x110000, _OTHER, np.uint8)
+    for pattern, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER), (r"\s+", _SPACE)):
+        # With single bytes for tokens the ids are the bytes of what the pattern matches.
+        matches = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        found = bytes(matches.encode_ordinary(text)).decode("utf-8")
+        table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     return table
 
 
