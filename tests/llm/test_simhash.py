@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from tidelens.llm.simhash import components, keep_one, links, near_components, trie_labels
+from tidelens.llm.simhash import MANY_TASKS, TASK_CODES, _trie_links, components, deal_tasks, keep_one, links, near_components, trie_labels
 
 
 def brute_print(text):
@@ -65,6 +66,16 @@ def test_dealt_links(spark, hot):
     assert {v: roots.get(v, v) for v in vertex} == want
 
 
+def test_tasks_follow_the_rows_and_workers_hold_runs(spark):
+    assert [deal_tasks(n) for n in (0, 1, 10 * TASK_CODES, 10 * TASK_CODES + 1)] == [1, 1, 10, 11]
+    assert deal_tasks(10**12) == MANY_TASKS
+    codes = np.sort(np.array(near_codes(900), np.uint64).view(np.int64))
+    rows = [(deal, code, i) for deal in range(3) for i, code in enumerate(codes.tolist())]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("deal", "code", "vertex"), r)) for r in rows[at : at + 70]]) for at in range(0, len(rows), 70)]
+    of = lambda n: sorted((a, b) for x in _trie_links(16, 3, n)(iter(batches)) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist()))
+    assert of(1) == of(500) == of(10**9) and len(of(1)) % 3 == 0 and of(1)
+
+
 def test_documents(spark):
     random.seed(1)
     words = [str(i) for i in range(300)]

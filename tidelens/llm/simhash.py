@@ -9,7 +9,8 @@ dealt once for each block by that block's value, and what is dealt to a task is
 first: node pairs are traversed together from the root, differing bits add up, and a pair is pruned once it exceeds
 its budget (none in the block, then the rest). The budget is raised step by step, and node pairs whose leaves are all
 in one component already are pruned too, so a large group of near copies doesn't cost the square of its size. Tasks give links
-to the smallest member only. A value that very many fingerprints share is dealt again by blocks of the other bits.
+to the smallest member only. A value that very many fingerprints share is dealt again by blocks of the other bits. The number of tasks
+follows the number of fingerprints, and a worker holds a bounded run of its sorted rows.
 
 A fingerprint that more than a thousandth of all rows share is joined back to its rows by broadcast, not in one task.
 
@@ -23,13 +24,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm._spark import forget, join_hot, stable
+from tidelens.llm._spark import MANY_TASKS, forget, join_hot, parts, stable
 from tidelens.llm._text import chunks, joined, word_spans
 
 SHINGLE = 3
@@ -38,6 +38,10 @@ BUDGET = 3
 BITS = 64
 #: Fingerprints with one block's value beyond which they are dealt by another block too.
 HOT = 4096
+#: Dealt codes of one task, up to MANY_TASKS tasks; beyond that tasks grow, and their rows stream through them sorted.
+TASK_CODES = 100_000
+#: Dealt codes that a worker holds at once, but for those of one value (HOT at most).
+AT_ONCE = 200_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -145,22 +149,41 @@ def trie_labels(codes: np.ndarray, exact: int, budget: int = BUDGET, at_once: in
     return labels
 
 
-def _trie_links(exact: int, budget: int):
-    """Of the codes of each deal, links of members to the smallest member of their component."""
+def _trie_links(exact: int, budget: int, at_once: int = AT_ONCE):
+    """Of the codes of each deal, links of members to the smallest member of their component. Rows come sorted by deal and code.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frames = [b.to_pandas() for b in batches if b.num_rows]
-        if not frames:
-            return
-        rows = pd.concat(frames, ignore_index=True)
-        for _, own in rows.groupby("deal", sort=False):
-            codes = own["code"].to_numpy().view(np.uint64)
-            order = np.argsort(codes)
-            codes, vertex = codes[order], own["vertex"].to_numpy()[order]
-            labels = trie_labels(codes, exact, budget)
+    Codes that differ in their first `exact` bits aren't linked here, so the rows are worked on in runs that end where these bits change.
+    """
+    shift = np.uint64(BITS - exact)
+
+    def found(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        deal, codes, vertex = rows
+        cuts = np.flatnonzero(np.append(True, deal[1:] != deal[:-1]))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(deal)]):
+            order = np.argsort(codes[a:b])
+            own = vertex[a:b][order]
+            labels = trie_labels(codes[a:b][order], exact, budget)
             linked = np.flatnonzero(labels != np.arange(len(labels)))
             if len(linked):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(vertex[linked], pa.int64()), "b": pa.array(vertex[labels[linked]], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"a": pa.array(own[linked], pa.int64()), "b": pa.array(own[labels[linked]], pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            deal, code, vertex = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("deal", "code", "vertex"))
+            held.append((deal, code.view(np.uint64), vertex))
+            if sum(len(x[0]) for x in held) < at_once:
+                continue
+            rows = tuple(np.concatenate(x) for x in zip(*held))
+            ends = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] >> shift != rows[1][:-1] >> shift)) + 1
+            if len(ends):
+                yield from found(tuple(x[: ends[-1]] for x in rows))
+                rows = tuple(x[ends[-1] :] for x in rows)
+            held = [rows]
+        if held:
+            yield from found(tuple(np.concatenate(x) for x in zip(*held)))
 
     return run
 
@@ -177,15 +200,20 @@ def _dealt(codes: DataFrame, budget: int) -> DataFrame:
     return codes.select("vertex", turns).select("vertex", "x.deal", "x.code", F.shiftrightunsigned("x.code", BITS - width).alias("value"))
 
 
+def deal_tasks(rows: int) -> int:
+    """How many tasks share out so many dealt codes."""
+    return parts(rows, max(TASK_CODES, rows / MANY_TASKS))
+
+
 def links(codes: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     """a, b: links that connect all distinct codes (vertex, code) that differ in at most `budget` bits."""
     width = BITS // (budget + 1)
-    spark = codes.sparkSession
     dealt = _dealt(codes, budget)
+    total = codes.count() * (budget + 1)
     # At most (budget + 1) * 2**width values: a bounded table.
     often = stable(dealt.groupBy("deal", "value").count().filter(F.col("count") > hot).select("deal", "value", F.lit(True).alias("often")))
     dealt = dealt.join(F.broadcast(often), ["deal", "value"], "left")
-    found = dealt.filter("often is null").repartition("deal", "value").mapInArrow(_trie_links(width, budget), "a long, b long")
+    found = dealt.filter("often is null").repartition(deal_tasks(total), "deal", "value").sortWithinPartitions("deal", "code").mapInArrow(_trie_links(width, budget), "a long, b long")
     if not often.isEmpty():
         # Within such a value, one of budget + 1 blocks of the other bits must agree as well.
         space = BITS - width
@@ -200,7 +228,8 @@ def links(codes: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
         turns = F.explode(F.array(*[F.struct(F.xxhash64("deal", "value", F.lit(i)).alias("deal"), turned(i).alias("code")) for i in range(budget + 1)])).alias("x")
         rest = dealt.filter("often").select("vertex", turns).select("vertex", "x.deal", "x.code")
         rest = rest.withColumn("inner_value", F.shiftrightunsigned("code", space - inner))
-        found = found.union(rest.repartition("deal", "inner_value").drop("inner_value").mapInArrow(_trie_links(width + inner, budget), "a long, b long"))
+        rest = rest.repartition(deal_tasks(total * (budget + 1)), "deal", "inner_value").drop("inner_value").sortWithinPartitions("deal", "code")
+        found = found.union(rest.mapInArrow(_trie_links(width + inner, budget), "a long, b long"))
     return found
 
 
