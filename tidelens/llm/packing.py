@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm._spark import parts, stable
+from tidelens.llm._spark import MANY_TASKS, parts, stable
 from tidelens.llm._text import chunks, ragged
 from tidelens.llm._tokens import library_encoder
 from tidelens.llm.token_files import with_end
 
 CAPACITY = 1024
-#: Items that one task packs.
+#: Items that one task packs, up to MANY_TASKS tasks; beyond that tasks grow.
 ITEMS = 10_000
 #: Free places up to which a sequence counts as nearly full.
 SLACK = 8
@@ -126,7 +126,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, items: int = ITEMS, slack:
     todo, turn = todo.filter(F.col("fill") < capacity), 0
     have = todo.count()
     while have:
-        n = parts(have, items)
+        n = parts(have, max(items, have / MANY_TASKS))
         deal = F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(n)).cast("int")
         packed = stable(todo.repartitionById(n, deal).mapInArrow(_pack(capacity), _ITEM))
         rest = packed.filter(F.col("fill") < capacity - slack)
