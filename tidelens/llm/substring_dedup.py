@@ -229,11 +229,13 @@ def _cut_out(docs: DataFrame, width: int, with_text: bool, whole_too: bool = Fal
     names = docs.columns
     id_, at = (f"c{names.index(c)}" for c in ("doc_id", "text"))
     spans = repeated_spans(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
-    spans = stable(spans.withColumnRenamed("doc_id", id_))
+    spans = stable(spans.select(F.col("doc_id").alias("to"), "spans", F.lit(True).alias("known")))
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     schema = T.StructType([*[f for f in plain.schema.fields if whole_too or f.name != at], *T._parse_datatype_string("n_words long, n_removed long, kept string").fields])
     # Joined with the ids first: mapInArrow's columns stand in the order of its schema.
-    found = plain.join(spans, id_, "left").select(*plain.columns, "spans")
+    # Rows without a doc_id find nothing, and are spread by their texts.
+    own = plain.withColumn("to", F.coalesce(id_, F.xxhash64(at))).withColumn("known", F.col(id_).isNotNull())
+    found = own.join(spans, ["to", "known"], "left").select(*plain.columns, "spans")
     return found.mapInArrow(_cut(at, with_text, whole_too), schema)
 
 
