@@ -58,7 +58,7 @@ def test_every_code_point_in_every_context(tokenizer):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(P.path("byte_bpe_multi_50k.tiktoken")).read_bytes().splitlines())}
     tik = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-    texts = ["".join(f"a{c}a 1{c}1 {c}{c}  {c} '{c}'s{c}" for c in points[at : at + 2000]) for at in range(0, len(points), 2000)]
+    texts = ["".join(f"a{c}1{c} {c}  {c}'{c}'s" for c in points[at : at + 2000]) for at in range(0, len(points), 2000)]
     encoder, at = library_encoder(PATH), 0
     for c in chunks(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})])):
         ids, offsets = encoder.ids(c)
