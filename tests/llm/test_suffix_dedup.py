@@ -53,7 +53,7 @@ def corpus(seed, n=150):
     return rows
 
 
-@pytest.mark.parametrize("width, key, bucket_bytes", [(50, 16, 24 << 20), (50, 16, 4000), (20, 8, 2000), (13, 11, 3000)])
+@pytest.mark.parametrize("width, key, bucket_bytes", [(50, 12, 24 << 20), (50, 16, 4000), (50, 12, 4000), (20, 8, 2000), (13, 11, 3000)])
 def test_against_brute_force(spark, width, key, bucket_bytes):
     rows = corpus(width)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -95,7 +95,7 @@ def test_anchors_depend_on_the_window_alone():
     first, last, anchor = anchors(data, offsets)
     of = {s: a - s for f, to, a in zip(first, last, anchor) for s in range(f, to + 1)}
     assert sorted(of) == [*range(30, 651), *range(700, 4951)]
-    assert all(0 <= x <= 34 for x in of.values())
+    assert all(0 <= x <= 38 for x in of.values())
     alone = {}
     for s, distance in of.items():
         assert alone.setdefault(data[s : s + 50].tobytes(), distance) == distance

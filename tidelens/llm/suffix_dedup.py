@@ -36,11 +36,11 @@ from tidelens.llm._spark import MANY_TASKS, parts, stable, text_bytes
 from tidelens.llm._text import Chunk, chunks, mix, planes, ragged, unplanes
 
 #: Bytes in a window, and bytes that a suffix is dealt by.
-WIDTH, KEY = 50, 16
+WIDTH, KEY = 50, 12
 #: Bytes of text that one step looks for anchors in: its arrays fit a core's cache.
 STEP = 1 << 18
 #: Bytes of text whose segments are sent together.
-SENT_BYTES = 8 << 20
+SENT_BYTES = 16 << 20
 #: Bytes of segments that a bucket should hold. Segments are about four times the text.
 BUCKET_BYTES, GROWTH = 24 << 20, 4
 #: Bytes of texts, on average, that splitters are drawn from, and anchors drawn for each splitter.
