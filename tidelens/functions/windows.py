@@ -107,7 +107,7 @@ def trailing_volatility(r: str | Column, w: WindowSpec, n: int = 60) -> Column:
 
 
 def catalogue(w: WindowSpec, close: str = "close", high: str = "high", low: str = "low", volume: str = "volume") -> dict[str, Column]:
-    """Indicators by name that are frames over rows; those that recur over time are columns of panel.ewm()."""
+    """Indicators by name that are frames over rows; those that recur over time are in operators.scan.indicators()."""
     middle, spread = frame(F.avg, close, w, 20), frame(F.stddev_samp, close, w, 20)
     traded = frame(F.sum, col(close) * col(volume), w, 14)
     return {

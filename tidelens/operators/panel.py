@@ -1,13 +1,13 @@
-"""Operators on whole panels: cleaning, winsorising, sampling, recursion over time."""
+"""Operators on whole panels: cleaning, winsorising, sampling."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelens.functions.ranks import avg_rank, clip, pct_rank, residual
+from tidelens.operators.scan import ewm  # noqa: F401  (smoothing is part of a panel's operators)
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -62,23 +62,6 @@ def factor_pipeline(df: DataFrame, factors: list[str], size: str, date: str = "d
     return df
 
 
-def ewm(df: DataFrame, values: dict[str, tuple[str, int]], entity: str = "ticker", date: str = "date") -> DataFrame:
-    """Exponential averages without bias correction: {new column: (column, span)}.
-
-    The seed is the first known value; across a gap the older weight decays further, and the gap itself shows the last average. A
-    recursion has no window form, so each entity's series goes through pandas in Arrow batches; series are as long as their dates.
-    A new column may be an average of an earlier one.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(date, kind="stable")
-        for name, (column, span) in values.items():
-            rows[name] = rows[column].astype(float).ewm(span=span, adjust=False).mean()
-        return rows
-
-    return df.groupBy(entity).applyInPandas(run, T.StructType([*df.schema.fields, *[T.StructField(k, T.DoubleType()) for k in values]]))
-
-
 def composite(df: DataFrame, weights: dict[str, float]) -> Column:
     """Weighted sum of the factors that df has; a NULL factor makes it NULL."""
     out = F.lit(0.0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelens.functions import ranks, scoring
 from tidelens.functions import windows as w_
 from tidelens.operators import ensemble as en
-from tidelens.operators import joins, panel, portfolio
+from tidelens.operators import joins, panel, portfolio, scan
 from tidelens.plans.cross_section import FACTORS, factors
 from tidelens.plans.panels import PD, PM, daily, monthly, pct_sql, rounded, table
 from tidelens.plans.research import SIGNALS, attribution, signals
@@ -166,23 +166,29 @@ def attribution_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Indicators of the last 30 calendar days, one row an indicator and day.
-_CHOSEN = ("close_200_sma", "close_50_sma", "close_10_ema", "boll", "boll_ub", "boll_lb", "macd", "vwma", "close")
-
-
-@query(f"""with recursive {PD}, k as (select *, row_number() over (partition by ticker order by date) as k from pd),
-e as (select ticker, date, k, close as ema, close as fast, close as slow from k where k = 1
-  union all select k.ticker, k.date, k.k, e.ema * (1 - 2.0 / 11) + k.close * (2.0 / 11), e.fast * (1 - 2.0 / 13) + k.close * (2.0 / 13), e.slow * (1 - 2.0 / 27) + k.close * (2.0 / 27) from e join k on k.ticker = e.ticker and k.k = e.k + 1),
-v as (select pd.ticker, pd.date, case when count(*) over w200 = 200 then avg(close) over w200 end as a, case when count(*) over w50 = 50 then avg(close) over w50 end as b, e.ema as c,
-  avg(close) over w20 as m, stddev_samp(close) over w20 as s, count(*) over w20 as n, e.fast - e.slow as macd, case when count(*) over w14 = 14 then sum(close * volume) over w14 / sum(volume) over w14 end as vwma, close
-  from pd join e using (ticker, date) window w200 as (partition by pd.ticker order by pd.date rows 199 preceding), w50 as (partition by pd.ticker order by pd.date rows 49 preceding), w20 as (partition by pd.ticker order by pd.date rows 19 preceding), w14 as (partition by pd.ticker order by pd.date rows 13 preceding)),
-i as (select ticker, date, unnest([{", ".join(repr(c) for c in _CHOSEN)}]) as indicator, unnest([a, b, c, case when n = 20 then m end, case when n = 20 then m + 2 * s end, case when n = 20 then m - 2 * s end, macd, vwma, close]) as value from v),
+_CHOSEN = ("close_200_sma", "close_50_sma", "close_10_ema", "boll", "boll_ub", "boll_lb", "macd", "macds", "macdh", "rsi", "atr", "mfi", "vwma", "close")
+
+
+@query(f"""with recursive {PD}, l as (select *, row_number() over w as k, lag(close) over w as before, (high + low + close) / 3 as price, lag((high + low + close) / 3) over w as price_before from pd window w as (partition by ticker order by date)),
+k as (select *, case when before is not null then greatest(close - before, 0) end as up, case when before is not null then -least(close - before, 0) end as down, greatest(high - low, abs(high - before), abs(low - before)) as reach,
+  case when price_before is not null then case when price > price_before then price * volume else 0 end end as came, case when price_before is not null then case when price < price_before then price * volume else 0 end end as went from l),
+e as (select ticker, date, k, close as ema, close as fast, close as slow, 0.0::double as signal, up, down, reach as atr from k where k = 1
+  union all select k.ticker, k.date, k.k, e.ema * (1 - 2.0 / 11) + k.close * (2.0 / 11), e.fast * (1 - 2.0 / 13) + k.close * (2.0 / 13), e.slow * (1 - 2.0 / 27) + k.close * (2.0 / 27),
+    e.signal * 0.8 + 0.2 * ((e.fast * (1 - 2.0 / 13) + k.close * (2.0 / 13)) - (e.slow * (1 - 2.0 / 27) + k.close * (2.0 / 27))),
+    coalesce(e.up * 13 / 14 + k.up / 14, k.up), coalesce(e.down * 13 / 14 + k.down / 14, k.down), e.atr * 13 / 14 + k.reach / 14 from e join k on k.ticker = e.ticker and k.k = e.k + 1),
+v as (select pd.ticker, pd.date, case when count(*) over w200 = 200 then avg(pd.close) over w200 end as a, case when count(*) over w50 = 50 then avg(pd.close) over w50 end as b, e.ema as c,
+  avg(pd.close) over w20 as m, stddev_samp(pd.close) over w20 as s, count(*) over w20 as n, e.fast - e.slow as macd, e.signal as macds, e.fast - e.slow - e.signal as macdh,
+  case when e.down = 0 then 100 else 100 - 100 / (1 + e.up / e.down) end as rsi, e.atr, case when count(came) over w14 = 14 then 100 * sum(came) over w14 / nullif(sum(came) over w14 + sum(went) over w14, 0) end as mfi,
+  case when count(*) over w14 = 14 then sum(pd.close * pd.volume) over w14 / sum(pd.volume) over w14 end as vwma, pd.close
+  from k pd join e using (ticker, date) window w200 as (partition by pd.ticker order by pd.date rows 199 preceding), w50 as (partition by pd.ticker order by pd.date rows 49 preceding), w20 as (partition by pd.ticker order by pd.date rows 19 preceding), w14 as (partition by pd.ticker order by pd.date rows 13 preceding)),
+i as (select ticker, date, unnest([{", ".join(repr(c) for c in _CHOSEN)}]) as indicator, unnest([a, b, c, case when n = 20 then m end, case when n = 20 then m + 2 * s end, case when n = 20 then m - 2 * s end, macd, macds, macdh, rsi, atr, mfi, vwma, close]) as value from v),
 d as (select ticker, unnest(generate_series(max(date)::timestamp - interval 30 day, max(date)::timestamp, interval 1 day))::date as date from pd group by 1),
 g as (select ticker, date, unnest([{", ".join(repr(c) for c in _CHOSEN)}]) as indicator from d)
 select g.ticker, g.date, g.indicator, round(i.value, 3) as value, case when i.ticker is null then 'N/A' else 'ok' end as status from g left join i on i.ticker = g.ticker and i.date = g.date and i.indicator = g.indicator""")
 def indicator_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chosen indicators of each ticker over the 30 calendar days up to its last row; days without a row are N/A."""
-    d = panel.ewm(daily(spark, sf_dir), {"ema": ("close", 10), "fast": ("close", 12), "slow": ("close", 26)})
-    found = panel.indicator_rows(d, "ticker", "date", {**w_.catalogue(w_.series()), "close_10_ema": F.col("ema"), "macd": F.col("fast") - F.col("slow")}, _CHOSEN, 30)
+    d, known = scan.indicators(daily(spark, sf_dir))
+    found = panel.indicator_rows(d, "ticker", "date", known, _CHOSEN, 30)
     return found.select("ticker", "date", "indicator", F.round("value", 3).alias("value"), "status")
 
 
