@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelens.operators import panel
+from tidelens.sources.versioned import Table
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -47,3 +48,12 @@ def upsert_to(folder: str, key: list[str], order: Column | None = None):
         merged.write.mode("overwrite").parquet(f"{folder}/v{number}")
 
     return run
+
+
+def upsert_versioned(table: Table, order: Column | None = None):
+    """A foreachBatch sink: every batch rewrites the buckets of a versioned table that its keys fall into. A batch that is run again changes nothing."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, order, number)
+
+    return run
