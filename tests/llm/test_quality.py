@@ -53,7 +53,7 @@ def test_estimate_finds_accuracies():
     truth = rng.random(20_000) < 0.8
     fire = np.array([0.7, 0.5, 0.4, 0.3])
     slip = np.array([0.002, 0.01, 0.005, 0.001])
-    votes = np.where(rng.random((20_000, 4)) < np.where(truth[:, None], slip, fire), 0, 2)
+    votes = np.where(rng.random((20_000, 4)) < np.where(truth[:, None], slip, fire), 0, 1)
     patterns, of, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     found = estimate(patterns, counts)
     assert found["clean"] == pytest.approx(truth.mean(), abs=0.03)
@@ -99,7 +99,7 @@ def test_em_against_plain_em_on_all_patterns():
     rows = [r for r in itertools.product(range(3), repeat=3) for _ in range(random.randint(1, 6))] + [(1, 1, 1)] * 60 + [(1, 2, 1)] * 30
     want = plain_em(rows)
     patterns, counts = np.unique(np.array(rows), axis=0, return_counts=True)
-    found = estimate(patterns, counts, silent=True)["posterior"]
+    found = estimate(patterns, counts)["posterior"]
     assert found == pytest.approx([want[tuple(p)] for p in patterns.tolist()], abs=1e-6)
 
 
@@ -114,7 +114,7 @@ def test_a_noisy_rule_is_overruled():
     """A rule that fires on one clean text in ten loses its weight: texts that it alone votes against are kept."""
     truth, votes = votes_of(30_000, [0.002, 0.001, 0.003, 0.1], [0.6, 0.5, 0.4, 0.1], 0.1, 1)
     patterns, of, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    found = estimate(patterns, counts, silent=True)
+    found = estimate(patterns, counts)
     kept = found["posterior"][of.ravel()] >= 0.5
     alone = (votes[:, 3] == 0) & (votes[:, :3] == 1).all(1)
     assert alone.sum() > 1000 and kept[alone].all()
@@ -127,7 +127,7 @@ def test_a_noisy_rule_is_overruled():
 def test_abstentions_say_nothing():
     truth, votes = votes_of(5000, [0.01, 0.02], [0.6, 0.5], 0.3, 2)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    found = estimate(patterns, counts, silent=True)
+    found = estimate(patterns, counts)
     at = {tuple(p): x for p, x in zip(patterns.tolist(), found["posterior"])}
     assert at[2, 2] == pytest.approx(found["clean"], abs=1e-6)
 
@@ -137,3 +137,24 @@ def test_accuracies(spark):
     got = {r.rule: r for r in accuracies(docs).collect()}
     assert got.keys() == quality.votes().keys() and got["symbols"].accuracy > 0.9 and got["symbols"].fires_on_others > got["symbols"].fires_on_clean
     assert accuracies(docs.limit(0)).count() == 0
+
+
+def test_a_rule_that_votes_one_way_is_not_estimated(spark):
+    """Its votes move no posterior, and accuracies() says nothing of it."""
+    _, votes = votes_of(5000, [0.01, 0.02], [0.6, 0.5], 0.1, 4)
+    both = np.column_stack([votes, np.random.default_rng(1).choice([1, 2], len(votes))])
+    of = lambda v: estimate(*np.unique(v, axis=0, return_counts=True))
+    one, two = of(votes), of(both)
+    assert two["clean"] == pytest.approx(one["clean"], abs=1e-6)
+    docs = spark.createDataFrame([(i, " ".join(random.Random(i).sample(CLEAN.split(), 22)) + (" ## $$ ## $$ ##" if i % 9 == 0 else "")) for i in range(90)], "doc_id long, text string")
+    got = {r.rule: r for r in accuracies(docs).collect()}
+    assert got["symbols"].accuracy > 0.9 and got["shouts"].accuracy is None and got["shouts"].votes == 90
+
+
+def test_votes_for_clean_decide_some_texts():
+    """A text with one vote against it stays if the other rules praise it, and goes if they are silent."""
+    truth, votes = votes_of(30_000, [0.004, 0.004, 0.01], [0.7, 0.6, 0.3], 0.3, 5)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    with_, without = estimate(patterns, counts)["posterior"] >= 0.5, quality.without_praise(patterns, counts) >= 0.5
+    at = {tuple(p): i for i, p in enumerate(patterns.tolist())}
+    assert with_[at[1, 1, 0]] and not without[at[1, 1, 0]] and not with_[at[2, 2, 0]]

@@ -3,7 +3,7 @@
 Each rule votes that a text is clean, that it isn't, or abstains: where its measure lies between what it takes for clean and for faulty, and where the text
 is too short for it to tell. Expectation-maximisation over all documents estimates how often each rule votes which way on clean texts and on
 others, and the share of clean texts; a document's votes then give the posterior probability that it is clean. An abstention carries no evidence: it
-enters no posterior. A rule that fires as often on texts that the other rules find clean as on others loses its weight, whatever it was
+enters no posterior, and neither does a rule that votes one way only on the whole corpus. A rule that fires as often on texts that the other rules find clean as on others loses its weight, whatever it was
 written for. A text is kept if the posterior is at least `THRESHOLD` and the base rules don't fail it; EM runs over the texts that the base rules leave
 open, or the kinds of faults that they catch would make up the class of texts that aren't clean. The votes have few patterns (3 ** rules at
 most, some hundreds in practice), so Spark counts patterns over the corpus and EM runs on the counts: its cost doesn't grow with the corpus, and no
@@ -121,66 +121,79 @@ def votes() -> dict[str, Column]:
     letters = (c("n_letters") + c("n_wide")) / F.greatest(c("word_chars"), F.lit(1))
     return {
         "symbols": below(share("n_symbols", "n_words"), 0.02, 0.15, ten),
-        "letters": below(1 - letters, 0.08, 0.25, ten),
+        "letters": below(1 - letters, 0.05, 0.1, ten),
         "shouts": below(share("n_shouts", "n_words"), 0.03, 0.2, ten),
         "capitals": below(share("n_upper", "n_letters"), 0.2, 0.45, c("n_letters") >= 40),
-        "word_length": rule(ten, (length < 2) | (length > 14), length.between(3, 9)),
-        "stutter": below(share("n_same_next", "n_words"), 0.02, 0.12, ten),
-        "repeats": below(share("n_repeat_words", "n_words"), 0.02, 0.2, c("n_words") >= 40),
-        "lines": below(share("n_dup_lines", "n_lines"), 0.05, 0.3, c("n_lines") >= 5),
-        "variety": rule(c("n_words") >= 50, (share("n_distinct", "n_words") < 0.12) & (c("n_distinct") < 100), share("n_distinct", "n_words") > 0.3),
+        "word_length": rule(ten, (length < 3) | (length > 6.5), length.between(3.5, 6)),
+        "stutter": below(share("n_same_next", "n_words"), 0.02, 0.1, ten),
+        "repeats": below(share("n_repeat_words", "n_words"), 0.02, 0.1, c("n_words") >= 40),
+        "lines": below(share("n_dup_lines", "n_lines"), 0.05, 0.2, c("n_lines") >= 5),
+        "variety": rule(c("n_words") >= 50, share("n_distinct", "n_words") < 0.3, share("n_distinct", "n_words") > 0.6),
     }
 
 
 #: Where EM starts: how often a rule is taken to vote against a text that is clean, and against one that isn't; and the share of clean texts.
 _START = {"slip": 0.005, "fire": 0.1, "clean": 0.9}
-#: What the start still weighs against the texts that aren't clean, in their number: kinds of faults are many and each rule sees one of them, so that a
-#: rule of a rare kind isn't taken for noise for being rare. A rule that fires on some percent of clean texts loses its weight all the same.
-_BELIEF = 0.3
+#: What the start still weighs against the texts that aren't clean, in their number. With 0 EM hears the votes alone; more keeps rules of rare kinds of
+#: faults from being taken for noise, and drops more clean texts with them.
+_BELIEF = 0.0
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = 300, tolerance: float = 1e-9, silent: bool = False) -> dict:
+def _estimable(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which rules cast votes of both kinds: of the others nothing can be learned, and they enter no posterior."""
+    cast = [((patterns == v) * counts[:, None]).sum(0) > 0 for v in (0, 1)]
+    return cast[0] & cast[1]
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = 300, tolerance: float = 1e-9) -> dict:
     """EM over vote patterns (rows of 0, 1, 2): the clean share, each rule's rates, and each pattern's posterior.
 
-    rates[v, y, k]: how often rule k votes v on texts that are clean (y=1) or not (y=0). With `silent` an abstention says nothing: the posterior takes
-    the rates of cast votes alone, and EM starts from `_START`. Without it to abstain is a vote like others, and EM starts by believing
-    votes against. Half a text of prior weight a vote keeps rates off 0.
+    rates[v, y, k]: how often rule k votes v on texts that are clean (y=1) or not (y=0). An abstention says nothing: the posterior takes
+    the rates of cast votes alone, and EM starts from `_START`. Half a text of prior weight a vote keeps rates off 0.
     """
     is_vote = np.stack([patterns == v for v in range(3)]).astype(float)
-    heard = is_vote[:2] if silent else is_vote
+    heard = is_vote[:2] * _estimable(patterns, counts)
     weight = counts.astype(float)
-    if silent:
-        start = np.log([[_START["slip"] / _START["fire"]], [(1 - _START["slip"]) / (1 - _START["fire"])]])
-        post = 1 / (1 + np.exp(-(np.log(_START["clean"] / (1 - _START["clean"])) + (heard.sum(2) * start).sum(0))))
-    else:
-        post = np.where((patterns == 0).any(1), 0.05, 0.95)
+    start = np.log([[_START["slip"] / _START["fire"]], [(1 - _START["slip"]) / (1 - _START["fire"])]])
+    post = 1 / (1 + np.exp(-(np.log(_START["clean"] / (1 - _START["clean"])) + (heard.sum(2) * start).sum(0))))
     rates = clean = None
     for _ in range(steps):
         y = np.stack([1 - post, post]) * weight
         now = np.stack([y @ v for v in is_vote]) + 0.5
-        if silent:
-            now[:2, 0] += _BELIEF * y[0].sum() * np.array([[_START["fire"]], [1 - _START["fire"]]])
+        now[:2, 0] += _BELIEF * y[0].sum() * np.array([[_START["fire"]], [1 - _START["fire"]]])
         now /= now.sum(0)
         done = rates is not None and abs(now - rates).max() < tolerance
         rates, clean = now, (y[1].sum() + 1) / (weight.sum() + 2)
-        log = np.einsum("vpk,vyk->yp", heard, np.log(rates[: len(heard)]))
+        log = np.einsum("vpk,vyk->yp", heard, np.log(rates[:2]))
         post = 1 / (1 + np.exp(-np.clip(np.log(clean / (1 - clean)) + log[1] - log[0], -50, 50)))
         if done:
             break
     return {"clean": clean, "rates": rates, "posterior": post}
 
 
+def without_praise(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The posteriors that the same rates give if votes for clean aren't heard: what those votes decide shows in the difference."""
+    found = estimate(patterns, counts)
+    against = (patterns == 0) * _estimable(patterns, counts)
+    log = against @ (np.log(found["rates"][0, 1]) - np.log(found["rates"][0, 0]))
+    return 1 / (1 + np.exp(-np.clip(np.log(found["clean"] / (1 - found["clean"])) + log, -50, 50)))
+
+
 def accuracies(docs: DataFrame) -> DataFrame:
-    """rule, votes, fires_on_clean, fires_on_others and accuracy (of its votes, by the posteriors): one row a rule."""
+    """rule, votes, fires_on_clean, fires_on_others and accuracy (of its votes, by the posteriors): one row a rule.
+
+    The last three are NULL for a rule that votes one way only: they can't be estimated.
+    """
     patterns, counts = _counted(measures(docs).select(*_judged()))
     if not len(counts):
         return docs.sparkSession.createDataFrame([], "rule string, votes long, fires_on_clean double, fires_on_others double, accuracy double")
-    found = estimate(patterns, counts, silent=True)
+    found, known = estimate(patterns, counts), _estimable(patterns, counts)
     rows = []
     for k, name in enumerate(votes()):
         cast = counts * (patterns[:, k] < 2)
         right = np.where(patterns[:, k] == 1, found["posterior"], 1 - found["posterior"])
-        rows.append((name, int(cast.sum()), float(found["rates"][0, 1, k]), float(found["rates"][0, 0, k]), float((cast * right).sum() / max(1, cast.sum()))))
+        told = (float(found["rates"][0, 1, k]), float(found["rates"][0, 0, k]), float((cast * right).sum() / cast.sum())) if known[k] else (None, None, None)
+        rows.append((name, int(cast.sum()), *told))
     return docs.sparkSession.createDataFrame(rows, "rule string, votes long, fires_on_clean double, fires_on_others double, accuracy double")
 
 
@@ -193,7 +206,7 @@ def _counted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def posteriors(counted: DataFrame) -> DataFrame:
     """pattern and posterior of every vote pattern in `counted`."""
     patterns, counts = _counted(counted)
-    found = estimate(patterns, counts, silent=True)["posterior"] if len(counts) else []
+    found = estimate(patterns, counts)["posterior"] if len(counts) else []
     return counted.sparkSession.createDataFrame([("".join(map(str, p)), float(x)) for p, x in zip(patterns.tolist(), found)], "pattern string, posterior double")
 
 
