@@ -148,3 +148,21 @@ def test_codes_decide_what_is_scored(n):
             scored, rows = scored + len(near), rows + len(ids)
     print(n, scored / rows)
     assert scored < 0.5 * rows
+
+
+def test_lists_that_cannot_hold_results_are_not_read(spark):
+    """Vectors in 30 far clusters: nearly all lists are skipped by proof."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(30, 24)) * 8
+    x = (centres[np.arange(3000) % 30] + rng.normal(size=(3000, 24)) * 0.2).astype(np.float32).astype(float)
+    model = neighbours.fit(x, 40)
+    own = neighbours.nearest(x, model["centres"])
+    live = np.unique(own)
+    reach = np.array([np.linalg.norm(x[own == k] - model["centres"][k], axis=1).max() for k in live])
+    batch = pa.RecordBatch.from_pydict({"query_id": pa.array(np.arange(0, 3000, 20)), "query": pa.array(x[::20].tolist(), pa.list_(pa.float64()))})
+    read = next(neighbours._probe(model, len(live), live, reach, (np.arange(3000), x), 20)(iter([batch])))
+    assert read.num_rows < 0.2 * 150 * len(live)
+    ids = np.arange(3000)
+    got, want = grouped(search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))), brute(ids, x, 20, 20)
+    hits = sum(len({v for _, v, _ in rows} & {v for v, _ in want[q]}) for q, rows in got.items())
+    assert got.keys() == want.keys() and hits >= 0.95 * 20 * len(want)

@@ -10,8 +10,10 @@ on the original vectors. What a query finds in its lists is therefore exact, how
 probed is measured: the fewest that hold `TARGET` of the true neighbours within the sample. A query whose lists hold fewer rows than it wants is run
 against all rows in blocks.
 
-Lists are about the square root of the rows over 4, but no more than the sample can fit, one for `PER_LIST` of its rows: beyond some 250 million
-rows lists grow, and a larger index needs a larger `sample`. Blocks keep a task's memory the same in any case.
+Lists are about the square root of the rows, but no more than the sample can fit, one for `PER_LIST` of its rows: beyond some 16 million
+rows lists grow, and a larger index needs a larger `sample`. Blocks keep a task's memory the same in any case. Of the probed lists those aren't read
+whose rows can't reach the query's `want`-th best score within the sample, by the list's centroid and the distance of its furthest row: where vectors lie in
+clusters that leaves few.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components
 take no part, nor do rows with a null vec_id. Equal scores go by smaller vec_id. A repeated vec_id is found as often as it stands
@@ -103,7 +105,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _assign(model: dict):
-    """vec_id, list and codes of every row, and the lengths of what the codes leave of each group."""
+    """vec_id, list and codes of every row, its distance from the centroid, and the lengths of what the codes leave of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = model["cuts"]
@@ -113,14 +115,15 @@ def _assign(model: dict):
             x = _matrix(batch.column(1), model["centres"].shape[1])
             own = nearest(x, model["centres"])
             left, codes = x - model["centres"][own], []
-            size = np.linalg.norm(x, axis=1) + np.linalg.norm(left, axis=1)
+            reach = np.linalg.norm(left, axis=1)
+            size = np.linalg.norm(x, axis=1) + reach
             for books in model["layers"]:
                 codes.append(_coded(left, cuts, books))
                 left = left - _decoded(codes[-1], cuts, books)
             # The lengths of what is missed, and far more than rounding can add to them.
             errors = np.stack([np.linalg.norm(left[:, c], axis=1) for c in cuts], 1) * (1 + 1e-6) + 1e-9 * size[:, None]
             errors = np.nextafter(errors.astype("<f4"), np.float32(np.inf))
-            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "embedding": batch.column(1), "list": pa.array(own, pa.int32()), "codes": pa.array([r.tobytes() for r in np.concatenate(codes, 1)], pa.binary()), "errors": pa.array([r.tobytes() for r in errors], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "embedding": batch.column(1), "list": pa.array(own, pa.int32()), "reach": reach * (1 + 1e-6) + 1e-9 * size, "codes": pa.array([r.tobytes() for r in np.concatenate(codes, 1)], pa.binary()), "errors": pa.array([r.tobytes() for r in errors], pa.binary())})
 
     return run
 
@@ -133,16 +136,29 @@ def _blocks(table: pa.Table) -> pa.Table:
     return pa.table({"list": table.column("list")[:1].cast(pa.int32()), "block": table.column("block")[:1].cast(pa.int32()), "ids": pa.array([table.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([x.astype("<f8").tobytes()], pa.binary()), "codes": whole("codes"), "errors": whole("errors")})
 
 
-def _probe(model: dict, probes: int, live: np.ndarray):
-    """Of the lists that have rows, those with the greatest inner products of their centroids, for every query."""
+def _probe(model: dict, probes: int, live: np.ndarray, reach: np.ndarray, known: tuple[np.ndarray, np.ndarray], want: int):
+    """The lists to read for every query: of those that have rows the `probes` with the greatest inner products of their centroids, without those that can't hold a result.
+
+    reach: the greatest distance of a live list's rows from its centroid, so that none of them scores more than the centroid does and that times the query's length.
+    known: ids and vectors of rows of the table. The query's `want`-th best among these is reached by its results too.
+    """
+    ids, rows = known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), model["centres"].shape[1])
-            best = live[np.argsort(-(x @ model["centres"][live].T), axis=1, kind="stable")[:, :probes]]
-            n = best.shape[1]
-            row = np.repeat(np.arange(len(x)), n)
-            yield pa.RecordBatch.from_pydict({"list": pa.array(best.ravel(), pa.int32()), "query_id": batch.column(0).take(pa.array(row)), "query": batch.column(1).take(pa.array(row))})
+            own = batch.column(0).to_numpy()
+            for at in range(0, len(x), QUERY_BLOCK):
+                q = x[at : at + QUERY_BLOCK]
+                score = q @ rows.T
+                score[own[at : at + QUERY_BLOCK, None] == ids[None, :]] = -np.inf
+                least = np.partition(score, -want, 1)[:, -want] if score.shape[1] >= want else np.full(len(q), -np.inf)
+                centre = q @ model["centres"][live].T
+                length = np.linalg.norm(q, axis=1)[:, None]
+                may = centre + length * reach * (1 + 1e-9) >= (least - 1e-9 * length[:, 0])[:, None]
+                best = np.argsort(-centre, axis=1, kind="stable")[:, :probes]
+                row, place = np.nonzero(np.take_along_axis(may, best, 1))
+                yield pa.RecordBatch.from_pydict({"list": pa.array(live[best[row, place]], pa.int32()), "query_id": batch.column(0).take(pa.array(row + at)), "query": batch.column(1).take(pa.array(row + at))})
 
     return run
 
@@ -247,11 +263,11 @@ def _best(found: DataFrame, want: int) -> DataFrame:
     return found.select("query_id", place.alias("rank"), "vec_id", "score").filter(F.col("rank") <= want)
 
 
-def _asked(queries: DataFrame, blocks_of, turns: int) -> DataFrame:
-    """Queries of one block of a list, in arrays of about QUERY_BLOCK."""
+def _asked(queries: DataFrame, turns: int) -> DataFrame:
+    """Queries of one block of a list, in arrays of about QUERY_BLOCK. queries: query_id, query, list and how many blocks that has."""
     turn = F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int").alias("turn")
-    own = queries.groupBy("list", turn).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("query").alias("queries"))
-    return own.select("list", "query_ids", "queries", F.explode(F.sequence(F.lit(0), blocks_of - 1)).alias("block"))
+    own = queries.groupBy("list", "blocks", turn).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("query").alias("queries"))
+    return own.select("list", "query_ids", "queries", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
 
 def search(embeddings: DataFrame, step: int = QUERY_STEP, want: int = WANT, target: float = TARGET, sample_rows: int = SAMPLE) -> DataFrame:
@@ -262,28 +278,30 @@ def search(embeddings: DataFrame, step: int = QUERY_STEP, want: int = WANT, targ
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # A bounded sample, the same at every run: the rows with the least hashes.
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toPandas()
-    sample = np.array(sample["embedding"].tolist(), float)
-    model = fit(sample, int(np.clip(round(total**0.5 / 4), 1, max(1, len(sample) // PER_LIST))))
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
+    sample = np.array(drawn["embedding"].tolist(), float)
+    model = fit(sample, int(np.clip(round(total**0.5), 1, max(1, len(sample) // PER_LIST))))
     probes = probes_for(model, sample, want, target)
 
-    coded = stable(rows.mapInArrow(_assign(model), "vec_id long, embedding array<double>, list int, codes binary, errors binary"))
+    coded = stable(rows.mapInArrow(_assign(model), "vec_id long, embedding array<double>, list int, reach double, codes binary, errors binary"))
     # One row for each list: no more than the sample's rows.
-    sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}
-    rows_of, blocks_of = (F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, f(n))]), F.col("list")) for f in (int, lambda n: -(-n // BLOCK)))
-    dealt = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks_of).cast("int"))
+    found = sorted(coded.groupBy("list").agg(F.count("*"), F.max("reach")).collect())
+    live, reach = np.array([r[0] for r in found]), np.array([r[2] for r in found])
+    sizes = F.broadcast(spark.createDataFrame([(r[0], r[1], -(-r[1] // BLOCK)) for r in found], "list int, rows long, blocks int"))
+    dealt = coded.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
     blocks = stable(dealt.groupBy("list", "block").applyInArrow(_blocks, "list int, block int, ids binary, vectors binary, codes binary, errors binary"))
 
     queries = rows.filter(F.col("vec_id") % step == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("query"))
-    probed = stable(queries.mapInArrow(_probe(model, probes, np.array(sorted(sizes))), "list int, query_id long, query array<double>"))
+    probed = stable(queries.mapInArrow(_probe(model, probes, live, reach, (drawn["vec_id"].to_numpy(), sample), want), "list int, query_id long, query array<double>"))
     # Queries whose lists hold too few rows for them: all rows for these.
-    short = stable(probed.groupBy("query_id").agg(F.sum(rows_of).alias("reach"), F.first("query").alias("query")).filter(F.col("reach") <= want).select("query_id", "query"))
+    held = probed.join(sizes, "list").groupBy("query_id").agg(F.sum("rows").alias("rows"))
+    short = stable(queries.join(held, "query_id", "left").filter(F.coalesce("rows", F.lit(0)) <= want).select("query_id", "query"))
     turns = max(1, -(-total // step // QUERY_BLOCK))
     schema = "query_id long, vec_id long, score double"
     pair = ["list", "query_ids", "queries", "ids", "vectors", "codes", "errors"]
-    asked = _asked(probed.join(short, "query_id", "left_anti"), blocks_of, turns)
+    asked = _asked(probed.join(short, "query_id", "left_anti").join(sizes, "list"), turns)
     found = blocks.join(asked, ["list", "block"]).select(*pair).mapInArrow(_search(model, want), schema)
     if not short.isEmpty():
-        every = short.select(F.explode(F.array(*[F.lit(k) for k in sizes])).alias("list"), "query_id", "query")
-        found = found.union(blocks.join(_asked(every, blocks_of, turns), ["list", "block"]).select(*pair).mapInArrow(_search(None, want), schema))
+        every = short.select(F.explode(F.array(*[F.lit(k) for k in live.tolist()])).alias("list"), "query_id", "query").join(sizes, "list")
+        found = found.union(blocks.join(_asked(every, turns), ["list", "block"]).select(*pair).mapInArrow(_search(None, want), schema))
     return _best(found, want)
