@@ -168,3 +168,42 @@ def test_sign_words(spark):
     x = [random.choice([-1.0, 1.0]) for _ in range(70)]
     words = spark.createDataFrame([(x,)], "x array<double>").select(scoring.sign_words("x", 32)).first()[0]
     assert words == [sum((v > 0) << i for i, v in enumerate(x[k : k + 32])) for k in (0, 32, 64)]
+
+
+def test_signals_that_may_be_traded(spark):
+    rows = [("BUY", 1.0, None, True), ("SELL", -1.0, "", True), ("HOLD", 1.0, None, False), ("BUY", None, None, False), ("SELL", 2.0, "lost", False), (None, 1.0, None, False)]
+    d = spark.createDataFrame(rows, "direction string, z double, error string, want boolean").withColumn("got", portfolio.valid())
+    assert d.filter("got <> want or got is null").count() == 0
+
+
+def test_rows_that_lack_any_or_all(spark):
+    d = spark.createDataFrame([(1, 1.0, 1), (2, None, 2), (3, float("nan"), None), (4, None, None)], "i int, a double, b int")
+    of = lambda how: sorted(r.i for r in panel.known(d, ["a", "b"], how).collect())
+    assert of("any") == [1] and of("all") == [1, 2]
+
+
+def test_sharpe_of_the_curves_changes(spark):
+    import numpy as np
+    import pandas as pd
+
+    r = [0.1, -0.05, 0.02, 0.3, -0.2]
+    d = spark.createDataFrame([("a", i, x) for i, x in enumerate(r)] + [("b", 0, 0.1)], "g string, date int, r double")
+    got = {x.g: (x.n, x.sharpe) for x in portfolio.nav_sharpe(d, "r", ["g"]).collect()}
+    change = (1 + pd.Series(r)).cumprod().pct_change().dropna()
+    assert got["a"] == (4, pytest.approx(np.sqrt(12) * change.mean() / change.std())) and got["b"] == (0, None)
+
+
+def test_company_numbers(spark):
+    from tidelens.sources import readers
+
+    lookup = spark.createDataFrame([("AAPL", 320193), ("aapl", 320193), ("MSFT", 789019)], "ticker string, cik_str long")
+    got = {r.ticker: r.cik for r in readers.with_cik(spark.createDataFrame([("aapl",), ("XX",), (None,)], "ticker string"), lookup).collect()}
+    assert got == {"aapl": "0000320193", "XX": None, None: None}
+
+
+def test_slices_of_all_dates(spark):
+    from datetime import date
+
+    rows = spark.createDataFrame([("a", date(2024, 1, 1), 1.0), ("a", date(2024, 1, 3), 2.0), ("b", date(2024, 1, 3), 3.0)], "ticker string, date date, x double")
+    m = panel.slicer(rows, "x")
+    assert m.columns == ["ticker", "2024-01-03", "2024-01-01"] and sorted(map(tuple, m.collect())) == [("a", 2.0, 1.0), ("b", 3.0, 0.0)]

@@ -153,6 +153,16 @@ def every_kth(df: DataFrame, most: int = 500, entity: str = "ticker", date: str
     return df.withColumns({"_i": F.row_number().over(w.orderBy(date)) - 1, "_s": k}).filter(F.col("_i") % F.col("_s") == 0).drop("_i", "_s")
 
 
+def known(df: DataFrame, columns: list[str], how: str = "any") -> DataFrame:
+    """Rows without those that lack any of the columns, or all of them; NaN counts as missing."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    missing = [(F.col(c).isNull() | F.isnan(c)) if c in floats else F.col(c).isNull() for c in columns]
+    out = missing[0]
+    for m in missing[1:]:
+        out = (out | m) if how == "any" else (out & m)
+    return df.filter(~out)
+
+
 def without_repeats(df: DataFrame) -> DataFrame:
     """The first of columns that share a name."""
     names = df.columns
@@ -168,8 +178,10 @@ def insert_positional(table: DataFrame, rows: list[tuple]) -> DataFrame:
     return table.union(table.sparkSession.createDataFrame(rows, table.schema))
 
 
-def slicer(df: DataFrame, field: str, dates: list[str], entity: str = "ticker", date: str = "date") -> DataFrame:
-    """One field as a matrix of entities and the given dates, newest first; what is missing is 0."""
+def slicer(df: DataFrame, field: str, dates: list[str] | None = None, entity: str = "ticker", date: str = "date") -> DataFrame:
+    """One field as a matrix of entities and the given dates (all there are, if none are), newest first; what is missing is 0."""
+    if dates is None:
+        dates = [r[0] for r in df.select(F.date_format(date, "yyyy-MM-dd")).distinct().collect()]  # one row a date
     shown = sorted(dates, reverse=True)
     d = df.withColumn("_d", F.date_format(date, "yyyy-MM-dd")).filter(F.col("_d").isin(shown))
     return d.groupBy(entity).pivot("_d", shown).agg(F.first(field)).na.fill(0.0)

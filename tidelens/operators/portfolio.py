@@ -79,6 +79,21 @@ def full_stats(df: DataFrame, ret: str, group: list[str], date: str = "date", ye
     })
 
 
+def nav_sharpe(df: DataFrame, ret: str, group: list[str], date: str = "date", year: float = 12.0) -> DataFrame:
+    """n and sharpe of the changes of each group's compounded curve; its first date has no change and drops out."""
+    w = Window.partitionBy(*group).orderBy(date)
+    curve = df.filter(F.col(ret).isNotNull()).withColumn("_nav", nav(ret, w))
+    change = ratio(F.col("_nav"), F.lag("_nav").over(w)) - 1
+    out = curve.withColumn("_c", change).groupBy(*group).agg(F.count("_c").alias("n"), F.avg("_c").alias("_m"), F.stddev_samp("_c").alias("_s"))
+    return out.select(*group, "n", (F.sqrt(F.lit(year)) * ratio("_m", "_s")).alias("sharpe"))
+
+
+def valid(direction: str | Column = "direction", z: str | Column = "z", error: str | Column = "error") -> Column:
+    """Whether a signal may be traded: it says to buy or to sell, has a z, and no error."""
+    at = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.coalesce(at(direction).isin("BUY", "SELL"), F.lit(False)) & at(z).isNotNull() & (F.coalesce(at(error), F.lit("")) == "")
+
+
 def long_short(df: DataFrame, side: Column, ret: str, group: list[str]) -> DataFrame:
     """long, short (means of the rows whose side is 1 or -1), their numbers, and the spread if both have rows."""
     out = df.withColumn("_s", side).groupBy(*group).agg(

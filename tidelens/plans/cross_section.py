@@ -237,3 +237,26 @@ s as (select date, case when k <= floor(n * 0.7) then 'train' when k <= floor(n
 select part, count(*) as n, count(distinct date) as dates, min(date) as first, max(date) as last from pm join s using (date) group by 1""")
 def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.time_split(monthly(spark, sf_dir)).groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("date").alias("dates"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+@query(f"""with {FACTORS} select date, count(*) as n, cast(count_if(mom is not null and long is not null and vol is not null) as bigint) as whole, cast(count_if(mom is not null or long is not null or vol is not null) as bigint) as some from fa group by 1""")
+def drop_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each date, those that lack no factor of three, and those that lack not all."""
+    d, three = factors(spark, sf_dir), ["mom", "long", "vol"]
+    whole = panel.known(d, three).groupBy("date").agg(F.count("*").alias("whole"))
+    some = panel.known(d, three, "all").groupBy("date").agg(F.count("*").alias("some"))
+    out = d.groupBy("date").agg(F.count("*").alias("n")).join(whole, "date", "left").join(some, "date", "left")
+    return out.select("date", "n", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("whole", "some")])
+
+
+_ALL = ("mom", "long", "vol", "value", "turn")
+
+
+@query(f"""with {FACTORS}, m as (select *, {", ".join(f"median({f}) over (partition by date) as m_{f}" for f in _ALL)} from fa),
+d as (select *, {", ".join(f"median(abs({f} - m_{f})) over (partition by date) as d_{f}" for f in _ALL)} from m),
+c as (select ticker, date, sector, size, {", ".join(f"case when {f} is not null then greatest(least({f}, m_{f} + 3 * 1.4826 * d_{f}), m_{f} - 3 * 1.4826 * d_{f}) end as {f}" for f in _ALL)} from d),
+s as (select ticker, date, sector, {", ".join(f"round(coalesce({_resid_sql(f, 'size', '>= 20', f)}, {f}), 9) as {f}" for f in _ALL)} from c window d as (partition by date))
+select ticker, date, {", ".join(f"round(coalesce({pct_sql(f, 'date', 'sector')}, 0.5), 6) as {f}" for f in _ALL)} from s""")
+def factor_pipeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline over all factors: each is clipped, freed of size, and ranked within date and sector."""
+    return rounded(panel.factor_pipeline(factors(spark, sf_dir), list(_ALL), "size").select("ticker", "date", *_ALL))

@@ -9,7 +9,8 @@ from tidelens.functions import ranks
 from tidelens.operators import boosting, panel, stats
 from tidelens.plans.cross_section import FACTORS, factors
 from tidelens.plans.panels import pct_sql, rank_sql, rounded
-from tidelens.plans.research import regimes
+from tidelens.plans.research import LONG, regimes
+from tidelens.plans.research import _ics as factor_ics
 from tidelens.sources.shared import saved
 
 QUERIES: dict = {}
@@ -221,3 +222,21 @@ def ltr_placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = found.agg(F.count(null).alias("seeds"), F.avg(null).alias("mean"), F.stddev_pop(null).alias("deviation"), F.max(F.when(F.col("model") == "true", F.col("ic"))).alias("ic"))
     out = out.withColumn("threshold", F.col("mean") + 3 * F.col("deviation"))
     return rounded(out.withColumn("passed", (F.col("ic") > F.col("threshold")) & (F.col("ic") > 0.02)))
+
+
+def _cut_ctes(sql: str, first: str) -> str:
+    """The CTEs of `sql` from the one named `first` on."""
+    return sql[sql.index(f"{first} as ("):]
+
+
+@query(f"""{training_sql("select 'all' as model, * from zs")}, {_cut_ctes(LONG, "lg")}, st as (select factor, avg(ic) as ic, avg(ic) / (stddev_pop(ic) + 1e-6) as ir from ics group by 1),
+gains as ({" union all ".join(f"select f, gain from c{k}_{level} where gain > 0" for k in range(PARAMS.rounds) for level in range(PARAMS.depth))}),
+im as (select v.feature as factor, coalesce(round(sum(gain), 9), 0) as importance from (values {", ".join(f"({i}, '{f}')" for i, f in enumerate(FEATURES, 1))}) v(f, feature) left join gains using (f) group by 1),
+b as (select factor, abs(ic) as a, abs(ir) as b, importance as c from st join im using (factor))
+select factor, round(0.4 * (a - min(a) over ()) / (max(a) over () - min(a) over () + 1e-9) + 0.3 * (b - min(b) over ()) / (max(b) over () - min(b) over () + 1e-9) + 0.3 * (c - min(c) over ()) / (max(c) over () - min(c) over () + 1e-9), 5) as score from b""")
+def ltr_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors by mean rank ic, information ratio, and what the ranker gains by them."""
+    learn, _, _ = _split(_models(_panel(spark, sf_dir), ["all"]))
+    gained = boosting.importance(spark, boosting.train(learn, FEATURES, None, PARAMS), FEATURES).select(F.col("feature").alias("factor"), F.col("gain").alias("importance"))
+    s = stats.ic_summary(factor_ics(spark, sf_dir), ["factor"]).select("factor", F.col("mean").alias("ic"), "ir").join(gained, "factor")
+    return panel.leaderboard(s, "factor", {"ic": 0.4, "ir": 0.3, "importance": 0.3}).withColumn("score", F.round("score", 5))

@@ -314,3 +314,20 @@ def empirical_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signals(spark, sf_dir).select("date", "z", F.row_number().over(w.orderBy("z")).alias("k"), F.count("z").over(w).alias("n"))
     at = lambda p: F.max(F.when(F.col("k") == F.floor(F.col("n") * F.lit(p)).cast("int") + 1, F.col("z")))
     return rounded(s.groupBy("date", "n").agg(F.avg("z").alias("mean"), *[at(p).alias(f"p{int(p * 100)}") for p in (0.1, 0.25, 0.5, 0.75, 0.9)]))
+
+
+@query(f"""with {SIGNALS}, e as (select *, case when vol is null then 'no history' end as error from sg)
+select date, count(*) as n, cast(count_if(direction in ('BUY', 'SELL') and z is not null and error is null) as bigint) as valid, cast(count_if(error is not null) as bigint) as errors from e group by 1""")
+def valid_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals that may be traded: to buy or to sell, with a z and without an error (here: too short a history for a volatility)."""
+    d = signals(spark, sf_dir).withColumn("error", F.when(F.col("vol").isNull(), "no history"))
+    return d.groupBy("date").agg(F.count("*").alias("n"), F.count_if(portfolio.valid()).alias("valid"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+
+@query(f"""with {FACTORS}, m as (select sector, date, avg(y) as r from fa where y is not null group by 1, 2), c as (select *, exp(sum(ln(1 + r)) over (partition by sector order by date)) as nav from m),
+d as (select sector, nav / lag(nav) over (partition by sector order by date) - 1 as c from c)
+select sector, count(c) as n, round(sqrt(12) * avg(c) / stddev_samp(c), 6) as sharpe from d group by 1""")
+def nav_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpe ratio of each sector's equally weighted portfolio, from the changes of its compounded value."""
+    m = factors(spark, sf_dir).filter("y is not null").groupBy("sector", "date").agg(F.avg("y").alias("r"))
+    return rounded(portfolio.nav_sharpe(m, "r", ["sector"]))

@@ -11,6 +11,7 @@ from tidelens.functions import scoring
 from tidelens.functions import windows as w_
 from tidelens.operators import panel, retrieval
 from tidelens.plans.panels import DIGITS, PD, PM, daily, monthly, rounded, table
+from tidelens.sources import readers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -205,15 +206,21 @@ def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MONTHS = ("1998-01-01", "1998-02-01", "1998-03-01")
-
-
-@query(f"""with {PM} select ticker, {', '.join(f"coalesce(max(case when date = date '{m}' then close end), 0) as m_{m[:7].replace('-', '_')}" for m in _MONTHS)} from pm where date in ({', '.join(f"date '{m}'" for m in _MONTHS)}) group by 1""")
+@query(f"""with {PM}, q as (select ticker, strftime(date, '%Y-%m-%d') as d, close from pm) pivot q on d using coalesce(first(close), 0) group by ticker""")
 def pivot_slicer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One field as a matrix of tickers and dates; what is missing is 0."""
-    d = monthly(spark, sf_dir).filter(F.date_format("date", "yyyy-MM-dd").isin(list(_MONTHS)))
-    d = d.withColumn("m", F.concat(F.lit("m_"), F.date_format("date", "yyyy_MM")))
-    return d.groupBy("ticker").pivot("m", [f"m_{m[:7].replace('-', '_')}" for m in _MONTHS]).agg(F.first("close")).na.fill(0.0)
+    """One field as a matrix of tickers and all dates; what is missing is 0."""
+    return panel.slicer(monthly(spark, sf_dir), "close")
+
+
+@query("""with c as (select upper(c_name) as t, lpad(c_custkey::varchar, 10, '0') as cik from customer)
+select o_orderpriority, count(*) as n, count(cik) as known, min(cik) as first, max(cik) as last from orders join customer on c_custkey = o_custkey left join c on t = upper(c_name) group by 1""")
+def ticker_cik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the numbers that their customers' names have in a lookup."""
+    c = table(spark, sf_dir, "customer")
+    lookup = c.select(F.col("c_name").alias("ticker"), F.col("c_custkey").alias("cik_str"))
+    orders = table(spark, sf_dir, "orders").join(c.select(F.col("c_custkey").alias("o_custkey"), F.lower("c_name").alias("ticker")), "o_custkey")
+    found = readers.with_cik(orders.select("o_orderpriority", "ticker"), lookup)
+    return found.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count("cik").alias("known"), F.min("cik").alias("first"), F.max("cik").alias("last"))
 
 
 @query(f"""with {PD}, old as (select ticker, date, close, 0 as batch from pd where extract(day from date) <= 20), new as (select ticker, date, close * 2 as close, 1 as batch from pd where extract(day from date) >= 10),

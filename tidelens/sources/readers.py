@@ -34,7 +34,7 @@ def per_entity_files(spark: SparkSession, path: str, entity: str = "ticker") ->
     return df.withColumn(entity, F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1))
 
 
-def csv_prices(spark: SparkSession, path: str, schema: str = "Date date, Close double, High double, Low double, Open double, Volume double") -> DataFrame:
+def csv_prices(spark: SparkSession, path: str | list[str], schema: str = "Date date, Close double, High double, Low double, Open double, Volume double") -> DataFrame:
     """A CSV with a header, where lines that begin with # are comments."""
     df = spark.read.schema(schema).csv(path, header=True, comment="#", enforceSchema=False)
     return df.toDF(*[c.lower() for c in df.columns])
@@ -102,6 +102,12 @@ def recent_news(news: DataFrame, first: str, last: str, limit: int | None = None
     return out.orderBy(F.desc(date), key).limit(limit) if limit else out
 
 
+def with_cik(df: DataFrame, lookup: DataFrame, ticker: str = "ticker") -> DataFrame:
+    """df with its tickers' ten-digit company numbers, NULL where lookup (ticker, cik_str) has none; tickers are compared in capitals."""
+    known = lookup.select(F.upper("ticker").alias("_t"), F.lpad(F.col("cik_str").cast("string"), 10, "0").alias("cik")).dropDuplicates(["_t"])
+    return df.join(known, F.upper(ticker) == F.col("_t"), "left").drop("_t")
+
+
 def route(ticker: Column) -> Column:
     """Which source a ticker's prices come from."""
     return F.when(ticker.rlike(r"\.(SS|SZ)$"), "cn").otherwise("us")
@@ -120,20 +126,21 @@ def registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select(F.explode(entries).alias("name", "_e")).select("name", "_e.*")
 
 
-def offline_prices(spark: SparkSession, folder: str, ticker: str, first: str, last: str) -> DataFrame:
-    """A ticker's local price file between two dates; the whole file if it has nothing between them."""
-    whole = csv_prices(spark, f"{folder}/{ticker}_price.csv").withColumn("ticker", F.lit(ticker))
-    own = between(whole, first, last)
-    return whole if own.isEmpty() else own
+def offline_prices(spark: SparkSession, folder: str, tickers: str | list[str], first: str, last: str) -> DataFrame:
+    """The tickers' local price files between two dates, by one scan; of a ticker that has nothing between them the whole file."""
+    own = [tickers] if isinstance(tickers, str) else tickers
+    rows = csv_prices(spark, [f"{folder}/{t}_price.csv" for t in own]).withColumn("ticker", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_price\.csv$", 1))
+    inside = F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    found = rows.groupBy("ticker").agg(F.count_if(inside).alias("_n"))
+    return rows.join(found, "ticker").filter(inside | (F.col("_n") == 0)).drop("_n").select(*[c for c in rows.columns if c != "ticker"], "ticker")
 
 
 def load_prices(spark: SparkSession, tickers: list[str], sources: dict[str, Callable[[list[str]], DataFrame]], first: str, last: str, offline: str | None = None) -> DataFrame:
     """Prices of the tickers, each from its source: what route() says, or the local files below `offline`. Columns that a source lacks are NULL."""
     if offline:
-        parts = [offline_prices(spark, offline, t, first, last) for t in tickers]
-    else:
-        names = spark.createDataFrame([(t,) for t in tickers], "ticker string").select("ticker", route(F.col("ticker")).alias("source")).collect()
-        parts = [between(sources[s]([r["ticker"] for r in names if r["source"] == s]), first, last) for s in sorted({r["source"] for r in names})]
+        return offline_prices(spark, offline, tickers, first, last)
+    names = spark.createDataFrame([(t,) for t in tickers], "ticker string").select("ticker", route(F.col("ticker")).alias("source")).collect()
+    parts = [between(sources[s]([r["ticker"] for r in names if r["source"] == s]), first, last) for s in sorted({r["source"] for r in names})]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more, allowMissingColumns=True)

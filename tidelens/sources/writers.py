@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelens.operators import panel
+from tidelens.sources.shared import file_system
 
 
 def parquet(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -47,8 +48,17 @@ def json_report(df: DataFrame, path: str) -> None:
     panel.finite(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def sharded_json_lines(df: DataFrame, path: str, shards: int, merged: str | None = None) -> None:
-    """A file for each of `shards` workers below `path`, and if asked for, all lines in one file below `merged`."""
+#: Bytes of lines that one merged file should hold.
+FILE_BYTES = 256 << 20
+
+
+def sharded_json_lines(df: DataFrame, path: str, shards: int, merged: str | None = None, keep: bool = True) -> None:
+    """A file for each of `shards` workers below `path`; if asked for, all lines below `merged`, in one file or as many as FILE_BYTES asks for, and the shards are deleted unless kept."""
+    spark = df.sparkSession
     panel.finite(df).repartition(shards).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
     if merged:
-        df.sparkSession.read.text(path).coalesce(1).write.mode("overwrite").text(merged)
+        files, target = file_system(spark, path)
+        size = files.getContentSummary(target).getLength()
+        spark.read.text(path).repartition(max(1, -(-size // FILE_BYTES))).write.mode("overwrite").text(merged)
+        if not keep:
+            files.delete(target, True)
