@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelens.functions import ranks
 from tidelens.functions import windows as w_
-from tidelens.operators import joins, portfolio, stats
+from tidelens.operators import bootstrap, joins, portfolio, stats
 from tidelens.plans.cross_section import ALPHA, FACTORS, alphas, factors
 from tidelens.plans.panels import FQ, PD, PM, daily, monthly, pct_sql, quarterly, rank_sql, rounded, table
 
@@ -292,9 +292,9 @@ def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: the draws come from a hash that SQL elsewhere doesn't have."""
+    """500 resamples. Rows only: SQL elsewhere doesn't have the generator that draws them."""
     s = signals(spark, sf_dir).select(F.concat_ws("/", "ticker", "date").alias("id"), F.when(F.col("direction") == "BUY", 1).otherwise(-1).alias("side"), "y")
-    return rounded(stats.bootstrap_spread(s, "side", "y", "id", 200))
+    return rounded(bootstrap.interval(bootstrap.spreads(s, "side", "y", "id", 500)))
 
 
 @query(f"""with {FACTORS}, m as (select *, median(mom) over (partition by date) as m from fa), d as (select *, median(abs(mom - m)) over (partition by date) as d from m),
