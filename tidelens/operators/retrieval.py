@@ -30,7 +30,8 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     """query_id, key, score, share (of the query's best) and place of each query's best texts. queries: query_id, query.
 
     One aggregate over the texts' distinct terms, combined within tasks, gives the document frequencies. Of the words themselves only
-    those that queries hold are counted, with their text's length beside them: the words of the corpus are never shuffled. Terms in more than half of
+    those that queries hold are dealt, with their text's length beside them, by text: scores add up where the counts are made, and of these
+only each task's best are shuffled. The other words of the corpus are never shuffled. Terms in more than half of
     the texts get EPSILON times the mean idf, as the usual variant has it; that mean is over all terms of the corpus.
     """
     words = spread(docs.select(key, text)).select(F.col(key), tokens(text).alias("_w"))
@@ -51,7 +52,8 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     idf = F.when(idf < 0, EPSILON * F.col("_mean_idf")).otherwise(idf)
     wanted = df.join(F.broadcast(asked) if few else asked, "term").join(F.broadcast(mean)).select("query_id", "term", "times", idf.alias("idf"), "_mean")
     own = words.select(key, "_len", F.explode_outer("_w").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
-    own = own.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("_len").alias("_len"))
+    # Dealt by text once: counts of terms, and then sums over a query's terms, need no shuffle of their own.
+    own = own.repartition(key).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("_len").alias("_len"))
     hits = own.join(F.broadcast(wanted) if few else wanted, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.col("_mean")))
     scores = hits.groupBy("query_id", key).agg(F.round(F.sum(part), 8).alias("score"))
