@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelens.functions import ranks
 from tidelens.functions import windows as w_
-from tidelens.operators import panel
+from tidelens.operators import panel, quantiles
 from tidelens.plans.panels import PM, monthly, pct_sql, rank_sql, rounded
 
 QUERIES: dict = {}
@@ -260,3 +260,14 @@ select ticker, date, {", ".join(f"round(coalesce({pct_sql(f, 'date', 'sector')},
 def factor_pipeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline over all factors: each is clipped, freed of size, and ranked within date and sector."""
     return rounded(panel.factor_pipeline(factors(spark, sf_dir), list(_ALL), "size").select("ticker", "date", *_ALL))
+
+
+SQL["winsorise_impute_counted"] = SQL["winsorise_impute"]
+
+
+@query()
+def winsorise_impute_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """winsorise_impute by counting, for dates of any size."""
+    d = quantiles.winsorise_mad(factors(spark, sf_dir).select("ticker", "date", "mom", "vol"), "mom", ["date"])
+    d = quantiles.impute(d, "vol", ["date"])
+    return d.select("ticker", "date", F.round("mom", 6).alias("mom"), F.round("vol", 9).alias("vol"))
