@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
-from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelens.llm._text import chunks
+from tidelens.sources import shared
+from tidelens.sources.shared import _WRITTEN, delete, shared_folder, shared_root
 
 #: Bytes of text that one reducing task should get at most.
 TASK_BYTES = 12 << 20
@@ -25,40 +23,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Files below the shared folder that this process has written and not deleted yet: path -> session.
-_WRITTEN: dict[str, SparkSession] = {}
-_LOCAL_ROOT: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. Without one a local session gets a temporary folder; a cluster is an error."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _LOCAL_ROOT:
-        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="tidelens-"))
-    return _LOCAL_ROOT[0]
-
-
-def delete(path: str) -> None:
-    """Delete a file or folder that this process has written below the shared folder."""
-    spark = _WRITTEN.pop(path, None)
-    if spark is not None:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
-
-
-@atexit.register
-def _delete_rest() -> None:
-    """What results may still be read from goes when the process ends; the JVM may be gone by then."""
-    for path in list(_WRITTEN):
-        with suppress(Exception):
-            delete(path)
-
-
 def stable(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared checkpoint folder, so that a lost executor loses nothing."""
     spark = df.sparkSession
@@ -87,9 +51,7 @@ def forget(*kept: DataFrame) -> None:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as a Parquet table below the shared folder and read again."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return shared.saved(df, name)[0]
 
 
 #: A key of more than this share of all rows is joined by broadcast; there are at most 1 / HOT_SHARE of these.
@@ -124,13 +86,6 @@ def tasks(docs: DataFrame) -> int:
     return parts(total, min(max(TASK_BYTES, total / MANY_TASKS), MOST_BYTES), min(least, 16))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for written tables beside the checkpoints, which all executors see. It is deleted when the process ends."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN[path] = spark
-    return path
-
-
 def with_found(docs: DataFrame, task, found: str, text: str = "text") -> tuple[DataFrame, list[str]]:
     """All columns of docs, as c0, c1 and so on, beside what task(chunk) finds for every row; and docs' names for them.
 
