@@ -87,14 +87,17 @@ def _filled(values: Column, start: Column, alpha: float) -> Column:
     def put(acc: Column, new: Column) -> Column:
         return F.struct(new.alias("s"), F.array_append(acc["out"], new["y"]).alias("out"))
 
-    def stride(acc: Column, i: Column) -> Column:
-        begin = F.struct(acc["s"].alias("s"), _empty("double").alias("out"))
-        own = F.aggregate(F.slice(values, i * STRIDE + 1, STRIDE), begin, lambda a, x: _let(step(a["s"], x), lambda new: put(a, new)))
-        return _let(own, lambda o: F.struct(o["s"].alias("s"), F.array_append(acc["out"], o["out"]).alias("out")))
+    def strides(v: Column) -> Column:
+        def stride(acc: Column, i: Column) -> Column:
+            begin = F.struct(acc["s"].alias("s"), _empty("double").alias("out"))
+            own = F.aggregate(F.slice(v, i * STRIDE + 1, STRIDE), begin, lambda a, x: _let(step(a["s"], x), lambda new: put(a, new)))
+            return _let(own, lambda o: F.struct(o["s"].alias("s"), F.array_append(acc["out"], o["out"]).alias("out")))
 
-    begin = F.struct(start.alias("s"), _empty("array<double>").alias("out"))
-    strides = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STRIDE).cast("int"))
-    return F.flatten(F.aggregate(strides, begin, stride)["out"])
+        begin = F.struct(start.alias("s"), _empty("array<double>").alias("out"))
+        every = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STRIDE).cast("int"))
+        return F.flatten(F.aggregate(every, begin, stride)["out"])
+
+    return _let(values, strides)
 
 
 def _slices(df: DataFrame, entity: str, date: str, rows: int) -> DataFrame | None:
@@ -118,14 +121,16 @@ def smooth(df: DataFrame, values: dict[str, tuple[str, float]], entity: str = "t
         own = own.join(long.withColumnRenamed(entity, "_e"), "_e", "left")
         place = F.floor((F.unix_micros(F.col("_t").cast("timestamp")) - F.col("_low")) / F.col("_span") * F.col("_pieces"))
         own = own.withColumn("_slice", F.coalesce(place, F.lit(0).cast("long"))).drop("_low", "_span", "_pieces")
-    sliced = own.groupBy("_e", "_slice").agg(F.array_sort(F.collect_list(F.struct("_t", "_x", "_row"))).alias("_rows"))
+    # Few bytes and much work a row: as many tasks as the session has for a shuffle, which Spark would merge by their bytes.
+    own = own.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_e", "_slice")
+    sliced = own.groupBy("_e", "_slice").agg(F.sort_array(F.collect_list(F.struct("_t", "_x", "_row"))).alias("_rows"))
     series = lambda c: F.transform("_rows", lambda r: r["_x"][sources[c]])
     start = _state(F.lit(None), F.lit(1.0))
     if long is None:
         carried = sliced.select("*", *[start.alias(f"_s{i}") for i in range(len(values))])
     else:
         sums = sliced.select("_e", F.struct("_slice", *[_summary(series(c), a).alias(f"_m{i}") for i, (c, a) in enumerate(values.values())]).alias("_m"))
-        folded = sums.groupBy("_e").agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
+        folded = sums.groupBy("_e").agg(F.sort_array(F.collect_list("_m")).alias("_ms"))
         states = [_starts(f"_m{i}", a, start).alias(f"_s{i}") for i, (_, a) in enumerate(values.values())]
         zipped = folded.select("_e", F.transform("_ms", lambda m: m["_slice"]).alias("_slice"), *states)
         before = zipped.select("_e", F.explode(F.arrays_zip("_slice", *[f"_s{i}" for i in range(len(values))])).alias("_z")).select("_e", "_z.*")
