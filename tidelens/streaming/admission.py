@@ -46,7 +46,7 @@ def run_in_order(spark: SparkSession, groups: list[list[str]], schema: str, star
         if any(not f.startswith(f"{folder}/") for f in own):
             folder = _common(own)
         names = ",".join(f.removeprefix(f"{folder}/").replace(",", "\\,") for f in own)
-        stream = spark.readStream.format(fmt).schema(schema).load(f"{folder}/{{{names}}}" if len(own) > 1 else own[0])
+        stream = spark.readStream.format(fmt).schema(schema).load(f"{folder}/{{{names}}}")  # a pattern, also of one file: a source takes folders and patterns
         start(stream).trigger(availableNow=True).start().awaitTermination()
 
 
