@@ -305,29 +305,39 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, ahead: np.ndarray, d
     order, group = np.arange(len(anchor)), np.zeros(len(anchor), np.uint16)
     for skip in (*range(0, key - 8, 8), key - 8):
         order, group = _ties(order, group, view[anchor[order] + skip].astype(np.uint64))
-    if not len(order):
-        return order, order
-    cuts = np.flatnonzero(np.diff(group.astype(np.int64), prepend=-1, append=-1))
-    # Keys with a single document have nothing to be compared with.
+    found, half = [], span // 2
+    # Windows that begin up to half the way before the anchor share more bytes after it, the others more bytes before it.
+    for distances, first, stop in ((range(half), 0, width - half + 1), (range(half, span), -half, key)):
+        has = (ahead - counts + 1 < distances.stop) & (ahead >= distances.start)
+        own, alike = _several(group[has[order]])
+        own = order[has[order]][own]
+        for skip in (*range(first, stop - 8, 8), stop - 8):
+            own, alike = _ties(own, alike, view[anchor[own] + skip].astype(np.uint64))
+        if len(own):
+            found += _by_class(view, offsets, anchor, ahead, counts, docs, own, alike, distances, width, most)
+    if not found:
+        return order[:0], order[:0]
+    segment, window = (np.concatenate(x) for x in zip(*found))
+    by = np.lexsort((window, segment))
+    return segment[by], window[by]
+
+
+def _by_class(view, offsets, anchor, ahead, counts, docs, order, group, distances: range, width: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """_alike() for all segments, which `group` sorts into classes, about `most` windows at once."""
+    cuts, span = np.flatnonzero(np.diff(group.astype(np.int64), prepend=-1, append=-1)), len(distances)
+    # Classes with a single document have nothing to be compared with.
     own = docs[order]
     mixed = np.minimum.reduceat(own, cuts[:-1]) != np.maximum.reduceat(own, cuts[:-1])
-    sizes = np.diff(cuts)
-    found = []
-    begins, sizes = cuts[:-1][mixed], sizes[mixed]
-    total, at = np.append(0, np.cumsum(sizes)), 0
+    begins, sizes = cuts[:-1][mixed], np.diff(cuts)[mixed]
+    total, at, found = np.append(0, np.cumsum(sizes)), 0, []
     while at < len(begins):
         upto = max(at + 1, min(at + (1 << 16) // span, int(np.searchsorted(total, total[at] + most // span, "right")) - 1))
         members = order[ragged(begins[at:upto], sizes[at:upto])]
         number = np.repeat(np.arange(upto - at), sizes[at:upto])
-        large = len(members) * span > most
-        for distances in ([range(d, d + 1) for d in range(span)] if large else [range(span)]):
-            found.append(_alike(view, offsets, anchor, ahead, counts, docs, members, number, distances, width))
+        for part in [range(d, d + 1) for d in distances] if len(members) * span > most else [distances]:
+            found.append(_alike(view, offsets, anchor, ahead, counts, docs, members, number, part, width))
         at = upto
-    if not found:
-        return order[:0], order[:0]
-    segment, window = (np.concatenate(x) for x in zip(*found))
-    by = np.lexsort((window, segment))
-    return segment[by], window[by]
+    return found
 
 
 def _alike(view, offsets, anchor, ahead, counts, docs, members, number, distances: range, width: int) -> tuple[np.ndarray, np.ndarray]:
