@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from tidelens.functions.windows import catalogue, frame, ratio, series
 
-#: Rows that a slice of a series should have.
-ROWS = 1 << 16
+#: Rows that a slice of a series should have: some 30 MB in a task.
+ROWS = 1 << 18
+#: Where a plan reads no more than so many bytes a row of a slice, its series aren't counted: none is taken to be longer.
+ROW_BYTES = 64
 #: Rows that are appended to one array before it is put aside: appending copies.
 STRIDE = 64
 
@@ -100,21 +102,25 @@ def _filled(values: Column, start: Column, alpha: float) -> Column:
     return _let(values, strides)
 
 
-def _slices(df: DataFrame, entity: str, date: str, rows: int) -> DataFrame | None:
-    """entity, low, span and pieces of the series that are more than one slice; None if there is none."""
+def slices(df: DataFrame, entity: str = "ticker", date: str = "date", rows: int = ROWS) -> DataFrame | None:
+    """entity, low, span and pieces of the series that are more than one slice; None if there is none. One job, which several smooth() of the same rows may share."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) <= ROW_BYTES * rows:
+        return None
     at = F.unix_micros(F.col(date).cast("timestamp"))
     spans = df.groupBy(entity).agg(F.count("*").alias("_n"), F.min(at).alias("_low"), F.max(at).alias("_high")).filter(F.col("_n") > rows)
     long = spans.select(F.col(entity), F.col("_low"), (F.col("_high") - F.col("_low") + 1).cast("double").alias("_span"), F.ceil(F.col("_n") / rows).alias("_pieces"))
     return None if long.isEmpty() else long
 
 
-def smooth(df: DataFrame, values: dict[str, tuple[str, float]], entity: str = "ticker", date: str = "date", rows: int = ROWS) -> DataFrame:
-    """df with exponential averages without bias correction: {new column: (column, weight of a new value)}."""
+def smooth(df: DataFrame, values: dict[str, tuple[str, float]], entity: str = "ticker", date: str = "date", rows: int = ROWS, long: DataFrame | None | str = "ask") -> DataFrame:
+    """df with exponential averages without bias correction: {new column: (column, weight of a new value)}. long: what slices() has said of these rows."""
     columns = df.columns
     sources = {c: f"_v{i}" for i, c in enumerate(dict.fromkeys(c for c, _ in values.values()))}
     known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     own = df.select(F.col(entity).alias("_e"), F.col(date).alias("_t"), F.struct(*[known(c).alias(v) for c, v in sources.items()]).alias("_x"), F.struct(*columns).alias("_row"))
-    long = _slices(df, entity, date, rows)
+    if isinstance(long, str):
+        long = slices(df, entity, date, rows)
     if long is None:
         own = own.withColumn("_slice", F.lit(0).cast("long"))
     else:
@@ -152,9 +158,9 @@ def _starts(name: str, alpha: float, start: Column) -> Column:
     return F.aggregate("_ms", begin, put)["out"]
 
 
-def ewm(df: DataFrame, values: dict[str, tuple[str, int]], entity: str = "ticker", date: str = "date") -> DataFrame:
+def ewm(df: DataFrame, values: dict[str, tuple[str, int]], entity: str = "ticker", date: str = "date", long: DataFrame | None | str = "ask") -> DataFrame:
     """Averages by span: {new column: (column, span)}."""
-    return smooth(df, {name: (c, 2 / (span + 1)) for name, (c, span) in values.items()}, entity, date)
+    return smooth(df, {name: (c, 2 / (span + 1)) for name, (c, span) in values.items()}, entity, date, long=long)
 
 
 def wilder(df: DataFrame, values: dict[str, tuple[str, int]], entity: str = "ticker", date: str = "date") -> DataFrame:
@@ -179,8 +185,9 @@ def indicators(df: DataFrame, entity: str = "ticker", date: str = "date") -> tup
     money = F.col("_price") * F.col("volume")
     d = d.withColumns({"_in": F.when(F.col("_move").isNotNull(), F.when(F.col("_move") > 0, money).otherwise(0.0)), "_out": F.when(F.col("_move").isNotNull(), F.when(F.col("_move") < 0, money).otherwise(0.0))})
     spans = {"_ten": ("close", 2 / 11), "_fast": ("close", 2 / 13), "_slow": ("close", 2 / 27), "_gain": ("_up", 1 / 14), "_loss": ("_down", 1 / 14), "_atr": ("_range", 1 / 14)}
-    d = smooth(d, spans, entity, date).withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    d = smooth(d, {"_signal": ("_macd", 2 / 10)}, entity, date)
+    long = slices(df, entity, date)
+    d = smooth(d, spans, entity, date, long=long).withColumn("_macd", F.col("_fast") - F.col("_slow"))
+    d = smooth(d, {"_signal": ("_macd", 2 / 10)}, entity, date, long=long)
     came, went = frame(F.sum, "_in", w, 14), frame(F.sum, "_out", w, 14)
     return d, {
         **catalogue(w), "close_10_ema": F.col("_ten"), "macd": F.col("_macd"), "macds": F.col("_signal"), "macdh": F.col("_macd") - F.col("_signal"), "atr": F.col("_atr"),
