@@ -74,3 +74,14 @@ def test_spans_and_wilder(spark):
     same([r.y for r in ewm(df, {"y": ("close", 12)}).orderBy("date").collect()], pd.Series(clean).ewm(span=12, adjust=False).mean().tolist())
     same([r.y for r in wilder(df, {"y": ("close", 14)}).orderBy("date").collect()], expected(clean, 1 / 14))
     assert ewm(df.limit(0), {"y": ("close", 3)}).count() == 0
+
+
+@pytest.mark.parametrize("rows", [1 << 16, 9])
+def test_average_of_an_excess(spark, rows):
+    x = series(120, 11)
+    df = spark.createDataFrame([("k", date(2020, 1, 1) + timedelta(days=i), v) for i, v in enumerate(x)], "ticker string, date date, close double")
+    found = smooth(df, {"fast": ("close", 0.4), "slow": ("close", 0.1)}, rows=rows, gaps={"signal": ("fast", "slow", 0.3)})
+    assert found.columns == ["ticker", "date", "close", "fast", "slow", "signal"]
+    clean = pd.Series([np.nan if v is None else v for v in x])
+    over = clean.ewm(alpha=0.4, adjust=False).mean() - clean.ewm(alpha=0.1, adjust=False).mean()
+    same([r.signal for r in found.orderBy("date").collect()], over.ewm(alpha=0.3, adjust=False).mean().tolist())

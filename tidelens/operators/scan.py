@@ -103,7 +103,7 @@ def _filled(values: Column, start: Column, alpha: float) -> Column:
 
 
 def slices(df: DataFrame, entity: str = "ticker", date: str = "date", rows: int = ROWS) -> DataFrame | None:
-    """entity, low, span and pieces of the series that are more than one slice; None if there is none. One job, which several smooth() of the same rows may share."""
+    """entity, low, span and pieces of the series that are more than one slice; None if there is none."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     if sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) <= ROW_BYTES * rows:
         return None
@@ -113,14 +113,17 @@ def slices(df: DataFrame, entity: str = "ticker", date: str = "date", rows: int
     return None if long.isEmpty() else long
 
 
-def smooth(df: DataFrame, values: dict[str, tuple[str, float]], entity: str = "ticker", date: str = "date", rows: int = ROWS, long: DataFrame | None | str = "ask") -> DataFrame:
-    """df with exponential averages without bias correction: {new column: (column, weight of a new value)}. long: what slices() has said of these rows."""
+def smooth(df: DataFrame, values: dict[str, tuple[str, float]], entity: str = "ticker", date: str = "date", rows: int = ROWS, gaps: dict[str, tuple[str, str, float]] | None = None) -> DataFrame:
+    """df with exponential averages without bias correction: {new column: (column, weight of a new value)}.
+
+    gaps: averages of what one new column exceeds another by: {new column: (one, other, weight)}; long series take a second pass for them.
+    """
+    gaps = gaps or {}
     columns = df.columns
     sources = {c: f"_v{i}" for i, c in enumerate(dict.fromkeys(c for c, _ in values.values()))}
     known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     own = df.select(F.col(entity).alias("_e"), F.col(date).alias("_t"), F.struct(*[known(c).alias(v) for c, v in sources.items()]).alias("_x"), F.struct(*columns).alias("_row"))
-    if isinstance(long, str):
-        long = slices(df, entity, date, rows)
+    long = slices(df, entity, date, rows)
     if long is None:
         own = own.withColumn("_slice", F.lit(0).cast("long"))
     else:
@@ -143,8 +146,18 @@ def smooth(df: DataFrame, values: dict[str, tuple[str, float]], entity: str = "t
         carried = sliced.join(before, ["_e", "_slice"])
     found = [_filled(series(c), F.col(f"_s{i}"), a).alias(f"_y{i}") for i, (c, a) in enumerate(values.values())]
     rows_ = carried.select(F.transform("_rows", lambda r: r["_row"]).alias("_row"), *found)
-    out = rows_.select(F.explode(F.arrays_zip("_row", *[f"_y{i}" for i in range(len(values))])).alias("_z"))
-    return out.select("_z._row.*", *[F.col(f"_z._y{i}").alias(name) for i, name in enumerate(values)])
+    names = {name: f"_y{i}" for i, name in enumerate(values)}
+    if long is None:
+        for name, (one, other, alpha) in gaps.items():
+            over = F.zip_with(names[one], names[other], lambda a, b: a - b)
+            names[name] = f"_y{len(names)}"
+            rows_ = rows_.withColumn(names[name], _filled(over, start, alpha))
+    out = rows_.select(F.explode(F.arrays_zip("_row", *names.values())).alias("_z"))
+    out = out.select("_z._row.*", *[F.col(f"_z.{y}").alias(name) for name, y in names.items()])
+    if long is None or not gaps:
+        return out
+    out = out.withColumns({f"_over_{name}": F.col(one) - F.col(other) for name, (one, other, _) in gaps.items()})
+    return smooth(out, {name: (f"_over_{name}", alpha) for name, (_, _, alpha) in gaps.items()}, entity, date, rows).drop(*[f"_over_{name}" for name in gaps])
 
 
 def _starts(name: str, alpha: float, start: Column) -> Column:
@@ -158,9 +171,10 @@ def _starts(name: str, alpha: float, start: Column) -> Column:
     return F.aggregate("_ms", begin, put)["out"]
 
 
-def ewm(df: DataFrame, values: dict[str, tuple[str, int]], entity: str = "ticker", date: str = "date", long: DataFrame | None | str = "ask") -> DataFrame:
-    """Averages by span: {new column: (column, span)}."""
-    return smooth(df, {name: (c, 2 / (span + 1)) for name, (c, span) in values.items()}, entity, date, long=long)
+def ewm(df: DataFrame, values: dict[str, tuple[str, int]], entity: str = "ticker", date: str = "date", gaps: dict[str, tuple[str, str, int]] | None = None) -> DataFrame:
+    """Averages by span: {new column: (column, span)}, and of one's excess over another: {new column: (one, other, span)}."""
+    over = {name: (one, other, 2 / (span + 1)) for name, (one, other, span) in (gaps or {}).items()}
+    return smooth(df, {name: (c, 2 / (span + 1)) for name, (c, span) in values.items()}, entity, date, gaps=over)
 
 
 def wilder(df: DataFrame, values: dict[str, tuple[str, int]], entity: str = "ticker", date: str = "date") -> DataFrame:
@@ -185,9 +199,7 @@ def indicators(df: DataFrame, entity: str = "ticker", date: str = "date") -> tup
     money = F.col("_price") * F.col("volume")
     d = d.withColumns({"_in": F.when(F.col("_move").isNotNull(), F.when(F.col("_move") > 0, money).otherwise(0.0)), "_out": F.when(F.col("_move").isNotNull(), F.when(F.col("_move") < 0, money).otherwise(0.0))})
     spans = {"_ten": ("close", 2 / 11), "_fast": ("close", 2 / 13), "_slow": ("close", 2 / 27), "_gain": ("_up", 1 / 14), "_loss": ("_down", 1 / 14), "_atr": ("_range", 1 / 14)}
-    long = slices(df, entity, date)
-    d = smooth(d, spans, entity, date, long=long).withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    d = smooth(d, {"_signal": ("_macd", 2 / 10)}, entity, date, long=long)
+    d = smooth(d, spans, entity, date, gaps={"_signal": ("_fast", "_slow", 2 / 10)}).withColumn("_macd", F.col("_fast") - F.col("_slow"))
     came, went = frame(F.sum, "_in", w, 14), frame(F.sum, "_out", w, 14)
     return d, {
         **catalogue(w), "close_10_ema": F.col("_ten"), "macd": F.col("_macd"), "macds": F.col("_signal"), "macdh": F.col("_macd") - F.col("_signal"), "atr": F.col("_atr"),

@@ -103,11 +103,8 @@ e as (
   from e join k on k.ticker = e.ticker and k.k = e.k + 1)
 select ticker, date, round((fast - slow) / close, 6) as macd, round(signal / close, 6) as macd_signal, round((fast - slow - signal) / close, 6) as macd_hist from e join k using (ticker, date)""")
 def ema_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = daily(spark, sf_dir).select("ticker", "date", "close")
-    long = scan.slices(d)
-    e = scan.ewm(d, {"fast": ("close", 12), "slow": ("close", 26)}, long=long)
-    e = scan.ewm(e.select("ticker", "date", "close", (F.col("fast") - F.col("slow")).alias("macd")), {"macd_signal": ("macd", 9)}, long=long)
-    e = e.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    e = scan.ewm(daily(spark, sf_dir).select("ticker", "date", "close"), {"fast": ("close", 12), "slow": ("close", 26)}, gaps={"macd_signal": ("fast", "slow", 9)})
+    e = e.withColumn("macd", F.col("fast") - F.col("slow")).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
     return rounded(e.select("ticker", "date", *[w_.ratio(c, "close").alias(c) for c in ("macd", "macd_signal", "macd_hist")]))
 
 
