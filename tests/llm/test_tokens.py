@@ -16,9 +16,9 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelens.llm import packing, token_counts, token_files
+from tidelens.llm import _tokens, packing, token_counts, token_files
 from tidelens.llm._text import chunks
-from tidelens.llm._tokens import library_encoder, piece_starts
+from tidelens.llm._tokens import IdEncoder, library_encoder, piece_starts
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -71,6 +71,49 @@ def test_every_code_point_in_every_context(tokenizer):
             assert [i for a, b in zip(starts[x:y].tolist(), ends[x:y].tolist()) for i in tik._encode_single_piece(raw[a:b])] == tik.encode_ordinary(text)
 
 
+def counted(encoder):
+    """The encoder, and the list of the pieces that it asks the library for."""
+    asked, encode = [], encoder.encode
+    encoder.encode = lambda pieces: asked.extend(pieces) or encode(pieces)
+    return encoder, asked
+
+
+def texts_of(texts, limit=1 << 20):
+    return chunks(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})]), limit=limit)
+
+
+def test_the_library_sees_a_piece_once():
+    """300,000 words, twice: more than what was remembered, as long as a task reads."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [letters[i // 17576 % 26] + letters[i // 676 % 26] + letters[i // 26 % 26] + letters[i % 26] for i in range(300_000)]
+    texts = [" " + " ".join(words[at : at + 10_000]) for at in range(0, len(words), 10_000)]
+    encoder, asked = counted(library_encoder.__wrapped__(PATH))
+    once, again = ([encoder.ids(c)[0].tolist() for c in texts_of(texts)] for _ in range(2))
+    assert len(asked) == len(set(asked)) == len(words)
+    assert once == again
+
+
+def test_forgotten_pieces_are_encoded_again(tokenizer, monkeypatch):
+    monkeypatch.setattr(_tokens, "REMEMBERED_FLAT", 40)
+    encoder, asked = counted(library_encoder.__wrapped__(PATH))
+    texts = odd_texts(400, seed=5) * 2
+    got = []
+    for c in texts_of(texts, limit=300):
+        ids, offsets = encoder.ids(c)
+        got += [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+    assert got == [x.ids for x in tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    assert len(asked) > len(set(asked))
+
+
+def test_pieces_of_one_hash_keep_their_ids():
+    encoder = IdEncoder(lambda pieces: (np.array([b for p in pieces for b in p], np.int32), np.array([len(p) for p in pieces], np.int64)))
+    data, key = np.frombuffer(b"abcdabc", np.uint8), np.array([7], np.uint64)
+    for _ in range(2):
+        for start, end in ((0, 2), (2, 4), (4, 7), (0, 2)):
+            at = encoder.known(key, data, np.array([start]), np.array([end]))
+            assert encoder.young.ids[encoder.young.id_at[at[0]] : encoder.young.id_at[at[0] + 1]].tolist() == list(data[start:end])
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 25])
 def test_bits(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 300_001)

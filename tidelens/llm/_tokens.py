@@ -7,15 +7,17 @@ stands. So a text's ids are its pieces' ids in order, and the library only has t
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 
 from tidelens.llm._text import Chunk, ragged, span_hashes
 
-#: Pieces that a worker remembers in each of two generations.
-REMEMBERED = 250_000
+#: Pieces that a worker remembers in each of two generations, as objects and in flat arrays (about 65 bytes a piece).
+REMEMBERED, REMEMBERED_FLAT = 250_000, 500_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
@@ -84,8 +86,18 @@ def piece_starts(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return byte[found], np.searchsorted(found, rows)
 
 
+def distinct_pieces(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code of every piece, then hash, byte start and byte end of each code's first piece, and the first piece of every row."""
+    starts, firsts = piece_starts(chunk)
+    ends = np.append(starts[1:], len(chunk.data))
+    codes, keys = pd.factorize(span_hashes(chunk.data, starts, ends))
+    first = np.empty(len(keys), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return codes, keys, starts[first], ends[first], firsts
+
+
 class Encoder:
-    """Ids of the pieces of a chunk; encode(list of bytes) -> list of int32 id bytes is asked for new ones only."""
+    """What encode(list of bytes) makes of the pieces of a chunk, one object a piece; it is asked for new ones only."""
 
     def __init__(self, encode):
         self.encode, self.young, self.old = encode, {}, {}
@@ -109,31 +121,105 @@ class Encoder:
                 out[i] = young[p] = x
         return out
 
-    def pieces(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
-        """Piece starts, code of every piece, what is known of each code, and the first piece of every row."""
-        starts, firsts = piece_starts(chunk)
-        ends = np.append(starts[1:], len(chunk.data))
-        codes, found = pd.factorize(span_hashes(chunk.data, starts, ends))
-        first = np.empty(len(found), np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
+    def pieces(self, chunk: Chunk) -> tuple[np.ndarray, list, np.ndarray]:
+        """Code of every piece, what is known of each code, and the first piece of every row."""
+        codes, _, starts, ends, firsts = distinct_pieces(chunk)
         raw = chunk.data.tobytes()
-        distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        return starts, codes, self.known(distinct), firsts
+        return codes, self.known([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]), firsts
+
+
+def _put(into: np.ndarray, at: int, what: np.ndarray) -> np.ndarray:
+    """`into` with `what` at a place, grown if need be."""
+    if at + len(what) > len(into):
+        into = np.concatenate([into[:at], np.empty(max(at, len(what)), into.dtype)])
+    into[at : at + len(what)] = what
+    return into
+
+
+class _Flat:
+    """Up to `room` pieces with their ids in flat arrays, found by hash (open addressing) and then compared byte by byte."""
+
+    def __init__(self, room: int):
+        self.n, self.slots = 0, np.full(1 << (2 * room).bit_length(), -1, np.int32)
+        self.keys = np.empty(room, np.uint64)
+        self.byte_at, self.id_at = np.zeros(room + 1, np.int64), np.zeros(room + 1, np.int64)
+        self.bytes, self.ids = np.empty(0, np.uint8), np.empty(0, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Places of these pieces, -1 for those that aren't here."""
+        out, left, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            place = self.slots[slot]
+            taken = place >= 0
+            left, slot, place = left[taken], slot[taken], place[taken]
+            hit = self.keys[place] == keys[left]
+            out[left[hit]] = place[hit]
+            left, slot = left[~hit], slot[~hit] + 1 & len(self.slots) - 1
+        have = np.flatnonzero(out >= 0)
+        alike = self.byte_at[out[have] + 1] - self.byte_at[out[have]] == lengths[have]
+        out[have[~alike]] = -1
+        have = have[alike]
+        other = data[ragged(starts[have], lengths[have])] != self.bytes[ragged(self.byte_at[out[have]], lengths[have])]
+        if other.any():
+            out[np.repeat(have, lengths[have])[other]] = -1
+        return out
+
+    def add(self, keys: np.ndarray, data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Places of new pieces, given their bytes and ids one after another."""
+        n, out = self.n, np.arange(self.n, self.n + len(keys))
+        self.bytes, self.ids = _put(self.bytes, int(self.byte_at[n]), data), _put(self.ids, int(self.id_at[n]), ids)
+        self.keys[out], self.n = keys, n + len(keys)
+        self.byte_at[out + 1] = self.byte_at[n] + np.cumsum(lengths)
+        self.id_at[out + 1] = self.id_at[n] + np.cumsum(counts)
+        left, slot = out, self._slot(keys)
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            wait = self.slots[slot] != left
+            left, slot = left[wait], slot[wait] + 1 & len(self.slots) - 1
+        return out
+
+
+class IdEncoder:
+    """Ids of the pieces of a chunk; encode(list of bytes) -> (all ids one after another, how many each) is asked for new ones only."""
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
+        self.encode, self.young, self.old = encode, _Flat(REMEMBERED_FLAT), _Flat(1)
+
+    def known(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places of these distinct pieces in the young generation."""
+        if self.young.n + len(keys) > len(self.young.keys):
+            self.young, self.old = _Flat(max(REMEMBERED_FLAT, len(keys))), self.young
+        lengths = ends - starts
+        out = self.young.find(keys, data, starts, lengths)
+        new = np.flatnonzero(out < 0)
+        was = self.old.find(keys[new], data, starts[new], lengths[new])
+        back, was, new = new[was >= 0], was[was >= 0], new[was < 0]
+        counts = self.old.id_at[was + 1] - self.old.id_at[was]
+        found = [(back, self.old.ids[ragged(self.old.id_at[was], counts)], counts)]
+        if len(new):
+            raw = data.tobytes()
+            found.append((new, *self.encode([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])))
+        for which, ids, counts in found:
+            out[which] = self.young.add(keys[which], data[ragged(starts[which], lengths[which])], lengths[which], ids, counts)
+        return out
 
     def ids(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one row after another, and the rows' offsets in them."""
-        _, codes, known, firsts = self.pieces(chunk)
-        flat = np.frombuffer(b"".join(known), np.int32)
-        sizes = np.array([len(x) >> 2 for x in known], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        counts = sizes[codes]
-        ids = flat[ragged(begins[codes], counts)]
+        codes, keys, starts, ends, firsts = distinct_pieces(chunk)
+        at = self.known(keys, chunk.data, starts, ends)
+        begins = self.young.id_at[at]
+        counts = (self.young.id_at[at + 1] - begins)[codes]
+        ids = self.young.ids[ragged(begins[codes], counts)]
         to = np.append(0, np.cumsum(counts))
         return ids, to[firsts]
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str) -> Encoder:
+def library_encoder(path: str) -> IdEncoder:
     """The tokenizers library's encoder for a byte-level BPE file, without special tokens."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -141,14 +227,16 @@ def library_encoder(path: str) -> Encoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
-    def encode(pieces: list[bytes]) -> list[bytes]:
-        out = []
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = [], []
         for at in range(0, len(pieces), 4096):
             found = tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces[at : at + 4096]], add_special_tokens=False)
-            out += [np.array(x.ids, np.int32).tobytes() for x in found]
-        return out
+            own = [x.ids for x in found]
+            ids.append(np.fromiter(chain.from_iterable(own), np.int32))
+            counts += map(len, own)
+        return np.concatenate(ids), np.array(counts, np.int64)
 
-    return Encoder(encode)
+    return IdEncoder(encode)
 
 
 @lru_cache(maxsize=4)

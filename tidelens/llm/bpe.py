@@ -227,7 +227,7 @@ def _round_trip(path: str, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = duckdb_encoder(path)
         for chunk in chunks(batches):
-            _, codes, known, firsts = encoder.pieces(chunk)
+            codes, known, firsts = encoder.pieces(chunk)
             ids, decoded = (np.array([x[k] for x in known] + [None], object)[:-1] for k in (0, 2))
             counts = np.array([x[1] for x in known], np.int64)
             total = np.append(0, np.cumsum(counts[codes]))

@@ -42,6 +42,8 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int, step: int = 1 << 17) -> bytes:
     """Ids as `bits`-bit numbers, lowest bit first. Steps are multiples of 8 ids, so they end on whole bytes."""
+    if bits in (8, 16):
+        return ids.astype(f"<u{bits // 8}").tobytes()
     shifts = np.arange(bits, dtype=np.uint32)
     out = [np.packbits(((ids[at : at + step].astype(np.uint32)[:, None] >> shifts) & 1).astype(np.uint8), bitorder="little") for at in range(0, len(ids), step)]
     return b"".join(x.tobytes() for x in out)
@@ -49,6 +51,8 @@ def pack(ids: np.ndarray, bits: int, step: int = 1 << 17) -> bytes:
 
 def unpack(payload: bytes, bits: int, first: int, count: int) -> np.ndarray:
     """Ids first .. first+count-1 of a payload with ids of at most 25 bits."""
+    if bits in (8, 16):
+        return np.frombuffer(payload, f"<u{bits // 8}", count, first * bits // 8).astype(np.uint32)
     low, high = first * bits >> 3, (first + count) * bits + 7 >> 3
     raw = np.zeros(high - low + 4, np.uint8)
     raw[:-4] = np.frombuffer(payload, np.uint8, high - low, low)
