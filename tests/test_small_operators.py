@@ -14,6 +14,7 @@ from tidelens.functions import ranks, scoring
 from tidelens.functions import windows as w_
 from tidelens.operators import ensemble as en
 from tidelens.operators import joins, panel, portfolio, stats
+from tidelens.plans import backtests
 
 DAY = date.fromisoformat
 
@@ -207,3 +208,20 @@ def test_slices_of_all_dates(spark):
     rows = spark.createDataFrame([("a", date(2024, 1, 1), 1.0), ("a", date(2024, 1, 3), 2.0), ("b", date(2024, 1, 3), 3.0)], "ticker string, date date, x double")
     m = panel.slicer(rows, "x")
     assert m.columns == ["ticker", "2024-01-03", "2024-01-01"] and sorted(map(tuple, m.collect())) == [("a", 2.0, 1.0), ("b", 3.0, 0.0)]
+
+
+def test_rows_without_a_dimension_stay(spark):
+    p = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (None, "d")], "ticker long, x string")
+    dim = spark.createDataFrame([(1, "one"), (3, None), (9, "nine")], "ticker long, sector_name string")
+    got = joins.with_dimension(p, dim, ["ticker"], {"sector_name": "UNKNOWN"}).collect()
+    assert sorted(got, key=str) == sorted([(1, "a", "one"), (2, "b", "UNKNOWN"), (3, None, "UNKNOWN"), (None, "d", "UNKNOWN")], key=str)
+
+
+def test_left_dimensions_reads_all_suppliers(spark, tmp_path):
+    """Suppliers in debt have sectors too; a month of 50 suppliers is wide, one of 49 isn't."""
+    spark.createDataFrame([(0, "ALGERIA", 0), (1, "BRAZIL", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(i, i % 2, float(i - 25)) for i in range(50)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    lines = [(i, DAY(f"2024-0{month}-15"), 10.0, 1.0, 0.0) for month in (1, 2) for i in range(51 - month)]
+    spark.createDataFrame(lines, "l_suppkey long, l_shipdate date, l_extendedprice double, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.ticker, r.date): (r.sector_name, r.regime) for r in backtests.left_dimensions(spark, str(tmp_path)).collect()}
+    assert got == {(i, DAY(f"2024-0{month}-01")): (("ALGERIA", "BRAZIL")[i % 2], "wide" if month == 1 else None) for month in (1, 2) for i in range(51 - month)}
