@@ -225,3 +225,21 @@ def test_left_dimensions_reads_all_suppliers(spark, tmp_path):
     spark.createDataFrame(lines, "l_suppkey long, l_shipdate date, l_extendedprice double, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {(r.ticker, r.date): (r.sector_name, r.regime) for r in backtests.left_dimensions(spark, str(tmp_path)).collect()}
     assert got == {(i, DAY(f"2024-0{month}-01")): (("ALGERIA", "BRAZIL")[i % 2], "wide" if month == 1 else None) for month in (1, 2) for i in range(51 - month)}
+
+
+def test_left_dimensions_keeps_lines_without_a_supplier(spark, tmp_path):
+    """Lines of a supplier, or of a nation, that isn't in the tables stay as UNKNOWN and count for the month's width; so they do in SQL."""
+    import duckdb
+
+    spark.createDataFrame([(0, "ALGERIA", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(i, 0 if i < 47 else 9, 1.0) for i in range(48)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    lines = [(i, DAY(f"2024-0{month}-15"), 10.0, 1.0, 0.0) for month in (1, 2) for i in [*range(48, 47 + month), *range(48), None]]
+    spark.createDataFrame([*lines, (48, DAY("2024-02-01"), 10.0, 1.0, 0.0)], "l_suppkey long, l_shipdate date, l_extendedprice double, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [tuple(r) for r in backtests.left_dimensions(spark, str(tmp_path)).select("ticker", "date", "sector_name", "regime").collect()]
+    want = [(i, DAY(f"2024-0{month}-01"), "ALGERIA" if i is not None and i < 47 else "UNKNOWN", (None, "wide")[month - 1]) for month in (1, 2) for i in [*range(47 + month), None]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    con = duckdb.connect()
+    for name in ("lineitem", "supplier", "nation"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    theirs = con.execute(f"select ticker, date, sector_name, regime from ({backtests.SQL['left_dimensions']})").fetchall()
+    assert sorted(theirs, key=str) == sorted(want, key=str)

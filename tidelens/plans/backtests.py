@@ -10,7 +10,7 @@ from tidelens.functions import windows as w_
 from tidelens.operators import ensemble as en
 from tidelens.operators import joins, panel, portfolio, scan
 from tidelens.plans.cross_section import FACTORS, factors
-from tidelens.plans.panels import PD, PM, daily, monthly, pct_sql, rounded, table
+from tidelens.plans.panels import MONTHS, PD, daily, months, pct_sql, rounded, table
 from tidelens.plans.research import SIGNALS, attribution, signals
 from tidelens.plans.research import SQL as RESEARCH_SQL
 from tidelens.plans.signal_rules import ANALYST_WEIGHTS, REPORTS, SCORES, figures, reports, scores
@@ -227,13 +227,13 @@ def macro_at_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.asof_scalar(e, _index(spark, sf_dir).select("date", "close"), "asked", "date", ["date", "close"])
 
 
-@query(f"""with {PM}, s as (select s_suppkey as ticker, n_name as sector_name from supplier join nation on n_nationkey = s_nationkey),
+@query(f"""with pm as {MONTHS}, s as (select s_suppkey as ticker, n_name as sector_name from supplier join nation on n_nationkey = s_nationkey),
 x as (select date, round(avg(close), 6) as mean, count(*) as n from pm group by 1), g as (select date, 'wide' as regime from x where n >= 50)
 select p.ticker, p.date, coalesce(s.sector_name, 'UNKNOWN') as sector_name, g.regime from pm p left join s using (ticker) left join g using (date)""")
 def left_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sectors and regimes beside the panel; rows without one stay."""
+    """Sectors and regimes beside the panel of all lines; rows without one stay, so the panel isn't joined with suppliers before."""
     s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    p = monthly(spark, sf_dir).select("ticker", "date")
+    p = months(spark, sf_dir).select("ticker", "date")
     g = p.groupBy("date").agg(F.count("*").alias("n")).filter("n >= 50").select("date", F.lit("wide").alias("regime"))
     p = joins.with_dimension(p, s.select(F.col("s_suppkey").alias("ticker"), F.col("n_name").alias("sector_name")), ["ticker"], {"sector_name": "UNKNOWN"})
     return joins.with_dimension(p, g, ["date"])

@@ -21,23 +21,29 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*[F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in df.schema.fields])
 
 
-def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, date (first of the month), close, volume, cost, sector."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("ticker"), F.trunc("l_shipdate", "MM").alias("date")).agg(
+def months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticker, date (first of the month), close, volume and cost of all lines, whether or not their supplier is known."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("ticker"), F.trunc("l_shipdate", "MM").alias("date")).agg(
         F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), DIGITS).alias("close"),
         F.sum("l_quantity").alias("volume"),
         F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 4).alias("cost"),
     )
+
+
+def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """months() of the suppliers that are known with their nation, and sector."""
     suppliers = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    return lines.join(suppliers.select(F.col("s_suppkey").alias("ticker"), F.col("n_regionkey").alias("sector")), "ticker")
+    return months(spark, sf_dir).join(suppliers.select(F.col("s_suppkey").alias("ticker"), F.col("n_regionkey").alias("sector")), "ticker")
 
 
-PM = """pm as (
-  select a.*, n.n_regionkey as sector from (
+MONTHS = """(
     select l_suppkey as ticker, cast(date_trunc('month', l_shipdate) as date) as date,
            round(sum(l_extendedprice) / sum(l_quantity), 6) as close, sum(l_quantity) as volume,
            round(sum(l_extendedprice * l_discount), 4) as cost
-    from lineitem group by 1, 2) a
+    from lineitem group by 1, 2)"""
+
+PM = f"""pm as (
+  select a.*, n.n_regionkey as sector from {MONTHS} a
   join supplier s on s.s_suppkey = a.ticker join nation n on n.n_nationkey = s.s_nationkey)"""
 
 
