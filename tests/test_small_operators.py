@@ -115,6 +115,14 @@ def test_ensemble_takes_more_samples_near_a_boundary(spark):
     assert got["close"].mean_return == pytest.approx(0.0309 * 0.95) and got["calm"].predicted_max == 103 and got["calm"].predicted_range == pytest.approx(0.06)
 
 
+def test_ensemble_broadcasts_no_table_of_keys(spark):
+    """However few bytes the keys are taken for: what a plan thinks small may be every forecast. A key that is NULL, or has no early sample, has none."""
+    rows = [(k, s, t, 100.0 + t, 101.0 + s, 99.0 - s) for k in ("a", "b", None) for s in range(1, 6) for t in range(3)] + [("late", 4, 0, 100.0, 101.0, 99.0)]
+    found = en.ensemble(spark.createDataFrame(rows, "key string, sample int, step int, close double, high double, low double"), ["key"])
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.key: r.n_samples for r in found.collect()} == {"a": 3, "b": 3}
+
+
 def test_bootstrap_draws(spark):
     """The same draws, by the same hash, in plain Python."""
     random.seed(1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelens.functions.windows import ratio
+
 #: Samples that are always drawn, and with the additional ones. Fixed values.
 FIRST, ALL = 3, 5
 #: z values at which a decision changes, how near to one the first samples must come for more, and the noise that z is over. Fixed values.
@@ -17,22 +19,27 @@ def ensemble(samples: DataFrame, key: list[str], sample: str = "sample", step: s
     samples: key, sample (from 1), step, close, high, low. The first FIRST samples make a mean path; if its z comes within NEAR of a
     boundary, all ALL samples count, else the first ones. The range is over the mean path's first close.
     """
-    rows = samples.filter(F.col(sample) <= ALL)
-    one = rows.groupBy(*key, sample).agg(
-        F.min_by("close", step).alias("_a"), F.max_by("close", step).alias("_b"), F.max("high").alias("_high"), F.min("low").alias("_low"), F.min(step).alias("_first"), F.max(step).alias("_last"),
+    rows = samples.filter(F.col(sample) <= ALL).na.drop(subset=key)
+    # One shuffle serves all steps. Nothing is joined: a key's rows meet in its own task, and no table of all keys is broadcast, however small it is taken to be.
+    steps = rows.repartition(*key).groupBy(*key, sample, step).agg(
+        F.min_by("close", step).alias("_close"), F.sum("close").alias("_sum"), F.count("close").alias("_n"), F.max("high").alias("_high"), F.min("low").alias("_low"),
+    )
+    one = steps.groupBy(*key, sample).agg(
+        F.min_by("_close", step).alias("_a"), F.max_by("_close", step).alias("_b"), F.max_by("_sum", step).alias("_sum"), F.max_by("_n", step).alias("_n"),
+        F.max("_high").alias("_high"), F.min("_low").alias("_low"), F.max(step).alias("_last"),
     )
+    w = Window.partitionBy(*key)
     early = F.col(sample) <= FIRST
-    last = F.max("_last")
-    path = one.filter(early).groupBy(*key).agg(F.avg("_a").alias("_start"), last.alias("_end"), F.count("*").alias("_k"))
-    ends = rows.filter(early).join(path, key).filter(F.col(step) == F.col("_end")).groupBy(*key).agg(F.avg("close").alias("_stop"))
+    one = one.withColumns({"_start": F.avg(F.when(early, F.col("_a"))).over(w), "_end": F.max(F.when(early, F.col("_last"))).over(w), "_k": F.count(F.when(early, 1)).over(w)}).filter("_end is not null")
+    ends = early & (F.col("_last") == F.col("_end"))
+    one = one.withColumn("_stop", ratio(F.sum(F.when(ends, F.col("_sum"))).over(w), F.sum(F.when(ends, F.col("_n"))).over(w)))
     z = F.abs((F.col("_stop") / F.col("_start") - 1) / NOISE)
     near = F.lit(False)
     for b in BOUNDARIES:
         near = near | (F.abs(z - b) < NEAR)
     most = F.when(near & (F.col("_k") == FIRST), ALL).otherwise(FIRST)
-    path = path.join(ends, key).select(*key, "_start", most.alias("_most"))
     r = F.col("_b") / F.col("_a") - 1
-    out = one.join(path, key).filter(F.col(sample) <= F.col("_most")).groupBy(*key).agg(
+    out = one.filter(F.col(sample) <= most).groupBy(*key).agg(
         F.count("*").alias("n_samples"), F.avg(r).alias("mean_return"), F.stddev_pop(r).alias("std_return"), F.avg("_high").alias("predicted_max"), F.avg("_low").alias("predicted_min"), F.first("_start").alias("_start"),
     )
     return out.withColumn("predicted_range", (F.col("predicted_max") - F.col("predicted_min")) / F.col("_start")).drop("_start")
