@@ -110,6 +110,36 @@ def test_learns_and_stops(spark):
     assert len(early["m"]) == 2 and all(set(t.leaves) == {0.0} and set(t.gain) == {0.0} for t in early["m"])
 
 
+def test_pairs_are_by_class(spark, monkeypatch):
+    """Rows of one date, grade and score are paired with the top once, not one by one; each has the gradient that pairing it by itself gives."""
+    random.seed(7)
+    rows = [("m", date(2020, 1, 1), k, [0, 0, 0], random.randrange(5), random.choice([0.0, 0.25, 0.5, 0.75])) for k in range(1500)]
+    df, top, met = spark.createDataFrame(rows, SCHEMA + ", score double"), 30, []
+    whole = boosting.pair_gradients
+    monkeypatch.setattr(boosting, "pair_gradients", lambda *a: met.append(whole(*a)) or met[-1])
+    best = boosting.ideal(df, "date", top)
+    found, folders = boosting.gradients(df, best, "date", "ticker", top)
+    got = {r.ticker: (r.g, r.h) for r in found.collect()}
+    assert sum(m.count() for m in met) <= (5 * 4 + top) * top
+    order = sorted(rows, key=lambda r: (-r[5], r[2]))
+    disc = {r[2]: 1 / math.log2(i + 2) if i < top else 0.0 for i, r in enumerate(order)}
+    full = sum((2.0 ** r[4] - 1) / math.log2(i + 2) for i, r in enumerate(sorted(rows, key=lambda r: -r[4])[:top]))
+    g, h, unit = defaultdict(int), defaultdict(int), lambda v: math.floor(v * UNIT + 0.5)
+    for n, t in enumerate(order[:top]):
+        for r in order[n + 1 :]:
+            if r[4] != t[4]:
+                up, down = (r, t) if r[4] > t[4] else (t, r)
+                change, wrong = (2.0 ** up[4] - 2.0 ** down[4]) * abs(disc[r[2]] - disc[t[2]]) / full, 1 / (1 + math.exp(up[5] - down[5]))
+                g[up[2]] += unit(wrong * change)
+                g[down[2]] -= unit(wrong * change)
+                for k in (r[2], t[2]):
+                    h[k] += unit(wrong * (1 - wrong) * change)
+    # A unit for each pair whose engines differ in the last bit; the top has as many pairs as there are rows.
+    assert all(abs(got[k][0] - g[k]) <= 30 and abs(got[k][1] - h[k]) <= 30 for k in range(1500))
+    for folder in folders:
+        boosting.delete(folder)
+
+
 def test_equal_gains_take_the_first():
     bins = {2: {0: (UNIT, UNIT, 10), 5: (-UNIT, UNIT, 10)}, 1: {1: (UNIT, UNIT, 10), 3: (-UNIT, UNIT, 10)}}
     assert best_split(bins, [1, 2], Params(least=5))[:2] == (1, 1)

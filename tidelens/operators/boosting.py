@@ -2,8 +2,9 @@
 
 Rows have a model, a date (the query of the ranking), a key, binned features, a grade, and a score so far. A round is: the `top` rows of each date by score, found
 without sorting the dates; each row's gradient from its pairs with these, weighted by what swapping the two would change in NDCG at `top`; and
-one aggregate over (model, node, feature, bin) for each level of the tree, of which only these bounded histograms reach the driver. Pairs are not
-emitted: a row meets its date's `top` rows as one array, so the cost is rows x `top`, whatever a date's size.
+one aggregate over (model, node, feature, bin) for each level of the tree, of which only these bounded histograms reach the driver. Beyond the top, rows
+of one date, grade and score have the same pairs: such a class is paired once with the date's `top` rows and weighs as many as it has rows. So the cost is
+classes x `top` and some passes over the rows; were all scores of a date distinct, it would be rows x `top`.
 
 Gradients are whole numbers of 2**-24, so their sums are the same in any order and a model doesn't hang on how rows are partitioned. Several models
 are trained at once, by one set of jobs: on the same rows with other features, on other rows, or with other grades.
@@ -68,7 +69,12 @@ def rank_bins(features: Iterable[str], date: str, bins: int) -> Column:
 def _heap(x: Column, tree: Column, levels: int) -> Column:
     """Where a row stands after so many levels, in heap order."""
     step = lambda at, _: 2 * at + (F.element_at(x, F.element_at(tree["feature"], at)) > F.element_at(tree["last"], at)).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.lit(1), step) if levels else F.lit(1)
+    if levels > 3:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.lit(1), step)
+    at = F.lit(1)
+    for level in range(levels):  # compiled, but three times as long with each level
+        at = step(at, level)
+    return at
 
 
 def _leaf(x: Column, tree: Column, depth: int) -> Column:
@@ -87,41 +93,63 @@ def predict(rows: DataFrame, forest: Forest, depth: int, x: str = "x", name: str
     return found.withColumn(name, F.aggregate("_trees", F.lit(0.0), add)).drop("_trees")
 
 
+def classes(rows: DataFrame, date: str) -> DataFrame:
+    """model, date, grade, score and n: how many rows are alike to all pairs with others."""
+    return rows.groupBy("model", date, "grade", "score").agg(F.count("*").alias("n"))
+
+
 def ideal(rows: DataFrame, date: str, top: int) -> DataFrame:
     """model, date and ideal: the greatest DCG at `top` that the date's grades allow."""
     w = Window.partitionBy("model", date).orderBy(F.desc("grade"))
-    ranked = rows.select("model", date, "grade", F.row_number().over(w).alias("_p")).filter(F.col("_p") <= top)
+    most = rows.groupBy("model", date, "grade").agg(F.least(F.count("*"), F.lit(top)).alias("_n"))
+    places = most.select("model", date, "grade", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    ranked = places.select("model", date, "grade", F.row_number().over(w).alias("_p")).filter(F.col("_p") <= top)
     # A few terms in the order of places, so that they add up alike everywhere.
     terms = F.array_sort(F.collect_list(F.struct(F.col("_p"), ((F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("_p") + 1.0)).alias("_g"))))
     return ranked.groupBy("model", date).agg(F.aggregate(terms, F.lit(0.0), lambda total, t: total + t["_g"]).alias("ideal"))
 
 
-def gradients(rows: DataFrame, best: DataFrame, date: str, key: str, top: int) -> DataFrame:
-    """rows (model, date, key, grade, score and more) with g and h: the sums of their pairs' gradients and curvatures, in units of 1 / UNIT."""
+def leaders(rows: DataFrame, alike: DataFrame, best: DataFrame, date: str, key: str, top: int) -> DataFrame:
+    """model, date, key, grade, score, _d (discount) and ideal of the `top` rows of each date by score, then key. alike: classes(rows); those that no row of the top is in are left out before rows are ordered."""
+    down = Window.partitionBy("model", date).orderBy(F.desc("score"))
+    above = F.coalesce(F.sum("_n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    least = alike.groupBy("model", date, "score").agg(F.sum("n").alias("_n")).withColumn("_above", above).filter(F.col("_above") < top).groupBy("model", date).agg(F.min("score").alias("_least"))
+    near = rows.select("model", date, key, "grade", "score").join(F.broadcast(least), ["model", date]).filter("score >= _least").drop("_least")  # one row a model and date
     w = Window.partitionBy("model", date).orderBy(F.desc("score"), key)
-    first = rows.select("model", date, key, "grade", "score", F.row_number().over(w).alias("_p")).filter(F.col("_p") <= top)
-    first = first.withColumn("_d", 1 / F.log2(F.col("_p") + 1.0))
-    tops = first.groupBy("model", date).agg(F.collect_list(F.struct(F.col(key).alias("key"), "grade", "score", "_d")).alias("_tops")).join(best, ["model", date])
-
-    def pair(t: Column) -> Column:
-        """What the pair with t adds to the row's own gradient, and to both curvatures."""
-        side = F.signum(F.col("grade") - t["grade"])
-        change = F.abs(F.pow(F.lit(2.0), F.col("grade")) - F.pow(F.lit(2.0), t["grade"])) * F.abs(F.col("_own") - t["_d"]) / F.col("ideal")
-        wrong = 1 / (1 + F.exp(side * (F.col("score") - t["score"])))
-        whole = lambda v: F.floor(v * UNIT + 0.5).cast("long")
-        none = F.lit(0).cast("long")
-        differs = (side != 0) & (t["key"] != F.col(key))
-        return F.struct(t["key"].alias("key"), F.when(differs, whole(wrong * change) * side.cast("long")).otherwise(none).alias("g"), F.when(differs, whole(wrong * (1 - wrong) * change)).otherwise(none).alias("h"))
-
-    own = F.aggregate("_tops", F.lit(0.0), lambda found, t: F.when(t["key"] == F.col(key), t["_d"]).otherwise(found))
-    met = rows.join(tops, ["model", date]).withColumn("_own", own)
-    total = lambda c: F.aggregate(F.transform("_tops", pair), F.lit(0).cast("long"), lambda acc, p: acc + p[c])
-    each = met.withColumn("_g", total("g")).withColumn("_h", total("h")).drop("_tops", "_own", "ideal")
-    # The other side of pairs with rows beyond the top; pairs within it are counted by both rows already.
-    back = met.filter("_own = 0").select("model", date, F.explode(F.transform("_tops", pair)).alias("p")).groupBy("model", date, F.col("p.key").alias(key)).agg(F.sum(-F.col("p.g")).alias("_bg"), F.sum("p.h").alias("_bh"))
-    found = each.join(back, ["model", date, key], "left")
-    both = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0).cast("long"))
-    return found.withColumn("g", both("_g", "_bg")).withColumn("h", both("_h", "_bh")).drop("_g", "_h", "_bg", "_bh")
+    first = near.withColumn("_p", F.row_number().over(w)).filter(F.col("_p") <= top)
+    return first.withColumn("_d", 1 / F.log2(F.col("_p") + 1.0)).drop("_p").join(best, ["model", date])
+
+
+def pair_gradients(left: DataFrame, tops: DataFrame, date: str) -> DataFrame:
+    """What each pair of left (model, date, grade, score, _own: discount, 0 beyond the top; and more) with a top row of another grade adds: g to the left's gradient, h to both curvatures. The top row is key `_top`."""
+    t = tops.select("model", date, F.col("grade").alias("_tg"), F.col("score").alias("_ts"), F.col("_d").alias("_td"), F.col("_key").alias("_top"), "ideal")
+    met = left.join(t, ["model", date]).filter("grade <> _tg")
+    side = F.signum(F.col("grade") - F.col("_tg"))
+    change = F.abs(F.pow(F.lit(2.0), F.col("grade")) - F.pow(F.lit(2.0), F.col("_tg"))) * F.abs(F.col("_own") - F.col("_td")) / F.col("ideal")
+    wrong = 1 / (1 + F.exp(side * (F.col("score") - F.col("_ts"))))
+    whole = lambda v: F.floor(v * UNIT + 0.5).cast("long")
+    met = met.withColumns({"_side": side.cast("long"), "_change": change, "_wrong": wrong})
+    change, wrong = F.col("_change"), F.col("_wrong")
+    return met.select(*left.columns, "_top", (whole(wrong * change) * F.col("_side")).alias("g"), whole(wrong * (1 - wrong) * change).alias("h"))
+
+
+def gradients(rows: DataFrame, best: DataFrame, date: str, key: str, top: int) -> tuple[DataFrame, list[str]]:
+    """rows (model, date, key, grade, score and more) with g and h: the sums of their pairs' gradients and curvatures, in units of 1 / UNIT; and the folders that this reads."""
+    alike, a = saved(classes(rows, date), "classes")
+    tops, b = saved(leaders(rows, alike, best, date, key, top).withColumnRenamed(key, "_key"), "leaders")
+    place = ["model", date, "grade", "score"]
+    within = tops.groupBy(*place).agg(F.count("*").alias("_k"))
+    beyond = alike.join(within, place, "left").withColumn("n", F.col("n") - F.coalesce("_k", F.lit(0))).filter("n > 0").select(*place, "n", F.lit(0.0).alias("_own"))
+    met = pair_gradients(beyond, tops, date)
+    own, c = saved(met.groupBy(*place).agg(F.sum("g").alias("_g"), F.sum("h").alias("_h")), "gradients")
+    # The top's own pairs are counted by both of their rows; those with rows beyond it are seen from there, once a class.
+    inner = pair_gradients(tops.select(*place, "_key", F.col("_d").alias("_own")), tops, date).select("model", date, "_key", "g", "h")
+    back = met.select("model", date, F.col("_top").alias("_key"), (-F.col("g") * F.col("n")).alias("g"), (F.col("h") * F.col("n")).alias("h"))
+    none = tops.select("model", date, "_key", F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("h"))
+    first, d = saved(none.unionByName(inner).unionByName(back).groupBy("model", date, F.col("_key").alias(key)).agg(F.sum("g").alias("_fg"), F.sum("h").alias("_fh")), "first")
+    found = rows.join(first, ["model", date, key], "left").join(own, place, "left")
+    both = lambda a, b: F.coalesce(a, b, F.lit(0).cast("long"))
+    return found.withColumn("g", both("_fg", "_g")).withColumn("h", both("_fh", "_h")).drop("_fg", "_fh", "_g", "_h"), [a, b, c, d]
 
 
 def histograms(rows: DataFrame, trees: dict[str, Tree], level: int) -> DataFrame:
@@ -180,13 +208,15 @@ def train(rows: DataFrame, features: list[str], allowed: dict[str, list[str]] |
     number = {f: i for i, f in enumerate(features, 1)}
     may = {m: sorted(number[f] for f in (allowed or {}).get(m, features)) for m in models}
     forest: Forest = {m: [] for m in models}
-    best, best_path = saved(ideal(rows, date, params.top), "ideal")
-    state, path = rows.select("model", date, key, "x", "grade", F.lit(0.0).alias("score")), None
+    # Written once: every round reads them several times, however much it takes to make them.
+    state, path = saved(rows.select("model", date, key, "x", "grade", F.lit(0.0).alias("score")), "rows")
+    best, best_path = saved(ideal(state, date, params.top), "ideal")
     seen: list[dict[str, float]] = []
     for _ in range(params.rounds):
-        graded, new = saved(gradients(state, best, date, key, params.top), "gradients")
-        if path:
-            delete(path)
+        graded, used = gradients(state, best, date, key, params.top)
+        graded, new = saved(graded, "graded")
+        for old in (path, *used):
+            delete(old)
         path, trees = new, {m: Tree([], [], []) for m in models}
         for level in range(params.depth):
             _grow(histograms(graded, trees, level).collect(), trees, may, params, level == params.depth - 1)
@@ -199,8 +229,7 @@ def train(rows: DataFrame, features: list[str], allowed: dict[str, list[str]] |
             since = min(len(seen) - 1 - max(range(len(seen)), key=lambda i: (seen[i].get(m, 0.0), -i)) for m in models)
             if since >= params.patience:
                 break
-    if path:
-        delete(path)
+    delete(path)
     delete(best_path)
     return forest
 
