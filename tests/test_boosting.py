@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelens.operators import boosting
 from tidelens.operators.boosting import UNIT, Params, best_rounds, best_split, cut, importance, permuted, predict, train
+from tidelens.plans import ranking
 
 FEATURES = ["a", "b", "c"]
 
@@ -140,6 +141,37 @@ def test_pairs_are_by_class(spark, monkeypatch):
         boosting.delete(folder)
 
 
+def _plans(monkeypatch):
+    """The plans of what the rankers' queries write."""
+    plans, whole = [], ranking.saved
+    monkeypatch.setattr(ranking, "saved", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or whole(df, name))
+    return plans
+
+
+def test_lines_are_grouped_once(spark, monkeypatch):
+    plans = _plans(monkeypatch)
+    assert ranking._panel(spark, "/root/testdata/sf0.001").count() > 0
+    assert sum(line.strip(" +-:").startswith("Relation") and "l_suppkey" in line for p in plans for line in p.splitlines()) == 1
+
+
+@pytest.mark.parametrize("name", ["ltr_placebo", "ltr_regimes"])
+def test_what_rankers_read_is_made_once(spark, monkeypatch, name):
+    """Shuffled grades and regimes are written, as training and test read them: no window is left in the rows."""
+    seen = []
+
+    class Seen(Exception):
+        pass
+
+    def trained(d, *_):
+        seen.append(d._jdf.queryExecution().optimizedPlan().toString())
+        raise Seen
+
+    monkeypatch.setattr(ranking, "_trained", trained)
+    with pytest.raises(Seen):
+        ranking.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "Window" not in seen[0]
+
+
 def test_equal_gains_take_the_first():
     bins = {2: {0: (UNIT, UNIT, 10), 5: (-UNIT, UNIT, 10)}, 1: {1: (UNIT, UNIT, 10), 3: (-UNIT, UNIT, 10)}}
     assert best_split(bins, [1, 2], Params(least=5))[:2] == (1, 1)

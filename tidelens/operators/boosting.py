@@ -204,12 +204,12 @@ def train(rows: DataFrame, features: list[str], allowed: dict[str, list[str]] |
 
     valid: rows whose NDCG at 10 ends training after params.patience rounds without a better one of any model.
     """
-    models = sorted(r[0] for r in rows.select("model").distinct().collect())  # as many as models
+    # Written once: every round reads them several times, however much it takes to make them.
+    state, path = saved(rows.select("model", date, key, "x", "grade", F.lit(0.0).alias("score")), "rows")
+    models = sorted(r[0] for r in state.select("model").distinct().collect())  # as many as models
     number = {f: i for i, f in enumerate(features, 1)}
     may = {m: sorted(number[f] for f in (allowed or {}).get(m, features)) for m in models}
     forest: Forest = {m: [] for m in models}
-    # Written once: every round reads them several times, however much it takes to make them.
-    state, path = saved(rows.select("model", date, key, "x", "grade", F.lit(0.0).alias("score")), "rows")
     best, best_path = saved(ideal(state, date, params.top), "ideal")
     seen: list[dict[str, float]] = []
     for _ in range(params.rounds):

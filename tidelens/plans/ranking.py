@@ -11,7 +11,7 @@ from tidelens.plans.cross_section import FACTORS, factors
 from tidelens.plans.panels import pct_sql, rank_sql, rounded
 from tidelens.plans.research import LONG, regimes
 from tidelens.plans.research import _ics as factor_ics
-from tidelens.sources.shared import saved
+from tidelens.sources.shared import delete, saved
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,9 +37,13 @@ def query(sql: str | None = None):
 
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, date, part, x (bins), grade and y of every row whose next return is known. Written once: each training reads it many times."""
-    d = panel.time_split(factors(spark, sf_dir).filter("y is not null"))
+    # The split asks for all dates first: with the factors written down, lines are grouped once.
+    known, path = saved(factors(spark, sf_dir).filter("y is not null").select("ticker", "date", *FEATURES, "y"), "factors")
+    d = panel.time_split(known)
     d = d.select("ticker", "date", "part", boosting.rank_bins(FEATURES, "date", BINS).alias("x"), ranks.relevance(ranks.pct_rank("y", "date")).alias("grade"), "y")
-    return saved(d, "ranking")[0]
+    found, _ = saved(d, "ranking")
+    delete(path)
+    return found
 
 
 def _models(d: DataFrame, names: list[str]) -> DataFrame:
@@ -171,7 +175,7 @@ REGIMES = "pq as (select date, round(avg(r), 9) as m from pr where r is not null
 select regime, case when model = 'all' then 'all' else 'own' end as model, round(avg(ic), 6) as ic, count(*) as dates from ics join rg using (date) group by 1, 2""")
 def ltr_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ranker for each regime beside one for all: mean rank ic of both on the last dates of each regime. All are trained together."""
-    d, known = _panel(spark, sf_dir), regimes(spark, sf_dir)
+    d, (known, _) = _panel(spark, sf_dir), saved(regimes(spark, sf_dir), "regimes")  # read three times
     both = _models(d, ["all"]).unionByName(d.join(F.broadcast(known), "date").withColumnRenamed("regime", "model"))  # one row a date
     found = _ics(_trained(both)).join(F.broadcast(known), "date")
     own = F.when(F.col("model") == "all", "all").otherwise("own").alias("model")
@@ -216,7 +220,7 @@ from am, (select ic as ic_true from am where model = 'true') t where model <> 't
 def ltr_placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankers refitted on grades that are shuffled within dates, beside the true one: does its rank ic exceed their mean by three deviations, and 0.02?"""
     d = _panel(spark, sf_dir)
-    every = _models(d, ["true"]).unionByName(boosting.permuted(d, SEEDS))
+    every, _ = saved(_models(d, ["true"]).unionByName(boosting.permuted(d, SEEDS)), "placebo")  # shuffled once, for training and for the test
     found = _ics(_trained(every)).groupBy("model").agg(F.avg("ic").alias("ic"))
     null = F.when(F.col("model") != "true", F.col("ic"))
     out = found.agg(F.count(null).alias("seeds"), F.avg(null).alias("mean"), F.stddev_pop(null).alias("deviation"), F.max(F.when(F.col("model") == "true", F.col("ic"))).alias("ic"))
